@@ -9,8 +9,8 @@ from seqsys.functions.values import STAND_INS, plain_width
 
 # One pass over a dirty name: leading '>', folders, the name, a sequence-file ending, notes after a blank.
 _CONTIG = r"^[\s>]*(?:\S*/)?([^\s/]*?)(?:\.(?:fa|fna|ffn|fasta|fas)(?:\.gz)?)?(?:\s.*)?$"
-_CLEAN_CONTIG = r"^[A-Z0-9]+_[A-Z0-9_]+$"
-_CLEAN_ACCESSION = r"^[A-Za-z0-9_]*[0-9]$"
+_CLEAN_CONTIG = r"^[A-Z0-9]+_[A-Z0-9_]+\z"
+_CLEAN_ACCESSION = r"^[A-Za-z0-9_]*[0-9]\z"
 
 
 def contig_name(c: Column) -> Column:
