@@ -43,8 +43,9 @@ def together(members: DataFrame, min_count: int = 2, min_lift: float = 0.0, bloc
     n_blocks = parallelism(members.sparkSession) * blocks_per_partition
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int")
     # the last item is the rarer one of no pair; a block needs the basket from its first own item on
-    sent = baskets.select("codes", F.explode(F.array_distinct(F.transform(F.slice("codes", 1, F.size("codes") - 1), block))).alias("block"))
-    sent = sent.select("block", F.filter("codes", lambda c: c >= F.element_at(F.filter("codes", lambda x: block(x) == F.col("block")), 1)).alias("codes"))
+    blocked = baskets.select("codes", F.transform("codes", block).alias("of"))
+    sent = blocked.select("codes", "of", F.explode(F.array_distinct(F.slice("of", 1, F.size("of") - 1))).alias("block"))
+    sent = sent.select("block", F.slice("codes", F.array_position("of", F.col("block")).cast("int"), F.size("codes")).alias("codes"))
     routed = sent.repartition(n_blocks, "block")
     firsts = routed.select("block", "codes", F.posexplode("codes").alias("i", "a")).filter(block(F.col("a")) == F.col("block"))
     emitted = firsts.select("block", "a", F.explode(F.slice("codes", F.col("i") + 2, F.size("codes"))).alias("b"))
