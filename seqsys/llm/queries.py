@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqsys.functions.names import accession_key, accession_raw, accession_styles, contig_name, with_accession_style
 from seqsys.functions.values import present_text
 from seqsys.llm.components import components
+from seqsys.llm.leaks import leaks
 from seqsys.llm.memberships import memberships
 from seqsys.llm.setpairs import similar_pairs
 from seqsys.llm.survivors import survivors
@@ -113,7 +114,15 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(_read(spark, d, "documents", "doc_id", "text"), "doc_id", "text", BYTE_BPE)
 
 
-QUERIES = {"p8_ids": p8_ids, "p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks(
+        _read(spark, d, "documents", "doc_id", "text", "raw_bytes"), _read(spark, d, "benchmark", "item_id", "passage", "question"),
+        doc="doc_id", text="text", raw="raw_bytes", item="item_id", passage="passage", question="question",
+    )
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
 
 CONTIG = r"nullif(upper(regexp_extract({c}, '([A-Za-z]{{3}}[0-9]{{4}}(_[0-9]{{2}})?_[0-9]{{12}})', 1)), '')"
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))

@@ -19,7 +19,7 @@ _TAG = re.compile(r"<[^>]*>")
 _CHARSETS = ["koi8-r", "cp1251", "iso8859-5", "cp866", "shift_jis", "euc_jp", "iso2022_jp", "gb18030", "cp1252", "latin-1", "utf-16"]
 # The most frequent letters of Russian, and Japanese particles and punctuation.
 _COMMON = set("оеаинтсрвлоу")
-_KANA = re.compile("[぀-ヿ。、]")
+_MIXED = re.compile("[a-z][а-яё]|[а-яё][a-z]")
 
 
 def _plausible(s: str) -> float:
@@ -42,9 +42,12 @@ def _plausible(s: str) -> float:
             good += 0.8
         elif 0x410 <= name <= 0x42F:
             good += 0.1
+        elif c in "\xad\xa0•":
+            good += 0.5
         elif not c.isprintable() or unicodedata.category(c) in ("Cc", "Co", "Cn"):
             good -= 2.0
-    return good / len(outside)
+    # letters of two scripts inside one word betray a wrong charset
+    return (good - 3.0 * len(_MIXED.findall(s))) / len(outside)
 
 
 def decode_page(raw: bytes) -> str:
