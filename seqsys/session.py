@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,3 +76,24 @@ class Scratch:
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session; thresholds for hot keys follow it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_shipped: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once per application.
+
+    The same as ``--py-files``: the package is zipped and added to the context, so
+    that Arrow functions find it wherever the workers run.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="seqsys-ship-")) / "seqsys.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    sc.addPyFile(str(target))
+    _shipped[sc.applicationId] = str(target)
