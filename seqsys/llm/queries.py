@@ -11,6 +11,7 @@ from seqsys.llm.components import components
 from seqsys.llm.leaks import leaks
 from seqsys.llm.memberships import memberships
 from seqsys.llm.setpairs import similar_pairs
+from seqsys.llm.subjects import subjects
 from seqsys.llm.survivors import survivors
 from seqsys.llm.terms import gram_statistics, term_suffixes
 from seqsys.llm.together import together
@@ -122,7 +123,24 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    allowed = [r.subject for r in _read(spark, d, "subjects", "subject").filter(F.col("subject").isNotNull()).collect()]
+    return subjects(
+        _read(spark, d, "documents", "doc_id", "text", "raw_bytes"), _read(spark, d, "labels", "doc_id", "subject"),
+        doc="doc_id", text="text", raw="raw_bytes", label_doc="doc_id", label="subject", allowed=allowed,
+    )
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select(F.col("doc").alias("doc_id"), "subject").distinct()
+
+
+def p10_mix(spark: SparkSession, d: str) -> DataFrame:
+    """How the corpus is composed: pages per subject and the sum of their shares."""
+    return _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("n_pages"), F.round(F.sum("share"), 3).alias("share_sum"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_mix": p10_mix, "p8_ids": p8_ids, "p9_found": p9_found, "p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
 
 CONTIG = r"nullif(upper(regexp_extract({c}, '([A-Za-z]{{3}}[0-9]{{4}}(_[0-9]{{2}})?_[0-9]{{12}})', 1)), '')"
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))

@@ -6,8 +6,15 @@ import html
 import re
 import unicodedata
 
-# U+FFFD, or UTF-8 read as a single-byte charset
-_GARBLED = re.compile("�|[ÂÃÅÐÑâã][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]")
+import regex
+
+# U+FFFD; UTF-8 read as a Western or as a Cyrillic single-byte charset; a run of accented letters;
+# Cyrillic small letters before capitals; half-width kana and box drawing, as wrong charsets give them
+_GARBLED = re.compile(
+    "�|[ÂÃÅÐÑâã][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]"
+    "|[ВГРСЃ][\u0080-¿–—‘-„†-•…‰‹›€№ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐґЁЄЇІіёєјЅѕї]"
+    "|[À-ÖØ-öø-ÿ]{4,}|[а-яё][А-ЯЁ]{2,}|[｡-ﾟ]{3,}|[─-▟]{2,}"
+)
 #: The same test as a Java pattern, so that only garbled rows send their bytes to Python.
 GARBLED_JAVA = _GARBLED.pattern
 
@@ -16,7 +23,7 @@ _DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
 
 # Charsets tried after UTF-8, in this order.
-_CHARSETS = ["koi8-r", "cp1251", "iso8859-5", "cp866", "shift_jis", "euc_jp", "iso2022_jp", "gb18030", "cp1252", "latin-1", "utf-16"]
+_CHARSETS = ["koi8-r", "cp1251", "iso8859-5", "cp866", "shift_jis", "euc_jp", "iso2022_jp", "gb18030", "cp1252", "latin-1"]
 # The most frequent letters of Russian, and Japanese particles and punctuation.
 _COMMON = set("оеаинтсрвлоу")
 _MIXED = re.compile("[a-z][а-яё]|[а-яё][a-z]")
@@ -100,6 +107,7 @@ def readable(text: str | None, raw: bytes | None) -> str:
 
 
 _BREAK = re.compile(r"(\w)[-­‐]\s*\n\s*(\w)")
+_INVISIBLE = regex.compile(r"[\p{Mn}\p{Cf}]+")
 _WORD = re.compile(r"\w+")
 
 
@@ -107,8 +115,7 @@ def plain(text: str) -> str:
     """Entities resolved, words broken over lines joined, compatibility forms, marks and case folded, invisible characters removed."""
     s = _BREAK.sub(r"\1\2", html.unescape(text) if "&" in text else text)
     if not s.isascii():
-        s = unicodedata.normalize("NFKD", s)
-        s = "".join([c for c in s if not unicodedata.combining(c) and unicodedata.category(c) != "Cf"])
+        s = _INVISIBLE.sub("", unicodedata.normalize("NFKD", s))
     return s.casefold()
 
 
