@@ -11,6 +11,7 @@ from seqsys.functions.values import STAND_INS, plain_width
 _CONTIG = r"^[\s>]*(?:\S*/)?([^\s/]*?)(?:\.(?:fa|fna|ffn|fasta|fas)(?:\.gz)?)?(?:\s.*)?$"
 _CLEAN_CONTIG = r"^[A-Z0-9]+_[A-Z0-9_]+\z"
 _CLEAN_ACCESSION = r"^[A-Za-z0-9_]*[0-9]\z"
+_CLEAN_RELEASE = r"^[A-Za-z0-9_]*[0-9]\.[0-9]+\z"
 
 
 def contig_name(c: Column) -> Column:
@@ -20,26 +21,23 @@ def contig_name(c: Column) -> Column:
     notes after a blank (``len=..``), blanks of any kind, full-width and
     invisible characters. Null, blank and stand-in texts give null.
     """
-    dirty = F.upper(F.regexp_extract(F.trim(plain_width(c)), _CONTIG, 1))
-    name = F.when(c.rlike(_CLEAN_CONTIG), c).otherwise(dirty)
-    return F.when(~F.lower(name).isin(STAND_INS) & ~present_only_stand_in(c), name)
-
-
-def present_only_stand_in(c: Column) -> Column:
-    """True for texts such as ``N/A``, whose slash would otherwise read as a folder."""
-    return F.when(c.rlike(_CLEAN_CONTIG), F.lit(False)).otherwise(F.lower(F.trim(plain_width(c))).isin(STAND_INS))
+    tidy = F.trim(plain_width(c))
+    dirty = F.upper(F.regexp_extract(tidy, _CONTIG, 1))
+    # stand-ins are told before folders are cut off, as N/A has a slash
+    named = F.when(~F.lower(tidy).isin(STAND_INS) & (dirty != ""), dirty)
+    return F.when(c.rlike(_CLEAN_CONTIG), c).otherwise(named)
 
 
 def accession_raw(c: Column) -> Column:
-    """An accession without blanks, odd characters and release number, in the case it was written in."""
-    tidy = F.when(c.rlike(_CLEAN_ACCESSION), c).otherwise(F.regexp_replace(plain_width(c), " +", ""))
-    return F.regexp_replace(tidy, r"\.[0-9]+$", "")
+    """An accession without blanks, odd characters and release number, in the case it was written in; null where there is none."""
+    tidy = F.regexp_replace(F.regexp_replace(plain_width(c), " +", ""), r"\.[0-9]+$", "")
+    named = F.when(~F.lower(tidy).isin(STAND_INS), tidy)
+    return F.when(c.rlike(_CLEAN_ACCESSION), c).when(c.rlike(_CLEAN_RELEASE), F.substring_index(c, ".", 1)).otherwise(named)
 
 
 def accession_key(c: Column) -> Column:
     """One key for all spellings of an accession; null where there is none."""
-    key = F.lower(accession_raw(c))
-    return F.when(~key.isin(STAND_INS), key)
+    return F.lower(accession_raw(c))
 
 
 def accession_styles(counted: DataFrame, raw: str, n: str) -> DataFrame:
