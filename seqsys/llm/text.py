@@ -13,7 +13,7 @@ import regex
 _GARBLED = re.compile(
     "�|[ÂÃÅÐÑâã][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]"
     "|[ВГРСЃ][\u0080-¿–—‘-„†-•…‰‹›€№ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐґЁЄЇІіёєјЅѕї]"
-    "|[À-ÖØ-öø-ÿ]{4,}|[а-яё][А-ЯЁ]{2,}|[｡-ﾟ]{3,}|[─-▟]{2,}"
+    "|[À-ÖØ-öø-ÿ]{4,}|[а-яё][А-ЯЁ]{2,}|[｡-ﾟ]{3,}|[─-▟]"
 )
 #: The same test as a Java pattern, so that only garbled rows send their bytes to Python.
 GARBLED_JAVA = _GARBLED.pattern
