@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -42,25 +41,39 @@ class SubjectRules:
     boilerplate_share: float = 0.001  #: a piece on more than this share of the different texts is boilerplate
     boilerplate_pages: int = 5  #: and on at least this many
     run: int = 5  #: kept terms per transaction
-    support: float = 1e-4  #: relative support of an item set
+    support: float = 3e-4  #: relative support of an item set
     least_count: int = 3  #: absolute support of an item set
     term_lift: float = 2.0  #: a kept term is this much more frequent under some subject
     confidence: float = 0.4  #: of a rule
-    margin: float = 0.02  #: confidence a longer rule must add
+    margin: float = 0.05  #: confidence a longer rule must add
     share: float = 0.25  #: of a page's runs that its subjects hold
     least_terms: int = 4  #: kept terms that make prose
 
 
-def _pieces(text: str) -> list[str]:
-    return [x for x in (_SHAPE.sub(" ", p).strip() for p in _PIECE.split(plain(text))) if x]
+#: Pieces up to this many characters may be boilerplate; longer ones are prose without asking.
+PIECE_CHARS = 240
+
+
+def _pieces(text: str) -> tuple[list[str], list[str]]:
+    """The short pieces of a text, freed of digits and punctuation, and the long ones as they are."""
+    short, long = [], []
+    for p in _PIECE.split(plain(text)):
+        if len(p) > PIECE_CHARS:
+            long.append(p)
+        elif p:
+            shape = _SHAPE.sub(" ", p).strip()
+            if shape:
+                short.append(shape)
+    return short, long
 
 
 def prose_terms(text: str, boilerplate: set[str]) -> list[str]:
-    """The terms of a page's prose, in order."""
-    return [w for p in _pieces(text) if p not in boilerplate for w in _TERM.findall(p)]
+    """The terms of a page's prose."""
+    short, long = _pieces(text)
+    return _TERM.findall("\n".join([p for p in short if p not in boilerplate] + long))
 
 
-def _boilerplate(pages: DataFrame, rules: SubjectRules, most_words: int = 24) -> set[str]:
+def _boilerplate(pages: DataFrame, rules: SubjectRules) -> set[str]:
     """Pieces shared by very many different texts; at most (pieces per text) / (share) of them, whatever the corpus.
 
     Copies of one text count once, so that a hot group of mirrored pages is no boilerplate.
@@ -70,7 +83,7 @@ def _boilerplate(pages: DataFrame, rules: SubjectRules, most_words: int = 24) ->
         for b in batches:
             out_p, out_t = [], []
             for t, raw, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                mine = {p for p in _pieces(readable(t, raw)) if p.count(" ") < most_words}
+                mine = set(_pieces(readable(t, raw))[0])
                 out_p += mine
                 out_t += [h] * len(mine)
             yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.string()), pa.array(out_t, pa.int64())], ["piece", "of"])
@@ -135,18 +148,35 @@ def _mine(transactions: DataFrame, priors: dict[str, float], rules: SubjectRules
     return out
 
 
-def run_shares(terms: list[str], mined: dict[frozenset, dict[str, float]], priors: dict[str, float], longest: int) -> dict[str, float]:
-    """Subject shares of one run of terms: the evidence of all matching rules, normalised."""
-    score = {s: math.log(p) for s, p in priors.items()}
-    distinct = sorted(set(terms))
-    for k in range(1, min(longest, len(distinct)) + 1):
-        for body in combinations(distinct, k):
-            for s, c in mined.get(frozenset(body), {}).items():
-                score[s] += math.log(c / priors[s])
-    top = max(score.values())
-    weight = {s: math.exp(v - top) for s, v in score.items()}
-    z = sum(weight.values())
-    return {s: w / z for s, w in weight.items()}
+class Scorer:
+    """Subject shares of runs of terms: the evidence of all matching rules, normalised."""
+
+    def __init__(self, mined: dict[frozenset, dict[str, float]], priors: dict[str, float]):
+        self.names = sorted(priors)
+        self.base = [math.log(priors[s]) for s in self.names]
+        evidence = {body: [(k, math.log(heads[s] / priors[s])) for k, s in enumerate(self.names) if s in heads] for body, heads in mined.items()}
+        self.single = {t: e for body, e in evidence.items() if len(body) == 1 for t in body}
+        self.multi = {body: e for body, e in evidence.items() if len(body) > 1}
+        self.in_multi = {t for body in self.multi for t in body}
+        self.longest = max((len(b) for b in self.multi), default=1)
+
+    def add(self, run: list[str], total: list[float]) -> None:
+        """Add the run's shares, weighted by its length, to ``total`` (one place per subject)."""
+        score = self.base[:]
+        terms = set(run)
+        for t in terms:
+            for k, e in self.single.get(t, ()):
+                score[k] += e
+        several = sorted(terms & self.in_multi)
+        for n in range(2, min(self.longest, len(several)) + 1):
+            for body in combinations(several, n):
+                for k, e in self.multi.get(frozenset(body), ()):
+                    score[k] += e
+        top = max(score)
+        weight = [math.exp(x - top) for x in score]
+        z = len(run) / sum(weight)
+        for k, w in enumerate(weight):
+            total[k] += w * z
 
 
 def subjects(docs: DataFrame, labels: DataFrame, *, doc: str, text: str, raw: str | None, label_doc: str, label: str, allowed: list[str], rules: SubjectRules = SubjectRules()) -> DataFrame:
@@ -187,31 +217,21 @@ def subjects(docs: DataFrame, labels: DataFrame, *, doc: str, text: str, raw: st
 
     runs = scratch.write(labelled.select("subject", "terms").mapInArrow(transactions, "items array<string>"), "runs")
     mined = _mine(runs, priors, rules) if priors else {}
-    longest = max((len(x) for x in mined), default=0)
-    held = spark.sparkContext.broadcast((mined, priors, longest))
+    held = spark.sparkContext.broadcast((mined, priors))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules_, priors_, longest_ = held.value
+        scorer = Scorer(*held.value)
         kept_, boilerplate = vocabulary.value, shared.value
-        known_runs: dict[frozenset, dict[str, float]] = {}
         for b in batches:
             out_d, out_s, out_v = [], [], []
             for page, t, raw_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 mine = [w for w in prose_terms(readable(t, raw_), boilerplate) if w in kept_]
                 if len(mine) < rules.least_terms:
                     continue
-                total: Counter = Counter()
+                total = [0.0] * len(scorer.names)
                 for i in range(0, len(mine), k):
-                    run = mine[i : i + k]
-                    key = frozenset(run)
-                    shares = known_runs.get(key)
-                    if shares is None:
-                        if len(known_runs) > 100_000:
-                            known_runs.clear()
-                        shares = known_runs[key] = run_shares(run, rules_, priors_, longest_)
-                    for s, v in shares.items():
-                        total[s] += v * len(run)
-                for s, v in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:2]:
+                    scorer.add(mine[i : i + k], total)
+                for v, s in sorted(zip(total, scorer.names), key=lambda x: (-x[0], x[1]))[:2]:
                     if v / len(mine) >= rules.share:
                         out_d.append(page)
                         out_s.append(s)
