@@ -43,6 +43,7 @@ class SubjectRules:
     run: int = 5  #: kept terms per transaction
     support: float = 3e-4  #: relative support of an item set
     least_count: int = 3  #: absolute support of an item set
+    term_share: float = 1e-3  #: of the labelled pages, that a kept term is on
     term_lift: float = 2.0  #: a kept term is this much more frequent under some subject
     confidence: float = 0.4  #: of a rule
     margin: float = 0.05  #: confidence a longer rule must add
@@ -115,11 +116,11 @@ def _kept_terms(labelled: DataFrame, rules: SubjectRules) -> tuple[list[str], di
     each = labelled.select("subject", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term", "subject").agg(F.count("*").alias("n"))
     prior = F.create_map([x for s, p in priors.items() for x in (F.lit(s), F.lit(p))])
     per = each.withColumn("lift", F.col("n") / prior[F.col("subject")]).groupBy("term").agg(F.sum("n").alias("n"), F.max("lift").alias("most"))
-    kept = per.filter((F.col("n") >= rules.least_count) & (F.col("most") / F.col("n") >= rules.term_lift))
+    kept = per.filter((F.col("n") >= max(rules.least_count, rules.term_share * total)) & (F.col("most") / F.col("n") >= rules.term_lift))
     return [r.term for r in kept.select("term").collect()], priors
 
 
-def _mine(transactions: DataFrame, priors: dict[str, float], rules: SubjectRules) -> dict[frozenset, dict[str, float]]:
+def _mine(transactions: DataFrame, priors: dict[str, float], rules: SubjectRules, scratch: Scratch) -> dict[frozenset, dict[str, float]]:
     """Rules by parallel FP-growth: antecedent -> {subject: confidence}, redundant ones pruned.
 
     ``transactions`` has distinct items per row, labels as ``\\x00subject``. The number of item
@@ -129,7 +130,8 @@ def _mine(transactions: DataFrame, priors: dict[str, float], rules: SubjectRules
     if not n:
         return {}
     support = max(rules.support, rules.least_count / n)
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, support)).fit(transactions).freqItemsets
+    # written, as the growth would run again for every branch below
+    sets = scratch.write(FPGrowth(itemsCol="items", minSupport=min(1.0, support)).fit(transactions).freqItemsets, "sets")
     is_label = lambda x: x.startswith("\x00")
     parts = sets.select(F.array_sort(F.filter("items", lambda x: ~is_label(x))).alias("terms"), F.filter("items", is_label).alias("labels"), "freq")
     parts = parts.filter((F.size("terms") > 0) & (F.size("labels") <= 1))
@@ -137,7 +139,7 @@ def _mine(transactions: DataFrame, priors: dict[str, float], rules: SubjectRules
     heads = parts.filter(F.size("labels") == 1).select("terms", F.substring(F.col("labels")[0], 2, 1000).alias("subject"), "freq")
     conf = heads.join(bodies, "terms").select("terms", "subject", (F.col("freq") / F.col("n_body")).alias("confidence")).filter(F.col("confidence") >= rules.confidence)
     prior = F.create_map([x for s, p in priors.items() for x in (F.lit(s), F.lit(p))])
-    conf = conf.filter(F.col("confidence") > 1.5 * prior[F.col("subject")])
+    conf = scratch.write(conf.filter(F.col("confidence") > 1.5 * prior[F.col("subject")]), "rules")
     shorter = conf.select(F.col("terms").alias("s_terms"), F.col("subject").alias("s_subject"), F.col("confidence").alias("s_confidence"))
     one_less = conf.filter(F.size("terms") > 1).select("terms", "subject", "confidence", F.explode(F.transform(F.sequence(F.lit(1), F.size("terms")), lambda i: F.concat(F.slice("terms", F.lit(1), i - 1), F.slice("terms", i + 1, F.size("terms"))))).alias("less"))
     redundant = one_less.join(shorter, (F.col("less") == F.col("s_terms")) & (F.col("subject") == F.col("s_subject")) & (F.col("s_confidence") + rules.margin >= F.col("confidence")))
@@ -216,7 +218,7 @@ def subjects(docs: DataFrame, labels: DataFrame, *, doc: str, text: str, raw: st
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], ["items"])
 
     runs = scratch.write(labelled.select("subject", "terms").mapInArrow(transactions, "items array<string>"), "runs")
-    mined = _mine(runs, priors, rules) if priors else {}
+    mined = _mine(runs, priors, rules, scratch) if priors else {}
     held = spark.sparkContext.broadcast((mined, priors))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
