@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqsys.operators.order import number_rows
 from seqsys.session import Scratch
 
 
@@ -66,8 +67,8 @@ def symbols(accessions: DataFrame, anchors: DataFrame, order: list[Column]) -> D
     letters = F.concat(F.char(F.lit(65) + F.col("position") % 26), F.when(F.col("position") >= 26, F.floor(F.col("position") / 26).cast("string")).otherwise(""))
     named = anchors.select("accession", letters.alias("symbol"), F.col("position").alias("order"))
     others = accessions.join(anchors.select("accession"), "accession", "left_anti")
-    i = F.row_number().over(Window.orderBy(*order, "accession")) - 1
-    return named.unionByName(others.select("accession", i.cast("string").alias("symbol"), i.alias("order")))
+    ranked = number_rows(others, [*order, "accession"])
+    return named.unionByName(ranked.select("accession", F.col("i").cast("string").alias("symbol"), F.col("i").cast("int").alias("order")))
 
 
 def gene_pivot(genes: DataFrame, frequency: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqsys.operators.intervals import merge, overlaps, slop, with_locus
+from seqsys.operators.order import number_rows
 
 
 def loci(anchor_genes: DataFrame, lengths: DataFrame, neighborhood: int, merge_overlapping: bool = True) -> DataFrame:
@@ -37,9 +38,9 @@ def ribbons(blocks: DataFrame, windows: DataFrame, order: list[str]) -> DataFram
 
     ``blocks``: ``ref, query, ref_start, ref_end, query_start, query_end, errors`` (1-based closed); ``order`` sorts the loci.
     """
-    w = Window.orderBy(*order)
-    nxt = windows.select("contig", "locus", "start", "stop", F.lead(F.struct("contig", "locus", "start", "stop")).over(w).alias("n")).filter(F.col("n").isNotNull())
-    nxt = nxt.select(F.col("contig").alias("query"), F.col("locus").alias("query_locus"), F.col("start").alias("qs"), F.col("stop").alias("qe"), F.col("n.contig").alias("ref"), F.col("n.locus").alias("ref_locus"), F.col("n.start").alias("rs"), F.col("n.stop").alias("re"))
+    placed = number_rows(windows.select("contig", "locus", "start", "stop"), [*order, "locus"])
+    after = placed.select((F.col("i") - 1).alias("i"), F.struct("contig", "locus", "start", "stop").alias("n"))
+    nxt = placed.join(after, "i").select(F.col("contig").alias("query"), F.col("locus").alias("query_locus"), F.col("start").alias("qs"), F.col("stop").alias("qe"), F.col("n.contig").alias("ref"), F.col("n.locus").alias("ref_locus"), F.col("n.start").alias("rs"), F.col("n.stop").alias("re"))
     b = blocks.join(nxt, ["query", "ref"])
     q1, q2 = F.least("query_start", "query_end") - 1, F.greatest("query_start", "query_end")
     r1, r2 = F.least("ref_start", "ref_end") - 1, F.greatest("ref_start", "ref_end")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqsys.operators.graph import closure, condense, source_nodes, strong_components, transitive_reduction, weak_components
+from seqsys.operators.order import number_rows
 from seqsys.session import Scratch
 
 
@@ -34,20 +35,9 @@ def cluster_four_types(kind: Column, n_backbones: Column) -> Column:
 
 
 def number_clusters(components: DataFrame) -> DataFrame:
-    """Give components 0-based ids by their smallest member name.
-
-    The ids must be dense and ordered over the whole table: the components are range-sorted,
-    and the offset of each partition is the count of those before it, so that no
-    task sees more than its own range.
-    """
-    scratch = Scratch(components.sparkSession, "numbers")
-    names = components.select("component").distinct()
-    placed = scratch.write(names.orderBy("component").withColumn("part", F.spark_partition_id()), "sorted")
-    per = placed.groupBy("part").agg(F.count("*").alias("n"))
-    before = per.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("part").orderBy("component"))
-    ids = placed.withColumn("i", within).join(F.broadcast(before.select("part", "base")), "part").select("component", (F.col("base") + F.col("i") - 1).cast("int").alias("cluster"))
-    return components.join(ids, "component").select("node", "cluster")
+    """Give components 0-based ids by their smallest member name."""
+    ids = number_rows(components.select("component").distinct(), ["component"], "cluster")
+    return components.join(ids, "component").select("node", F.col("cluster").cast("int").alias("cluster"))
 
 
 def find_systems(pairs: DataFrame, contigs: DataFrame, min_ani: float = 90.0, min_coverage: float = 0.9) -> Systems:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqsys.functions.names import accession_key, contig_name
 from seqsys.functions.values import present_text
 from seqsys.operators import annot, cooc, coverage, intervals, layout
-from seqsys.plans.containment import _systems, contig_attributes
+from seqsys.plans.containment import _TABLES, _systems, contig_attributes
 from seqsys.plans.quality import CONTIG_SQL
 
 WINDOW = 1000
@@ -259,6 +259,11 @@ SQL = {
     "gene_call_merge_outer": "WITH" + _GENES + " SELECT gene_callers_id, coalesce(accession, contig || '_' || start || '_' || stop || '_' || direction) AS accession, coalesce(source, 'dummy_annotation') AS source, contig, start, stop, direction FROM calls LEFT JOIN ann USING (gene_callers_id)",
     "gene_pivot": "WITH" + _PIVOT + " SELECT * FROM pv",
     "symbol_merge": "WITH" + _PIVOT + ", u AS (SELECT accession_representative, contig, unnest(string_split(accessions, '|')) AS a FROM pv) SELECT p.accession_representative, p.instances, p.ncontigs, q.accessions FROM (SELECT accession_representative, count(*) AS instances, count(DISTINCT contig) AS ncontigs FROM pv GROUP BY 1) p JOIN (SELECT accession_representative, string_agg(DISTINCT a, '|' ORDER BY a) AS accessions FROM u GROUP BY 1) q USING (accession_representative)",
+    "cargo_split": _TABLES + "," + _GENES + """, mem AS (SELECT m.node AS contig, r.b AS backbone FROM m JOIN reached r ON r.cluster = m.cluster),
+ onb AS (SELECT DISTINCT m.cluster AS backbone, accession FROM genes JOIN m ON m.node = genes.contig),
+ rw AS (SELECT DISTINCT mem.backbone, genes.contig, start, stop, genes.accession, source, onb.backbone IS NOT NULL AS hit FROM genes JOIN mem USING (contig) LEFT JOIN onb ON onb.backbone = mem.backbone AND onb.accession = genes.accession),
+ sp AS (SELECT DISTINCT backbone, contig, start, stop, true AS spoiled FROM rw WHERE hit)
+ SELECT backbone, contig, start, stop, accession, source, spoiled IS NULL AS is_strict FROM rw LEFT JOIN sp USING (backbone, contig, start, stop) WHERE NOT hit""",
     "pair_summary": """WITH b AS (SELECT l_suppkey AS ref, l_partkey AS query, l_linenumber * 10 - 1 AS s, l_linenumber * 10 + l_quantity::INT AS e, (l_discount * 100)::INT AS mm, trunc(l_discount * 100)::INT AS mt FROM lineitem),
  o AS (SELECT *, max(e) OVER (PARTITION BY ref, query ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM b), g AS (SELECT ref, query, sum(e - s) AS cov, sum(greatest(0, e - greatest(s, coalesce(p, s)))) AS u, sum(mt)::BIGINT AS mm, count(*) AS n FROM o GROUP BY 1, 2)
  SELECT ref, query, mm AS mismatches, n AS nblocks, round(cov / 1000, 10) AS query_cov, round(u / 1000, 10) AS query_cov_uniq, round((cov - mm) / cov, 10) AS ani, round((cov - mm) / cov * (u / 1000), 10) AS full_ani FROM g""",
