@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import pyarrow as pa
+import xxhash
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,11 @@ class SubjectRules:
 PIECE_CHARS = 240
 
 
+def piece_key(shape: str) -> int:
+    """A piece as a signed 64-bit hash, which is cheaper to shuffle than the text."""
+    return xxhash.xxh3_64_intdigest(shape) - (1 << 63)
+
+
 def _pieces(text: str) -> tuple[list[str], list[str]]:
     """The short pieces of a text, freed of digits and punctuation, and the long ones as they are."""
     short, long = [], []
@@ -68,14 +74,14 @@ def _pieces(text: str) -> tuple[list[str], list[str]]:
     return short, long
 
 
-def prose_terms(text: str, boilerplate: set[str]) -> list[str]:
+def prose_terms(text: str, boilerplate: set[int]) -> list[str]:
     """The terms of a page's prose."""
     short, long = _pieces(text)
-    return _TERM.findall("\n".join([p for p in short if p not in boilerplate] + long))
+    return _TERM.findall("\n".join([p for p in short if piece_key(p) not in boilerplate] + long))
 
 
-def _boilerplate(pages: DataFrame, rules: SubjectRules) -> set[str]:
-    """Pieces shared by very many different texts; at most (pieces per text) / (share) of them, whatever the corpus.
+def _boilerplate(pages: DataFrame, rules: SubjectRules) -> set[int]:
+    """Keys of the pieces shared by very many different texts; at most (pieces per text) / (share) of them, whatever the corpus.
 
     Copies of one text count once, so that a hot group of mirrored pages is no boilerplate.
     """
@@ -84,13 +90,13 @@ def _boilerplate(pages: DataFrame, rules: SubjectRules) -> set[str]:
         for b in batches:
             out_p, out_t = [], []
             for t, raw, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                mine = set(_pieces(readable(t, raw))[0])
+                mine = {piece_key(p) for p in _pieces(readable(t, raw))[0]}
                 out_p += mine
                 out_t += [h] * len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.string()), pa.array(out_t, pa.int64())], ["piece", "of"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int64()), pa.array(out_t, pa.int64())], ["piece", "of"])
 
     n = pages.select("of").distinct().count()
-    seen = pages.select("text", "raw", "of").mapInArrow(run, "piece string, of long").distinct().groupBy("piece").agg(F.count("*").alias("n"))
+    seen = pages.select("text", "raw", "of").mapInArrow(run, "piece long, of long").distinct().groupBy("piece").agg(F.count("*").alias("n"))
     limit = max(rules.boilerplate_pages, int(rules.boilerplate_share * n))
     return {r.piece for r in seen.filter(F.col("n") > limit).select("piece").collect()}
 
