@@ -19,15 +19,16 @@ def _plain(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, sources: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
     """Rows ``src, dst`` for every path of one or more edges; with ``sources`` (``node``) only paths from those.
 
-    Semi-naive: each round extends the new paths only. The result is quadratic in
-    the depth of the graph, so give ``sources`` where not all are needed.
+    Semi-naive: each round extends the new paths only, by all known paths, which doubles the
+    length reached; with ``sources`` by single edges, as other paths are not made. The result
+    is quadratic in the depth of the graph, so give ``sources`` where not all are needed.
     """
     scratch = Scratch(edges.sparkSession, "closure")
     step = scratch.write(_plain(edges).filter(F.col("src") != F.col("dst")), "edges")
     paths = step if sources is None else step.join(sources.select(F.col("node").alias("src")), "src", "left_semi")
     new = paths = scratch.write(paths, "paths")
-    hop = step.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
     for _ in range(max_rounds):
+        hop = (step if sources is not None else paths).select(F.col("src").alias("dst"), F.col("dst").alias("to"))
         more = new.join(hop, "dst").select("src", F.col("to").alias("dst")).distinct()
         new = scratch.write(more.join(paths, ["src", "dst"], "left_anti"), "new")
         if new.isEmpty():
