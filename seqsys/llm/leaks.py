@@ -2,8 +2,8 @@
 
 A term is a pair of neighbouring words of a test text. The index holds, for every
 term of the tests that is no stock phrase, the pages and positions it stands at; it is
-written as a table ordered by term. Terms rare in the corpus are looked up
-first and alone: where at least a few of an item's rare terms stand in a page at
+written as a table ordered by term. Of every run and sentence of a test the terms that are rarest
+in the corpus are looked up: where at least a few of an item's stand in a page at
 agreeing offsets (page position less item position), the pair of page and item is a candidate. For candidates
 the whole item is laid against the page around each offset by a weighted common
 subsequence, so that changed, dropped and inserted words cost their weight only. Words weigh by their
@@ -42,8 +42,9 @@ class LeakRules:
     run_share: float = 0.84  #: weight of a run that the page must reproduce
     sentence_share: float = 0.7  #: the same for every sentence of a scattered passage
     stock_share: float = 0.03  #: a term in more than this share of the items is a stock phrase
-    rare_share: float = 0.008  #: a term on at most this share of the pages is rare
-    min_rare: int = 5  #: rare terms at agreeing offsets that make a candidate
+    rare_share: float = 0.008  #: a term is rare that is on at most this share of the pages more than the rarest of its run or sentence
+    least_terms: int = 5  #: terms of every run and sentence that are looked up, however frequent
+    min_rare: int = 5  #: looked-up terms at agreeing offsets that make a candidate
     drift: int = 8  #: words by which offsets may disagree
     common: float = 1.8  #: inverse document frequency (natural log) up to which a word is a turn of phrase
     least_weight: float = 0.15  #: weight of such words
@@ -131,6 +132,24 @@ def leaked(page: list[str], text: tuple[int, bool, list[str], list[tuple[int, in
     return True
 
 
+def looked_up(text: tuple[int, bool, list[str], list[tuple[int, int]]], terms: list[int | None], pages: dict[int, int], limit: int, rules: LeakRules) -> list[int]:
+    """Places of a text whose terms are looked up: those that are rare for the run of words or sentence they stand in.
+
+    In every run and every sentence these are the ``least_terms`` rarest and all on at most ``limit`` pages more
+    than the rarest of it, so that an item on very many pages is looked up as well as one on none.
+    """
+    _, is_passage, item, spans = text
+    never = np.iinfo(np.int64).max // 2
+    n = np.array([never if t is None else pages.get(t, 0) for t in terms], np.int64)
+    chosen = np.zeros(len(n), bool)
+    runs = [(s, s + rules.run) for s in range(len(item) - rules.run + 1)]
+    for lo, hi in runs + (spans if is_passage else []):
+        here = n[lo : hi - 1]
+        if len(here):
+            chosen[lo : hi - 1] |= (here <= max(np.sort(here)[: rules.least_terms][-1], here.min() + limit)) & (here < never)
+    return np.flatnonzero(chosen).tolist()
+
+
 def leaks(docs: DataFrame, tests: DataFrame, *, doc: str, text: str, raw: str | None, item: str, passage: str, question: str, rules: LeakRules = LeakRules()) -> DataFrame:
     """Rows ``doc, item``: pages that reproduce a test item's passage or question.
 
@@ -195,19 +214,19 @@ def leaks(docs: DataFrame, tests: DataFrame, *, doc: str, text: str, raw: str |
         "index",
     )
     # the vocabulary of the tests bounds what comes to the driver here
-    counts = {r.term: r.n for r in index.filter("term < 0").groupBy("term").agg(F.sum(F.col("positions")[0]).alias("n")).collect()}
+    counts = {r.term: r.n for r in index.groupBy("term").agg(F.sum(F.when(F.col("term") < 0, F.col("positions")[0]).otherwise(1)).alias("n")).collect()}
     n_pages = counts.get(-1, 0)
     idf = {w: math.log(max(n_pages, 1) / (counts.get(k, 0) + 1)) for w, k in word_of.items()}
     weights = [np.array([min(rules.most_weight, max(rules.least_weight, idf[w] - rules.common)) for w in t[2]]) for t in texts]
 
-    # test postings: every place of every term in the tests
-    places = [(term_of[p], k, j) for k, t in enumerate(texts) for j, p in enumerate(zip(t[2], t[2][1:])) if p in term_of]
-    test_index = spark.createDataFrame(pa.table({"term": pa.array([p[0] for p in places], pa.int32()), "text_no": pa.array([p[1] for p in places], pa.int32()), "j": pa.array([p[2] for p in places], pa.int32())}))
-    on_pages = index.filter("term >= 0")
+    # test postings: the places of every text that are looked up
     limit = max(5, int(rules.rare_share * n_pages))
-    rare = on_pages.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") <= limit).select("term")
-    rare_places = F.broadcast(test_index.join(F.broadcast(rare), "term"))
-    hits = on_pages.join(rare_places, "term").select("page", "text_no", "j", F.explode("positions").alias("pos"))
+    places = []
+    for k, t in enumerate(texts):
+        terms = [term_of.get(p) for p in zip(t[2], t[2][1:])]
+        places += [(terms[j], k, j) for j in looked_up(t, terms, counts, limit, rules)]
+    test_index = spark.createDataFrame(pa.table({c: pa.array([p[x] for p in places], pa.int32()) for x, c in enumerate(("term", "text_no", "j"))}))
+    hits = index.filter("term >= 0").join(F.broadcast(test_index), "term").select("page", "text_no", "j", F.explode("positions").alias("pos"))
     together = hits.groupBy("page", "text_no").agg(F.collect_set(F.struct("j", "pos")).alias("hits")).filter(F.size("hits") >= rules.min_rare)
     # offsets agree where enough different words of the item fall into one band of twice the drift
     d = rules.drift

@@ -122,6 +122,26 @@ def test_leaks(spark):
     assert leaks(d.limit(0), t, **kw).count() == 0 and leaks(d, t.limit(0), **kw).count() == 0
 
 
+LEAK_COLUMNS = dict(doc="id", text="text", raw="raw", item="item", passage="passage", question="question")
+
+
+def leak_tables(spark, docs, passages):
+    d = spark.createDataFrame([(*x, None) for x in docs], "id long, text string, raw binary")
+    return d, spark.createDataFrame([(i, " ".join(s), None) for i, s in passages.items()], "item long, passage string, question string")
+
+
+def test_leaks_of_an_item_on_very_many_pages(spark):
+    rng = random.Random(21)
+    passages = {i: [sentence(rng, f"Item{i}x") for _ in range(5)] for i in range(30)}
+    docs = [(i, " ".join(sentence(rng, f"Doc{i}x") for _ in range(12))) for i in range(300)]
+    found = set()
+    for i in range(0, 300, 3):  # a third of the pages mirrors one item
+        docs[i] = (i, docs[i][1] + " " + " ".join(passages[3]))
+        found.add((i, 3))
+    d, t = leak_tables(spark, docs, passages)
+    assert {tuple(r) for r in leaks(d, t, **LEAK_COLUMNS).collect()} == found
+
+
 def test_subjects(spark):
     rng = random.Random(12)
     vocabulary = {"science": NOUNS, "law": ["verdict", "statute", "tribunal", "plaintiff", "clause", "docket", "lease", "affidavit"], "food": ["oven", "butter", "garlic", "dough", "basil", "yeast", "pickle", "broth"]}
