@@ -5,7 +5,7 @@ term of the tests that is no stock phrase, the pages and positions it stands at;
 written as a table ordered by term. Of every run and sentence of a test the terms that are rarest
 in the corpus are looked up: where at least a few of an item's stand in a page at
 agreeing offsets (page position less item position), the pair of page and item is a candidate. For candidates
-the whole item is laid against the page around each offset by a weighted common
+the whole item is laid against every place of the page that has enough of its words, by a weighted common
 subsequence, so that changed, dropped and inserted words cost their weight only. Words weigh by their
 rarity in the corpus, which keeps pages apart that merely use the same turns of phrase.
 """
@@ -75,18 +75,15 @@ def test_texts(rows: list[tuple[int, str | None, str | None]], shared: int = 5)
     return out
 
 
-def common_subsequence(item: list[str], weight: np.ndarray, region: list[str]) -> np.ndarray:
-    """Which words of ``item`` lie on its heaviest common subsequence with ``region``."""
+def common_subsequence(item: np.ndarray, weight: np.ndarray, region: np.ndarray) -> np.ndarray:
+    """Which words of ``item`` lie on its heaviest common subsequence with ``region``; both are word numbers."""
     n, m = len(item), len(region)
     kept = np.zeros(n, bool)
     if not m:
         return kept
-    number: dict[str, int] = {}
-    a = np.array([number.setdefault(x, len(number)) for x in item])
-    b = np.array([number.get(x, -1) for x in region])
     best = np.zeros((n + 1, m + 1))
     for i in range(n):
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], np.where(b == a[i], best[i, :-1] + weight[i], 0)))
+        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], np.where(region == item[i], best[i, :-1] + weight[i], 0)))
     i, j = n, m
     while i and j:
         if best[i, j] == best[i - 1, j]:
@@ -99,33 +96,66 @@ def common_subsequence(item: list[str], weight: np.ndarray, region: list[str]) -
     return kept
 
 
-def _offsets(hits: list[tuple[int, int]], lo: int, hi: int, drift: int, most: int) -> list[int]:
-    """The offsets at which most of an item's words lo..hi were met, best first, ``drift`` apart at least."""
-    seen: dict[int, set[int]] = defaultdict(set)
-    for j, pos in hits:
-        if lo <= j < hi:
-            seen[(pos - j) // drift].add(j)
-    ranked = sorted(seen, key=lambda b: (-len(seen[b] | seen.get(b + 1, set())), b))
-    return [b * drift for b in ranked[:most]]
+def _reach(length: int, drift: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every block of ``drift`` page words, the first and last (exclusive) block that ``length`` words that begin in it may reach."""
+    b = np.arange(blocks)
+    return np.maximum(b - 1, 0), np.minimum(b + 2 - (-length // drift), blocks)
 
 
-def leaked(page: list[str], text: tuple[int, bool, list[str], list[tuple[int, int]]], weight: np.ndarray, hits: list[tuple[int, int]], rules: LeakRules) -> bool:
-    """Does the page reproduce a run of the item's words, or all sentences of its passage?"""
+def leaked(page: np.ndarray, text: tuple[int, bool, np.ndarray, list[tuple[int, int]]], weight: np.ndarray, rules: LeakRules) -> bool:
+    """Does the page reproduce a run of the item's words, or all sentences of its passage?
+
+    Words are numbers; those of the page that no test has are 0. Every place of the page is asked: those
+    whose words, in any order, weigh too little are left out, which cannot lose any, and all others are laid against the item.
+    """
     _, is_passage, item, spans = text
     total = np.append(0, np.cumsum(weight))
     n, d = len(item), rules.drift
-    if n >= rules.run:
-        for at in _offsets(hits, 0, n, d, 4):
-            kept = common_subsequence(item, weight, page[max(0, at - d) : max(0, at + n + 2 * d)])
+    kinds, first, number = np.unique(item, return_index=True, return_inverse=True)
+    at = np.minimum(np.searchsorted(kinds, page), len(kinds) - 1)
+    met = np.flatnonzero(kinds[at] == page)
+    blocks = -(-len(page) // d)
+    # running sums by block: of the weight of all words at first, for it rules most places out, then of each word
+    heavy = np.append(0, np.cumsum(np.bincount(met // d, (weight[first] * np.bincount(number))[at[met]], blocks)))
+
+    def rows_of(length: int, wanted: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lo, hi = _reach(length, d, blocks)
+        rows = np.flatnonzero(heavy[hi] - heavy[lo] >= wanted - 1e-9)
+        return rows, lo[rows], hi[rows]
+
+    in_runs = rows_of(rules.run, rules.run_share * (total[rules.run :] - total[: -rules.run]).min()) if n >= rules.run else None
+    in_sentences = [rows_of(z - a, rules.sentence_share * (total[z] - total[a])) for a, z in spans] if is_passage else []
+    if (in_runs is None or not len(in_runs[0])) and not (is_passage and all(len(x[0]) for x in in_sentences)):
+        return False
+    there = np.zeros((blocks + 1, len(kinds)), np.int32)
+    there[met // d + 1, at[met]] = 1
+    seen = np.cumsum(there, axis=0, dtype=np.int32)
+    if in_runs is not None:
+        wanted = total[rules.run :] - total[: -rules.run]
+        rows, lo, hi = in_runs
+        most = np.cumsum(np.where((seen[hi] > seen[lo])[:, number], weight, 0), axis=1)
+        most = np.concatenate([np.zeros((len(rows), 1)), most], axis=1)
+        most = (most[:, rules.run :] - most[:, : -rules.run]) / wanted
+        row, start = np.nonzero(most >= rules.run_share - 1e-9)
+        best = np.argsort(-most[row, start], kind="stable")
+        for o in dict.fromkeys((rows[row] * d - start)[best].tolist()):
+            kept = common_subsequence(item, weight, page[max(0, o - d) : max(0, o + n + 2 * d)])
             got = np.append(0, np.cumsum(weight * kept))
-            if ((got[rules.run :] - got[: -rules.run]) / (total[rules.run :] - total[: -rules.run])).max() >= rules.run_share:
+            if ((got[rules.run :] - got[: -rules.run]) / wanted).max() >= rules.run_share:
                 return True
     if not is_passage:
         return False
-    for lo, hi in spans:
-        for at in _offsets(hits, lo, hi, d, 3):
-            kept = common_subsequence(item[lo:hi], weight[lo:hi], page[max(0, at + lo - d) : max(0, at + hi + 2 * d)])
-            if (weight[lo:hi] * kept).sum() >= rules.sentence_share * (total[hi] - total[lo]):
+    places = []
+    for (a, z), (rows, lo, hi) in zip(spans, in_sentences):
+        wanted = rules.sentence_share * (total[z] - total[a])
+        most = np.where((seen[hi] > seen[lo])[:, number[a:z]], weight[a:z], 0).sum(axis=1)
+        places.append([rows[k] * d for k in np.argsort(-most, kind="stable") if most[k] >= wanted - 1e-9])
+        if not places[-1]:
+            return False
+    for (a, z), starts in zip(spans, places):
+        for o in starts:
+            kept = common_subsequence(item[a:z], weight[a:z], page[max(0, o - d) : o + z - a + 2 * d])
+            if (weight[a:z] * kept).sum() >= rules.sentence_share * (total[z] - total[a]):
                 break
         else:
             return False
@@ -238,22 +268,23 @@ def leaks(docs: DataFrame, tests: DataFrame, *, doc: str, text: str, raw: str |
         behind = F.slice(placed, rules.min_rare, F.size("hits"))
         return F.exists(F.zip_with(placed, behind, lambda x, y: F.coalesce(x["b"] == y["b"], F.lit(False))), lambda same: same)
 
-    candidates = scratch.write(together.filter(agree(0) | agree(d)).groupBy("page").agg(F.collect_list(F.struct("text_no", "hits")).alias("found")), "candidates")
+    candidates = scratch.write(together.filter(agree(0) | agree(d)).groupBy("page").agg(F.collect_list("text_no").alias("found")), "candidates")
     small = scratch.size(scratch.last) <= MAX_BROADCAST_CANDIDATES
     checked = pages.join(F.broadcast(candidates) if small else candidates, "page")
-    held = spark.sparkContext.broadcast((texts, weights))
+    numbered = [(t[0], t[1], np.array([word_of[w] for w in t[2]]), t[3]) for t in texts]
+    held = spark.sparkContext.broadcast((numbered, weights))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts_, weights_ = held.value
+        word = shared.value[1]
         for b in batches:
             out_d, out_i = [], []
             for k in range(b.num_rows):
-                page = words(readable(b.column(1)[k].as_py(), b.column(2)[k].as_py()))
-                for f in b.column(3)[k].as_py():
-                    t = texts_[f["text_no"]]
-                    if leaked(page, t, weights_[f["text_no"]], [(h["j"], h["pos"]) for h in f["hits"]], rules):
+                page = np.array([word.get(w, 0) for w in words(readable(b.column(1)[k].as_py(), b.column(2)[k].as_py()))])
+                for x in b.column(3)[k].as_py():
+                    if leaked(page, texts_[x], weights_[x], rules):
                         out_d.append(b.column(0)[k].as_py())
-                        out_i.append(t[0])
+                        out_i.append(texts_[x][0])
             yield pa.RecordBatch.from_arrays([pa.array(out_d, pa.int64()), pa.array(out_i, pa.int64())], ["doc", "item"])
 
     return checked.select("page", "text", "raw", "found").mapInArrow(check, "doc long, item long").distinct()

@@ -142,6 +142,24 @@ def test_leaks_of_an_item_on_very_many_pages(spark):
     assert {tuple(r) for r in leaks(d, t, **LEAK_COLUMNS).collect()} == found
 
 
+def test_leaks_with_misleading_or_no_neighbouring_words(spark):
+    rng = random.Random(22)
+    passages = {i: [sentence(rng, f"Item{i}x") for _ in range(5)] for i in range(30)}
+    docs = [(i, " ".join(sentence(rng, f"Doc{i}x") for _ in range(12))) for i in range(300)]
+    filler = lambda n: " ".join(sentence(rng, "F") for _ in range(n))
+    other = {"near": "beside", "measured": "gauged", "while": "whereas", "tested": "tried"}
+
+    def page(item, strays, changed):
+        s = [x.split() for x in reversed(passages[item])]
+        s[2] = [changed if changed and k == 6 else other.get(w, w) for k, w in enumerate(s[2])]
+        return " ".join(f"{filler(2)} {' '.join(passages[item][2].split()[5:7])}." for _ in range(strays)) + " ".join(f"{filler(3)} {' '.join(x)}" for x in s)
+
+    docs += [(1000, page(3, 6, None)), (1001, page(4, 0, "things"))]  # the same two words six times before; no two words left together
+    d, t = leak_tables(spark, docs, passages)
+    assert {tuple(r) for r in leaks(d, t, **LEAK_COLUMNS).collect()} == {(1000, 3), (1001, 4)}
+
+
+
 def test_subjects(spark):
     rng = random.Random(12)
     vocabulary = {"science": NOUNS, "law": ["verdict", "statute", "tribunal", "plaintiff", "clause", "docket", "lease", "affidavit"], "food": ["oven", "butter", "garlic", "dough", "basil", "yeast", "pickle", "broth"]}
