@@ -4,7 +4,7 @@ A term is a pair of neighbouring words of a test text. The index holds, for ever
 term of the tests that is no stock phrase, the pages and positions it stands at; it is
 written as a table ordered by term. Of every run and sentence of a test the terms that are rarest
 in the corpus are looked up: where at least a few of an item's stand in a page at
-agreeing offsets (page position less item position), the pair of page and item is a candidate. For candidates
+agreeing offsets (page position less item position), or in most sentences of a passage at any, the pair of page and item is a candidate. For candidates
 the whole item is laid against every place of the page that has enough of its words, by a weighted common
 subsequence, so that changed, dropped and inserted words cost their weight only. Words weigh by their
 rarity in the corpus, which keeps pages apart that merely use the same turns of phrase.
@@ -44,7 +44,7 @@ class LeakRules:
     stock_share: float = 0.03  #: a term in more than this share of the items is a stock phrase
     rare_share: float = 0.008  #: a term is rare that is on at most this share of the pages more than the rarest of its run or sentence
     least_terms: int = 5  #: terms of every run and sentence that are looked up, however frequent
-    min_rare: int = 5  #: looked-up terms at agreeing offsets that make a candidate
+    min_rare: int = 4  #: looked-up terms at agreeing offsets that make a candidate
     drift: int = 8  #: words by which offsets may disagree
     common: float = 1.8  #: inverse document frequency (natural log) up to which a word is a turn of phrase
     least_weight: float = 0.15  #: weight of such words
@@ -254,10 +254,14 @@ def leaks(docs: DataFrame, tests: DataFrame, *, doc: str, text: str, raw: str |
     places = []
     for k, t in enumerate(texts):
         terms = [term_of.get(p) for p in zip(t[2], t[2][1:])]
-        places += [(terms[j], k, j) for j in looked_up(t, terms, counts, limit, rules)]
-    test_index = spark.createDataFrame(pa.table({c: pa.array([p[x] for p in places], pa.int32()) for x, c in enumerate(("term", "text_no", "j"))}))
-    hits = index.filter("term >= 0").join(F.broadcast(test_index), "term").select("page", "text_no", "j", F.explode("positions").alias("pos"))
-    together = hits.groupBy("page", "text_no").agg(F.collect_set(F.struct("j", "pos")).alias("hits")).filter(F.size("hits") >= rules.min_rare)
+        sentence = [x for x, (lo, hi) in enumerate(t[3]) for _ in range(lo, hi)]
+        needed = math.ceil(rules.sentence_share * len(t[3])) if t[1] else None
+        places += [(terms[j], k, j, sentence[j], needed) for j in looked_up(t, terms, counts, limit, rules)]
+    columns = [("term", pa.int32()), ("text_no", pa.int32()), ("j", pa.int32()), ("sentence", pa.int32()), ("needed", pa.int32())]
+    test_index = spark.createDataFrame(pa.table({c: pa.array([p[x] for p in places], kind) for x, (c, kind) in enumerate(columns)}))
+    hits = index.filter("term >= 0").join(F.broadcast(test_index), "term").select("page", "text_no", "j", "sentence", "needed", F.explode("positions").alias("pos"))
+    together = hits.groupBy("page", "text_no").agg(F.collect_set(F.struct("j", "pos", "sentence")).alias("hits"), F.first("needed").alias("needed"))
+    scattered = F.size(F.array_distinct(F.col("hits.sentence"))) >= F.col("needed")
     # offsets agree where enough different words of the item fall into one band of twice the drift
     d = rules.drift
     band = lambda h, shift: F.floor((h["pos"] - h["j"] + shift) / (2 * d))
@@ -268,7 +272,7 @@ def leaks(docs: DataFrame, tests: DataFrame, *, doc: str, text: str, raw: str |
         behind = F.slice(placed, rules.min_rare, F.size("hits"))
         return F.exists(F.zip_with(placed, behind, lambda x, y: F.coalesce(x["b"] == y["b"], F.lit(False))), lambda same: same)
 
-    candidates = scratch.write(together.filter(agree(0) | agree(d)).groupBy("page").agg(F.collect_list("text_no").alias("found")), "candidates")
+    candidates = scratch.write(together.filter(F.coalesce(scattered, F.lit(False)) | (F.size("hits") >= rules.min_rare) & (agree(0) | agree(d))).groupBy("page").agg(F.collect_list("text_no").alias("found")), "candidates")
     small = scratch.size(scratch.last) <= MAX_BROADCAST_CANDIDATES
     checked = pages.join(F.broadcast(candidates) if small else candidates, "page")
     numbered = [(t[0], t[1], np.array([word_of[w] for w in t[2]]), t[3]) for t in texts]

@@ -159,6 +159,17 @@ def test_leaks_with_misleading_or_no_neighbouring_words(spark):
     assert {tuple(r) for r in leaks(d, t, **LEAK_COLUMNS).collect()} == {(1000, 3), (1001, 4)}
 
 
+def test_leaks_scattered_and_altered(spark):
+    rng = random.Random(23)
+    passages = {i: [sentence(rng, f"Item{i}x") for _ in range(5)] for i in range(30)}
+    docs = [(i, " ".join(sentence(rng, f"Doc{i}x") for _ in range(12))) for i in range(300)]
+    altered = [s.replace("measured", "gauged").replace("tested", "tried") for s in passages[3]]
+    docs.append((1000, " ".join(f"{s} {sentence(rng, 'F')} {sentence(rng, 'G')}" for s in reversed(altered))))  # three pairs left of each sentence
+    docs.append((1001, altered[0] + " " + docs[0][1] + " " + altered[1]))  # two sentences of five
+    d, t = leak_tables(spark, docs, passages)
+    assert {tuple(r) for r in leaks(d, t, **LEAK_COLUMNS).collect()} == {(1000, 3)}
+
+
 
 def test_subjects(spark):
     rng = random.Random(12)
