@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqsys.operators.order import number_rows
@@ -22,44 +22,54 @@ def merge_calls(functions: DataFrame, calls: DataFrame, dummies: bool = False, k
     return out.withColumns({"accession": F.coalesce("accession", made), "source": F.coalesce("source", F.lit("dummy_annotation"))})
 
 
-def anchor_cover(genes: DataFrame, target: str = "contig", sources: list[str] | None = None, start_genes: list[str] | None = None, max_rounds: int = 200) -> DataFrame:
+def anchor_cover(genes: DataFrame, target: str = "contig", sources: list[str] | None = None, start_genes: list[str] | None = None, max_rounds: int | None = None) -> DataFrame:
     """Greedy cover of the contigs (or genes) by accessions: ``position, accession``, in the order chosen.
 
     While some accession is on several contigs, the one on most contigs is taken, then
     by instances, rank of its source (earlier sources first), leftmost start, name; after that the
     one with the first contig, then start, then name. ``start_genes`` are taken first. Covered contigs,
-    or with ``target = 'gene'`` covered genes, leave. Each round is one aggregate; at most
-    ``max_rounds`` anchors are chosen, as many as a report can show.
+    or with ``target = 'gene'`` covered genes, leave, until none is left; ``max_rounds`` cuts the list off where it is given.
+
+    An accession's place in this order can only fall as others are taken, and only by those it shares a
+    contig (gene) with. So each round takes all accessions that come first on every contig they are
+    on; sorted by what they had when taken, they are the list that taking one at a time gives.
     """
     spark = genes.sparkSession
     scratch = Scratch(spark, "cover")
     rank = F.lit(0)
     for k, s in enumerate(sources or []):
         rank = F.when(F.col("source") == s, len(sources) - k).otherwise(rank)
-    rest = genes.withColumn("_rank", rank)
+    rest = genes.withColumn("_rank", rank).filter(F.col("contig").isNotNull() & F.col("accession").isNotNull())
     if sources:
         rest = rest.filter(F.col("source").isin(sources))
-    rest = scratch.write(rest.select("contig", "start", "stop", "accession", "_rank"), "rest")
-    chosen: list[str] = []
-    first = list(start_genes or [])
     keys = ["contig"] if target == "contig" else ["contig", "start", "stop"]
-    while len(chosen) < max_rounds:
-        if first:
-            pick = first.pop(0)
-        else:
-            per = rest.groupBy("accession").agg(F.count_distinct("contig").alias("nc"), F.count("*").alias("ni"), F.max("_rank").alias("r"), F.min("contig").alias("c"), F.min("start").alias("s"))
-            several = F.col("nc") > 1
-            order = [F.when(several, F.col(x)).desc_nulls_last() for x in ("nc", "ni", "r")] + [F.when(several, F.lit("")).otherwise(F.col("c")), F.col("s"), F.col("accession")]
-            row = per.orderBy(*order).select("accession").first()
-            if row is None:
-                break
-            pick = row.accession
-        chosen.append(pick)
-        covered = rest.filter(F.col("accession") == pick).select(*keys).distinct()
-        rest = scratch.write(rest.join(covered, keys, "left_anti"), "rest")
-        if rest.isEmpty() and not first:
-            break
-    return spark.createDataFrame(list(enumerate(chosen)), "position int, accession string")
+    rest = rest.select("contig", "start", "stop", "accession", "_rank")
+    first = list(start_genes or [])
+    if first:
+        rest = _uncovered(rest, rest.filter(F.col("accession").isin(first)), keys)
+    rest = scratch.write(rest, "rest")
+    taken: list[str] = []
+    while not rest.isEmpty():
+        here = scratch.last
+        per = rest.groupBy("accession").agg(F.count_distinct("contig").alias("nc"), F.count("*").alias("ni"), F.max("_rank").alias("r"), F.min("contig").alias("c"), F.min("start").alias("s"))
+        several = F.col("nc") > 1
+        order = [F.when(several, -F.col(x)).otherwise(1).alias(x) for x in ("nc", "ni", "r")] + [F.when(several, F.lit("")).otherwise(F.col("c").cast("string")).alias("c"), "s", "accession"]
+        each = rest.select("accession", *keys).distinct().join(per.select("accession", F.struct(*order).alias("place")), "accession")
+        each = each.withColumn("_first", F.min("place").over(Window.partitionBy(*keys)))
+        now = scratch.write(each.groupBy("accession", "place").agg(F.every(F.col("place").eqNullSafe(F.col("_first"))).alias("ok")).filter("ok").select("accession", "place"), "taken")
+        taken.append(scratch.last)
+        rest = scratch.write(_uncovered(rest, rest.join(now.select("accession"), "accession", "left_semi"), keys), "rest")
+        scratch.drop(here)
+    given = spark.createDataFrame(list(enumerate(first)), "position int, accession string")
+    out = given
+    if taken:
+        out = given.unionByName(number_rows(spark.read.parquet(*taken), ["place"]).select((F.col("i") + len(first)).cast("int").alias("position"), "accession"))
+    return out if max_rounds is None else out.filter(F.col("position") < max_rounds)
+
+
+def _uncovered(rest: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``rest`` that are on no contig (or gene) of the ``chosen`` rows."""
+    return rest.join(chosen.select(*keys).distinct(), keys, "left_anti")
 
 
 def symbols(accessions: DataFrame, anchors: DataFrame, order: list[Column]) -> DataFrame:

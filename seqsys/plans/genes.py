@@ -168,9 +168,9 @@ def cargo_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anchor_cover(spark: SparkSession, d: str) -> DataFrame:
-    """The first ten anchors that cover the contigs of all systems."""
+    """The anchors that cover the contigs of all systems."""
     s = _systems(spark, d).contigs.filter(F.size("backbones") > 0).select("contig")
-    return annot.anchor_cover(genes(spark, d).join(s, "contig", "left_semi"), max_rounds=10)
+    return annot.anchor_cover(genes(spark, d).join(s, "contig", "left_semi"))
 
 
 def pair_summary(spark: SparkSession, d: str) -> DataFrame:
