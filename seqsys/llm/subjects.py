@@ -1,7 +1,7 @@
 """Subject areas of pages by class-association rules.
 
 A page's prose is what is left after its boilerplate: pieces of lines (menu entries, notices,
-footers) that very many different pages share. Terms that prefer some subject among the
+footers) that very many different bodies share. Terms that prefer some subject among the
 labelled pages are kept; a run of a few of them is a transaction, together with the page's
 label. Parallel frequent-pattern growth finds the frequent item sets, those with a
 label become rules ``terms -> subject``, and a rule is pruned as redundant if a
@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import accumulate, combinations
 
 import pyarrow as pa
 import xxhash
@@ -39,7 +40,7 @@ class SubjectRules:
     """Parameters of mining and scoring."""
 
     max_labelled: int = 200_000  #: labelled pages mined at most, chosen by the hash of their id
-    boilerplate_share: float = 0.001  #: a piece on more than this share of the different texts is boilerplate
+    boilerplate_share: float = 0.001  #: a piece with more than this share of the different texts as different bodies is boilerplate
     boilerplate_pages: int = 5  #: and on at least this many
     run: int = 5  #: kept terms per transaction
     support: float = 3e-4  #: relative support of an item set
@@ -80,25 +81,40 @@ def prose_terms(text: str, boilerplate: set[int]) -> list[str]:
     return _TERM.findall("\n".join([p for p in short if piece_key(p) not in boilerplate] + long))
 
 
-def _boilerplate(pages: DataFrame, rules: SubjectRules) -> set[int]:
-    """Keys of the pieces shared by very many different texts; at most (pieces per text) / (share) of them, whatever the corpus.
+def body_keys(pieces: list[str]) -> list[int]:
+    """Keys of the pieces at five points of a text's characters, its pieces taken from the longest.
 
-    Copies of one text count once, so that a hot group of mirrored pages is no boilerplate.
+    Copies of one body agree at most of the points though their wrappers differ, and different
+    bodies differ at most of them though they share a menu or notice.
+    """
+    ordered = sorted(pieces, key=lambda p: (-len(p), p))
+    ends = list(accumulate(len(p) for p in ordered))
+    return [piece_key(ordered[bisect_right(ends, ends[-1] * k // 10)]) for k in (1, 3, 5, 7, 9)] if ends else []
+
+
+def _boilerplate(pages: DataFrame, rules: SubjectRules, scratch: Scratch) -> set[int]:
+    """Keys of the pieces shared by very many different bodies; at most (pieces per text) / (share) of them, whatever the corpus.
+
+    Copies of one body count once, even where their menus, dates or footers differ, so that a hot
+    group of mirrored pages is no boilerplate: the different bodies of a piece are the median count of its pages' `body_keys`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out_p, out_t = [], []
-            for t, raw, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                mine = {piece_key(p) for p in _pieces(readable(t, raw))[0]}
-                out_p += mine
-                out_t += [h] * len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int64()), pa.array(out_t, pa.int64())], ["piece", "of"])
-
-    n = pages.select("of").distinct().count()
-    seen = pages.select("text", "raw", "of").mapInArrow(run, "piece long, of long").distinct().groupBy("piece").agg(F.count("*").alias("n"))
+            found = [_pieces(readable(t, raw)) for t, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            out_p = [list({piece_key(p) for p in short}) for short, _ in found]
+            out_k = [body_keys(short + long) for short, long in found]
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(out_p, pa.list_(pa.int64())), pa.array(out_k, pa.list_(pa.int64()))], ["of", "pieces", "bodies"])
+
+    each = scratch.write(pages.select("text", "raw", "of").mapInArrow(run, "of long, pieces array<long>, bodies array<long>"), "pieces")
+    n = each.select("of").distinct().count()
     limit = max(rules.boilerplate_pages, int(rules.boilerplate_share * n))
-    return {r.piece for r in seen.filter(F.col("n") > limit).select("piece").collect()}
+    rows = each.select("of", "bodies", F.explode("pieces").alias("piece"))
+    # no piece has more bodies than texts
+    often = scratch.write(rows.select("piece", "of").distinct().groupBy("piece").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("piece"), "often")
+    bodies = rows.join(F.broadcast(often), "piece").select("piece", F.posexplode("bodies").alias("at", "body")).distinct().groupBy("piece", "at").agg(F.count("*").alias("n"))
+    middle = bodies.groupBy("piece").agg(F.array_sort(F.collect_list("n"))[2].alias("n"))
+    return {r.piece for r in middle.filter(F.col("n") > limit).select("piece").collect()}
 
 
 def _terms_of(pages: DataFrame, boilerplate, keep: str) -> DataFrame:
@@ -204,7 +220,7 @@ def subjects(docs: DataFrame, labels: DataFrame, *, doc: str, text: str, raw: st
     body: Column = F.when(garbled, F.col(raw)) if raw else F.lit(None).cast("binary")
     pages = docs.select(F.col(doc).cast("long").alias("page"), F.col(text).alias("text"), body.alias("raw"), F.xxhash64(text).alias("of"))
     pages = pages.filter(F.col("page").isNotNull() & (F.length("text") > 0))
-    shared = spark.sparkContext.broadcast(_boilerplate(pages, rules))
+    shared = spark.sparkContext.broadcast(_boilerplate(pages, rules, scratch))
 
     name = F.lower(F.trim(F.regexp_replace(F.col(label), r"\s+", " ")))
     known = labels.select(F.col(label_doc).cast("long").alias("page"), name.alias("subject")).filter(F.col("subject").isin(allowed)).distinct()

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqsys.llm.leaks import leaks
-from seqsys.llm.subjects import subjects
+from seqsys.llm.subjects import SubjectRules, _boilerplate, piece_key, subjects
 from seqsys.llm.text import readable, words
 from seqsys.llm.tokens import TokenAutomaton, decode_corpus, encode_corpus, read_vocabulary
+from seqsys.session import Scratch
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
@@ -198,3 +199,26 @@ def test_subjects(spark):
     wrong = [i for i, s in truth.items() if got.get(i, set()) != s]
     assert not [i for i in wrong if i >= 1000] and len(wrong) < 6
     assert subjects(d.limit(0), lab, **kw).count() == 0 and subjects(d, lab.limit(0), **kw).count() == 0
+
+
+def test_subjects_of_near_copies(spark):
+    rng = random.Random(31)
+    vocabulary = {"science": NOUNS, "law": ["verdict", "statute", "tribunal", "plaintiff", "clause", "docket", "lease", "affidavit"], "food": ["oven", "butter", "garlic", "dough", "basil", "yeast", "pickle", "broth"]}
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    menu = "Home | Science | Law | Food\nWe use cookies to improve your visit\n"
+    line = lambda s: f"{word()} {rng.choice(vocabulary[s])} {word()} {rng.choice(vocabulary[s])} {rng.choice(vocabulary[s])}\n"
+    docs, labels = [], []
+    for i in range(600):
+        s = rng.choice(list(vocabulary))
+        docs.append((i, menu + "".join(line(s) for _ in range(12))))
+        labels.append((i, s))
+    hot = [line("law") for _ in range(12)]
+    docs += [(1000 + i, f"{word()} | {word()}\n" + menu + "".join(hot) + f"printed {word()} {word()}") for i in range(200)]
+    d = spark.createDataFrame([(*x, None) for x in docs], "id long, text string, raw binary")
+    lab = spark.createDataFrame(labels, "id long, subject string")
+    pages = d.select(F.col("text"), F.col("raw"), F.xxhash64("text").alias("of"))
+    found = _boilerplate(pages, SubjectRules(), Scratch(spark, "test"))
+    assert {piece_key(p) for p in ("home", "food", "we use cookies to improve your visit")} <= found
+    assert not {piece_key(p.strip()) for p in hot} & found
+    got = subjects(d, lab, doc="id", text="text", raw="raw", label_doc="id", label="subject", allowed=list(vocabulary)).filter("doc >= 1000").collect()
+    assert {(r.doc, r.subject) for r in got} == {(1000 + i, "law") for i in range(200)}
