@@ -7,13 +7,16 @@ import re
 import unicodedata
 
 import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # U+FFFD; UTF-8 read as a Western or as a Cyrillic single-byte charset; a run of accented letters;
 # Cyrillic small letters before capitals; half-width kana and box drawing, as wrong charsets give them
 _GARBLED = re.compile(
+    r"(?=[^\x00-\x7f])(?:"  # a quick no at every ASCII character
     "�|[ÂÃÅÐÑâã][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]"
     "|[ВГРСЃ][\u0080-¿–—‘-„†-•…‰‹›€№ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐґЁЄЇІіёєјЅѕї]"
-    "|[À-ÖØ-öø-ÿ]{4,}|[а-яё][А-ЯЁ]{2,}|[｡-ﾟ]{3,}|[─-▟]"
+    "|[À-ÖØ-öø-ÿ]{4,}|[а-яё][А-ЯЁ]{2,}|[｡-ﾟ]{3,}|[─-▟])"
 )
 #: The same test as a Java pattern, so that only garbled rows send their bytes to Python.
 GARBLED_JAVA = _GARBLED.pattern
@@ -93,11 +96,14 @@ def unscramble(text: str) -> str:
     return text
 
 
-def readable(text: str | None, raw: bytes | None) -> str:
-    """A page's text with garbling undone as far as its bytes or the text itself allow; null reads as empty."""
+def readable(text: str | None, raw: bytes | None, garbled: bool | None = None) -> str:
+    """A page's text with garbling undone as far as its bytes or the text itself allow; null reads as empty.
+
+    ``garbled`` is what `GARBLED_JAVA` said of the text, where it was asked already.
+    """
     if not text:
         return ""
-    if not _GARBLED.search(text):
+    if not (_GARBLED.search(text) if garbled is None else garbled):
         return text
     if raw:
         page = decode_page(raw)
@@ -106,19 +112,34 @@ def readable(text: str | None, raw: bytes | None) -> str:
     return unscramble(text)
 
 
-_BREAK = re.compile(r"(\w)[-­‐]\s*\n\s*(\w)")
+_HYPHEN = re.compile(r"[-\u00ad\u2010]\s*\n")
+_BREAK = re.compile(r"(?<=\w)[-\u00ad\u2010]\s*\n\s*(?=\w)")
 _INVISIBLE = regex.compile(r"[\p{Mn}\p{Cf}]+")
 _WORD = re.compile(r"\w+")
+# Japanese and Chinese have no blanks: a change of script ends a word there (marks are folded away by `plain`)
+_KANA_HAN = re.compile("[\u3040-\u30ff\u4e00-\u9fff]")
+_SCRIPT_WORD = re.compile("[\u30a0-\u30ff]+|[\u4e00-\u9fff\u3005]+|[\u3040-\u309f]+|[^\\W\u3005\u3040-\u30ff\u4e00-\u9fff]+")
 
 
 def plain(text: str) -> str:
     """Entities resolved, words broken over lines joined, compatibility forms, marks and case folded, invisible characters removed."""
-    s = _BREAK.sub(r"\1\2", html.unescape(text) if "&" in text else text)
+    s = html.unescape(text) if "&" in text else text
+    if _HYPHEN.search(s):
+        s = _BREAK.sub("", s)
     if not s.isascii():
         s = _INVISIBLE.sub("", unicodedata.normalize("NFKD", s))
     return s.casefold()
 
 
 def words(text: str) -> list[str]:
-    """The plain words of a text, in order."""
-    return _WORD.findall(plain(text))
+    """The plain words of a text, in order; in Japanese and Chinese, runs of one script."""
+    s = plain(text)
+    return (_SCRIPT_WORD if _KANA_HAN.search(s) else _WORD).findall(s)
+
+
+def page_rows(docs: DataFrame, doc: str, text: str, raw: str | None) -> DataFrame:
+    """Rows ``page, text, garbled, raw`` of the pages with an id and a text; the bytes go along where the text is garbled."""
+    garbled = F.col(text).rlike(GARBLED_JAVA)
+    body = F.when(garbled, F.col(raw)) if raw else F.lit(None).cast("binary")
+    rows = docs.select(F.col(doc).cast("long").alias("page"), F.col(text).alias("text"), garbled.alias("garbled"), body.alias("raw"))
+    return rows.filter(F.col("page").isNotNull() & (F.length("text") > 0))

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seqsys.llm.leaks import leaks
+from seqsys.llm.leaks import leaks, leaks_in_index, positional_index
 from seqsys.llm.subjects import SubjectRules, _boilerplate, piece_key, subjects
 from seqsys.llm.text import readable, words
 from seqsys.llm.tokens import TokenAutomaton, decode_corpus, encode_corpus, read_vocabulary
@@ -78,6 +78,7 @@ def test_garbled_russian_is_read(charset):
 
 
 def test_words():
+    assert words("昨年、港は22,55回、旅程とともに報告された。") == ["昨年", "港", "は", "22", "55", "回", "旅程", "とともに", "報告", "された"]
     assert words("The ques-\ntion &amp; ﬁne Größe, 12,5\xad") == ["the", "question", "fine", "große".casefold().replace("ö", "o"), "12", "5"]
     assert readable(None, b"x") == "" and readable("", None) == ""
 
@@ -142,6 +143,37 @@ def test_leaks_of_an_item_on_very_many_pages(spark):
     d, t = leak_tables(spark, docs, passages)
     assert {tuple(r) for r in leaks(d, t, **LEAK_COLUMNS).collect()} == found
 
+    few = [(i, t) for i, t in docs if i not in dict(list(docs)[::3])] + [(900 + i, docs[i][1]) for i in range(0, 60, 3)]  # on 20 pages of 220
+    d, t = leak_tables(spark, few, passages)
+    assert {tuple(r) for r in leaks(d, t, **LEAK_COLUMNS).collect()} == {(900 + i, 3) for i in range(0, 60, 3)}
+
+
+@pytest.mark.parametrize("sharing", [3, 10, 100])
+def test_leaks_of_a_passage_of_many_items(spark, sharing):
+    rng = random.Random(24)
+    passages = {i: [sentence(rng, f"Item{i}x") for _ in range(5)] for i in range(30)}
+    shared = [sentence(rng, "Shared") for _ in range(5)]
+    passages |= {100 + i: shared + ([f"Its ending {i} is another."] if i % 2 else []) for i in range(sharing)}
+    docs = [(i, " ".join(sentence(rng, f"Doc{i}x") for _ in range(12))) for i in range(200)] + [(1000, f"{sentence(rng, 'A')} {' '.join(shared)} {sentence(rng, 'B')}")]
+    d, t = leak_tables(spark, docs, passages)
+    assert {tuple(r) for r in leaks(d, t, **LEAK_COLUMNS).collect()} == {(1000, 100 + i) for i in range(sharing)}
+
+
+def test_segments_and_index_of_other_tests(spark, monkeypatch):
+    monkeypatch.setattr("seqsys.llm.leaks.SEGMENT_TOKENS", 500)
+    rng = random.Random(25)
+    passages = {i: [sentence(rng, f"Item{i}x") for _ in range(5)] for i in range(12)}
+    docs = [(i, " ".join(sentence(rng, f"Doc{i}x") for _ in range(12))) for i in range(60)]
+    docs += [(100 + i, f"{sentence(rng, 'A')} {' '.join(passages[i])}") for i in range(12)] + [(200, docs[0][1] * 50 + " ".join(passages[5]))]
+    d, t = leak_tables(spark, docs, passages)
+    scratch = Scratch(spark, "test")
+    index = positional_index(d, doc="id", text="text", raw="raw", scratch=scratch)
+    assert index.select("segment").distinct().count() > 10
+    for some in ("item < 6", "item >= 6", "item < 0"):
+        got = leaks_in_index(index, t.filter(some), item="item", passage="passage", question="question", scratch=scratch)
+        want = {(100 + i, i) for i in range(12) if eval(some, {"item": i})} | ({(200, 5)} if some == "item < 6" else set())
+        assert {tuple(r) for r in got.collect()} == want
+
 
 def test_leaks_with_misleading_or_no_neighbouring_words(spark):
     rng = random.Random(22)
