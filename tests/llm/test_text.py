@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqsys.llm.leaks import leaks, leaks_in_index, positional_index
-from seqsys.llm.subjects import SubjectRules, _boilerplate, piece_key, subjects
+from seqsys.llm.subjects import SubjectRules, boilerplate_keys, cut, cut_pages, subjects
 from seqsys.llm.text import readable, words
 from seqsys.llm.tokens import TokenAutomaton, decode_corpus, encode_corpus, read_vocabulary
 from seqsys.session import Scratch
@@ -248,9 +248,36 @@ def test_subjects_of_near_copies(spark):
     docs += [(1000 + i, f"{word()} | {word()}\n" + menu + "".join(hot) + f"printed {word()} {word()}") for i in range(200)]
     d = spark.createDataFrame([(*x, None) for x in docs], "id long, text string, raw binary")
     lab = spark.createDataFrame(labels, "id long, subject string")
-    pages = d.select(F.col("text"), F.col("raw"), F.xxhash64("text").alias("of"))
-    found = _boilerplate(pages, SubjectRules(), Scratch(spark, "test"))
-    assert {piece_key(p) for p in ("home", "food", "we use cookies to improve your visit")} <= found
-    assert not {piece_key(p.strip()) for p in hot} & found
+    scratch = Scratch(spark, "test")
+    found = set(boilerplate_keys(scratch.write(cut_pages(d, "id", "text", "raw")), SubjectRules(), scratch).tolist())
+    assert set(cut(["home | food\nwe use cookies to improve your visit"])[2].tolist()) <= found
+    assert not set(cut(["".join(hot)])[2].tolist()) & found
     got = subjects(d, lab, doc="id", text="text", raw="raw", label_doc="id", label="subject", allowed=list(vocabulary)).filter("doc >= 1000").collect()
     assert {(r.doc, r.subject) for r in got} == {(1000 + i, "law") for i in range(200)}
+
+
+@pytest.mark.parametrize("repeats", [2, 4])
+def test_subjects_with_a_long_footer_and_capitals(spark, repeats):
+    """A footer full of legal terms is boilerplate whatever its length; subjects come back as they are given."""
+    rng = random.Random(32)
+    vocabulary = {"Science": NOUNS, "Law": ["verdict", "statute", "tribunal", "plaintiff", "clause", "docket", "lease", "affidavit"], "Food  and drink": ["oven", "butter", "garlic", "dough", "basil", "yeast", "pickle", "broth"]}
+    footer = "\n" + "Any verdict of a tribunal on a clause of this lease binds the plaintiff by statute, says " * repeats
+    docs, labels = [], []
+    for i in range(600):
+        s = rng.choice(list(vocabulary))
+        docs.append((i, " ".join(f"Some call {rng.choice(vocabulary[s])} {i} near Na{rng.randrange(10**5)} a {rng.choice(vocabulary[s])}, others a {rng.choice(vocabulary[s])}." for _ in range(8)) + footer))
+        labels.append((i, s))
+    d = spark.createDataFrame([(*x, None) for x in docs], "id long, text string, raw binary")
+    lab = spark.createDataFrame([(i, s.upper() if i % 3 else f" {s.lower()}\t") for i, s in labels], "id long, subject string")
+    got = {}
+    for r in subjects(d, lab, doc="id", text="text", raw="raw", label_doc="id", label="subject", allowed=[*vocabulary, None, " "]).collect():
+        got.setdefault(r.doc, []).append(r.subject)
+    assert got == {i: [s] for i, s in labels}
+
+
+def test_cut():
+    terms, size, key, letters, text = cut(["Home | Home 12\nnews", "", "123 |", "home"])
+    assert size.tolist() == [1, 1, 1, 1] and text.tolist() == [0, 0, 0, 3] and letters.tolist() == [4, 4, 4, 4]
+    assert key[0] == key[1] == key[3] != key[2] and len(terms) == 4
+    assert cut(["a b"])[2][0] != cut(["b a"])[2][0]
+    assert all(len(x) == 0 for x in cut([])) and all(len(x) == 0 for x in cut(["", "1"]))
