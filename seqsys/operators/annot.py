@@ -98,14 +98,15 @@ def symbol_merge(pivot: DataFrame) -> DataFrame:
     )
 
 
-def cargo(genes: DataFrame, membership: DataFrame, strict: bool = True, strict_sources: list[str] | None = None) -> DataFrame:
+def cargo(genes: DataFrame, membership: DataFrame, reached: DataFrame, strict: bool = True, strict_sources: list[str] | None = None, detected: DataFrame | None = None) -> DataFrame:
     """Annotations that a system's backbone lacks: ``backbone, contig, start, stop, accession, source, is_strict``.
 
-    ``membership``: ``contig, cluster, backbones`` (array). An accession is a backbone accession if any
-    contig of the backbone cluster carries it. A gene is strict cargo if none of its annotations
-    (from ``strict_sources``, if given) is one. With ``strict`` only those are returned.
+    ``membership``: ``contig, cluster``; ``reached``: ``backbone, cluster``, the clusters of each system. An accession is a
+    backbone accession if any contig of the backbone cluster carries it. A gene is strict cargo if none of its annotations
+    (from ``strict_sources``, if given) is one. With ``strict`` only those are returned. ``detected`` (``contig, sample``)
+    adds the samples each contig was detected in, one row each; contigs detected in none are left out.
     """
-    m = membership.select("contig", "cluster", F.explode("backbones").alias("backbone"))
+    m = membership.select("contig", "cluster").join(reached.select("backbone", "cluster"), "cluster").select("contig", "backbone")
     on_backbone = genes.join(membership.select("contig", "cluster"), "contig").select(F.col("cluster").alias("backbone"), "accession").distinct()
     rows = genes.select("contig", "start", "stop", "accession", "source").distinct().join(m, "contig")
     rows = rows.join(on_backbone.withColumn("_hit", F.lit(True)), ["backbone", "accession"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
@@ -113,4 +114,6 @@ def cargo(genes: DataFrame, membership: DataFrame, strict: bool = True, strict_s
     spoiled = rows.filter(counted).select("backbone", "contig", "start", "stop").distinct().withColumn("_spoiled", F.lit(True))
     out = rows.filter(~F.col("_hit")).join(spoiled, ["backbone", "contig", "start", "stop"], "left").withColumn("is_strict", F.col("_spoiled").isNull())
     out = out.select("backbone", "contig", "start", "stop", "accession", "source", "is_strict")
+    if detected is not None:
+        out = out.join(detected.select("contig", "sample").distinct(), "contig")
     return out.filter("is_strict") if strict else out

@@ -1,7 +1,7 @@
 """Directed graphs as edge tables ``src, dst``: components, closure, reduction.
 
-Every loop runs on its frontier only, cuts lineage by written tables, and reads
-one number per round.
+Loops cut lineage by written tables and read one or two numbers per round. Where a round advances one
+hop only, several hops are composed into one job, which Spark plans as a whole.
 """
 
 from __future__ import annotations
@@ -11,55 +11,96 @@ from pyspark.sql import functions as F
 
 from seqsys.session import Scratch
 
+#: Hops that one job of a loop over single hops takes.
+HOPS = 3
+
 
 def _plain(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()
 
 
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
 def closure(edges: DataFrame, sources: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
     """Rows ``src, dst`` for every path of one or more edges; with ``sources`` (``node``) only paths from those.
 
-    Semi-naive: each round extends the new paths only, by all known paths, which doubles the
-    length reached; with ``sources`` by single edges, as other paths are not made. The result
-    is quadratic in the depth of the graph, so give ``sources`` where not all are needed.
+    Semi-naive: each round extends the new paths only. Without ``sources`` they are extended by all known
+    paths, which doubles the length reached; with ``sources`` by single edges, as other paths
+    are not made. The full result is quadratic in the depth of the graph, so give ``sources`` where not all are needed.
     """
     scratch = Scratch(edges.sparkSession, "closure")
     step = scratch.write(_plain(edges).filter(F.col("src") != F.col("dst")), "edges")
-    paths = step if sources is None else step.join(sources.select(F.col("node").alias("src")), "src", "left_semi")
+    paths = step if sources is None else step.join(sources.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
     new = paths = scratch.write(paths, "paths")
     for _ in range(max_rounds):
         hop = (step if sources is not None else paths).select(F.col("src").alias("dst"), F.col("dst").alias("to"))
-        more = new.join(hop, "dst").select("src", F.col("to").alias("dst")).distinct()
-        new = scratch.write(more.join(paths, ["src", "dst"], "left_anti"), "new")
+        more, at = None, new
+        for _ in range(1 if sources is None else HOPS):
+            at = at.join(hop, "dst").select("src", F.col("to").alias("dst")).distinct()
+            more = at if more is None else more.unionByName(at)
+        new = scratch.write(more.distinct().join(paths, ["src", "dst"], "left_anti"), "new")
         if new.isEmpty():
             return paths
         paths = paths.unionByName(new)
     raise RuntimeError("closure did not settle")
 
 
-def weak_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
+def large_star(edges: DataFrame) -> DataFrame:
+    """Every node links its larger neighbours to the smallest node it knows, itself included; edges ``u, v`` of either order."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v"))
+
+
+def small_star(edges: DataFrame) -> DataFrame:
+    """Every node links itself and its smaller neighbours to the smallest of them. Edges run from larger u to smaller v."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    linked = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+    return edges.join(least, "u").select(F.explode(linked).alias("e")).select("e.u", "e.v").filter(F.col("u") != F.col("v"))
+
+
+def star_components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """Rows ``node, component`` of undirected pairs ``u, v`` of different nodes: the smallest node linked to each.
+
+    Each round rewrites the edge set by a large star and a small star, two joins on the
+    node; the minimum is pre-aggregated before its shuffle, and the join back has
+    the edges on its large side, where adaptive execution splits a node that
+    holds very many of them. Both keep connectivity, and the edge count never grows:
+    at the fixed point every node is linked to its component's minimum only. Rounds are
+    cut by a written table; the test for the fixed point reads two numbers.
+    """
+    scratch = Scratch(pairs.sparkSession, "stars")
+    edges = scratch.write(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before, path = None, scratch.last
+    for _ in range(max_rounds):
+        new = scratch.write(small_star(large_star(edges).distinct()).distinct(), "edges")
+        now = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        old, path = path, scratch.last
+        if before is not None and (now.n, now.h) == before:
+            break
+        edges, before = new, (now.n, now.h)
+        scratch.drop(old)
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    roots = new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Rows ``node, component``: the smallest node reachable when directions are ignored; ``nodes`` adds isolated ones.
 
-    Minimum labels travel along the edges, and each round also jumps to the label's
-    own label, so long chains settle in few rounds.
+    Only nodes with an edge to another one take part in the rounds of `star_components`; the others are components of their own.
     """
     scratch = Scratch(edges.sparkSession, "weak")
-    e = _plain(edges).filter(F.col("src") != F.col("dst"))
-    both = scratch.write(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    universe = both.select(F.col("src").alias("node"))
+    plain = scratch.write(_plain(edges), "edges")
+    linked = star_components(plain.filter(F.col("src") != F.col("dst")).select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    alone = plain.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
     if nodes is not None:
-        universe = universe.unionByName(nodes.select("node").dropna())
-    labels = scratch.write(universe.distinct().withColumn("component", F.col("node")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        low = labels.join(near, "node", "left").select("node", "component", F.least("component", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("component").alias("far"))
-        new = scratch.write(low.join(jump, "low").select("node", F.least("low", "far").alias("component"), (F.least("low", "far") != F.col("component")).alias("moved")), "labels")
-        done = new.filter("moved").isEmpty()
-        labels = new.select("node", "component")
-        if done:
-            return labels
-    raise RuntimeError("components did not settle")
+        alone = alone.unionByName(nodes.select("node").dropna())
+    alone = alone.distinct().join(linked.select("node"), "node", "left_anti")
+    return linked.unionByName(alone.withColumn("component", F.col("node")))
 
 
 def strong_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
@@ -73,59 +114,66 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None, max_roun
     """
     scratch = Scratch(edges.sparkSession, "strong")
     given = scratch.write(_plain(edges).filter(F.col("src") != F.col("dst")), "given")
-    mutual = given.join(given.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
+    mutual = given.join(_turned(given), ["src", "dst"], "left_semi")
     everyone = given.select(F.col("src").alias("node")).unionByName(given.select(F.col("dst").alias("node")))
     if nodes is not None:
         everyone = everyone.unionByName(nodes.select("node").dropna())
-    groups = weak_components(mutual, everyone.distinct()).withColumnRenamed("component", "group")
-    groups = scratch.write(groups, "groups")
+    groups = scratch.write(weak_components(mutual, everyone.distinct()).withColumnRenamed("component", "group"), "groups")
     contracted = given.join(groups.toDF("src", "a"), "src").join(groups.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    found = _strong(scratch, contracted, groups.select(F.col("group").alias("node")), max_rounds)
-    return groups.join(found.withColumnRenamed("node", "group"), "group").select("node", "component")
+    found = _strong(scratch, contracted.filter(F.col("src") != F.col("dst")), max_rounds)
+    if found is None:
+        return groups.withColumnRenamed("group", "component")
+    # groups that were trimmed away, or have no edge, are on their own
+    joined = groups.join(found.withColumnRenamed("node", "group"), "group", "left")
+    return joined.select("node", F.coalesce("component", "group").alias("component"))
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose ends have an edge in and one out."""
+    into = edges.select(F.col("dst").alias("src")).distinct()
+    out = edges.select(F.col("src").alias("dst")).distinct()
+    return edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst")
 
 
-def _strong(scratch: Scratch, edges: DataFrame, nodes: DataFrame, max_rounds: int) -> DataFrame:
-    rest = scratch.write(edges.filter(F.col("src") != F.col("dst")), "edges")
-    universe = rest.select(F.col("src").alias("node")).unionByName(rest.select(F.col("dst").alias("node")))
-    universe = scratch.write(universe.unionByName(nodes).distinct(), "nodes")
+def _strong(scratch: Scratch, edges: DataFrame, max_rounds: int) -> DataFrame | None:
+    """Rows ``node, component`` of the nodes that survive trimming, by forward labels and backward search."""
     found: DataFrame | None = None
+    rest = scratch.write(edges, "edges")
+    n = rest.count()
     for _ in range(max_rounds):
-        while True:  # trim
-            n = rest.count()
+        for _ in range(max_rounds):
             if not n:
+                return found
+            kept = rest
+            for _ in range(HOPS):
+                kept = _trimmed(kept)
+            rest, before = scratch.write(kept, "trimmed"), n
+            n = rest.count()
+            if n == before:
                 break
-            kept = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            kept = scratch.write(kept.select("src", "dst"), "trimmed")
-            if kept.count() == n:
-                break
-            rest = kept
-        if not n:
-            break
+        # the smallest label travels forward
         color = scratch.write(rest.select(F.col("src").alias("node")).distinct().withColumn("color", F.col("node")), "color")
-        while True:  # the smallest label travels forward
-            came = rest.join(color.toDF("src", "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("c"))
-            new = scratch.write(color.join(came, "node").select("node", F.least("color", "c").alias("color"), (F.col("c") < F.col("color")).alias("moved")), "color")
-            done = new.filter("moved").isEmpty()
+        moved = True
+        while moved:
+            new = color
+            for _ in range(HOPS):
+                came = rest.join(new.toDF("src", "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("c"))
+                new = new.join(came, "node").select("node", F.least("color", "c").alias("color"))
+            new = new.join(color.withColumnRenamed("color", "before"), "node")
+            new = scratch.write(new.select("node", "color", (F.col("color") != F.col("before")).alias("moved")), "color")
+            moved = not new.filter("moved").isEmpty()
             color = new.select("node", "color")
-            if done:
-                break
         inner = rest.join(color.toDF("src", "cs"), "src").join(color.toDF("dst", "cd"), "dst").filter("cs = cd").select("src", "dst")
-        inner = scratch.write(inner, "inner")
-        new = member = scratch.write(color.filter("node = color").select("node", F.col("color").alias("component")), "member")
-        while True:  # backward from each root
-            more = inner.join(new.select(F.col("node").alias("dst"), "component"), "dst").select(F.col("src").alias("node"), "component").distinct()
-            new = scratch.write(more.join(member, "node", "left_anti"), "member")
-            if new.isEmpty():
-                break
-            member = member.unionByName(new)
+        # backward from each root: what reaches it within its label; roots carry the smallest label of their component already
+        roots = color.filter("node = color").select("node")
+        back = closure(_turned(inner), roots)
+        member = back.select(F.col("dst").alias("node"), F.col("src").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
+        member = scratch.write(member.distinct(), "member")
         found = member if found is None else found.unionByName(member)
-        out = member.select(F.col("node"))
+        out = member.select("node")
         rest = scratch.write(rest.join(out.toDF("src"), "src", "left_anti").join(out.toDF("dst"), "dst", "left_anti").select("src", "dst"), "edges")
-    alone = universe.withColumn("component", F.col("node"))
-    if found is None:
-        return alone
-    # roots carry the smallest label of their component already
-    return found.unionByName(alone.join(found.select("node"), "node", "left_anti"))
+        n = rest.count()
+    raise RuntimeError("strong components did not settle")
 
 
 def condense(edges: DataFrame, membership: DataFrame, node: str = "node", group: str = "cluster") -> DataFrame:
@@ -135,11 +183,17 @@ def condense(edges: DataFrame, membership: DataFrame, node: str = "node", group:
     return j.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").alias("weight"))
 
 
-def transitive_reduction(edges: DataFrame, paths: DataFrame | None = None) -> DataFrame:
-    """Edges without self loops and without those that a longer path replaces; exact on acyclic graphs."""
+def transitive_reduction(edges: DataFrame) -> DataFrame:
+    """Edges without self loops and without those that a longer path replaces; exact on acyclic graphs.
+
+    An edge a -> b is replaced if a path leads to b from another node c that a has an edge to. So paths are only
+    made from the nodes that branching nodes lead to, and only edges are joined with them.
+    """
     e = edges.filter(F.col("src") != F.col("dst"))
-    p = (closure(e) if paths is None else paths).filter(F.col("src") != F.col("dst")).select("src", "dst")
-    longer = p.select("src", F.col("dst").alias("via")).join(p.select(F.col("src").alias("via"), "dst"), "via").filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()
+    branching = e.groupBy("src").agg(F.count("*").alias("n")).filter("n > 1").select("src")
+    steps = e.select("src", F.col("dst").alias("via")).join(branching, "src", "left_semi")
+    paths = closure(e, steps.select(F.col("via").alias("node")))
+    longer = steps.join(paths.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
     return e.join(longer, ["src", "dst"], "left_anti")
 
 

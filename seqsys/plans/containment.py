@@ -47,8 +47,8 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(F.col("query").alias("src"), F.col("reference").alias("dst"), "full_ANI")
 
 
-def _systems(spark: SparkSession, d: str) -> sy.Systems:
-    return sy.find_systems(ani_pairs(spark, d), contig_attributes(spark, d), MIN_ANI, MIN_COVERAGE)
+def systems_of(spark: SparkSession, d: str) -> sy.Systems:
+    return sy.Systems(ani_pairs(spark, d), contig_attributes(spark, d), MIN_ANI, MIN_COVERAGE)
 
 
 def threshold_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -81,33 +81,35 @@ def wcc_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_graph(spark: SparkSession, d: str) -> DataFrame:
-    return _systems(spark, d).graph
+    return systems_of(spark, d).graph
 
 
 def transitive_reduction(spark: SparkSession, d: str) -> DataFrame:
-    return _systems(spark, d).reduced
+    return systems_of(spark, d).reduced
 
 
 def contig_table(spark: SparkSession, d: str) -> DataFrame:
-    t = _systems(spark, d).contigs
+    s = systems_of(spark, d)
+    t = s.contigs.join(sy.system_strings(s), "cluster", "left").withColumn("systems", F.coalesce("systems", F.lit("")))
     return t.select("contig", "cluster", "circular", "nchildren_in_cluster", F.round("avgANI", 6).alias("avgani"), "cluster_size", "cluster_type", "cluster_four_types", "representative_contig", "systems")
 
 
 def cluster_table(spark: SparkSession, d: str) -> DataFrame:
-    c = _systems(spark, d).clusters
-    return c.select(
-        "cluster", F.array_join("members", "|").alias("members"), "cluster_size", "members_circ", *[F.col(c).cast("double").alias(c) for c in ("length_min", "length_median", "length_max")],
-        "cluster_type", "cluster_four_types", "sources_parents", "sources_ancestors", "sources_circ", "rep_longest", "rep_most_children", "rep_central", "rep_circular_central", "meta_cluster", "systems",
-    )
+    s = systems_of(spark, d)
+    t = s.clusters.join(sy.joined(s.membership, "cluster", F.col("node"), "members"), "cluster").join(sy.system_strings(s), "cluster", "left")
+    lengths = [F.col(c).cast("double").alias(c) for c in ("length_min", "length_median", "length_max")]
+    reps = ["rep_longest", "rep_most_children", "rep_central", "rep_circular_central"]
+    sources = ["sources_parents", "sources_ancestors", "sources_circ"]
+    return t.select("cluster", "members", "cluster_size", "members_circ", *lengths, "cluster_type", "cluster_four_types", *sources, *reps, "meta_cluster", F.coalesce("systems", F.lit("")).alias("systems"))
 
 
 def systems(spark: SparkSession, d: str) -> DataFrame:
-    return _systems(spark, d).systems
+    return sy.systems_output(systems_of(spark, d))
 
 
 def minmax_backbones(spark: SparkSession, d: str) -> DataFrame:
-    s = _systems(spark, d)
-    return graph.extreme_elements(s.clusters.filter("cluster_type = 'backbone'").select(F.col("cluster").alias("node")), s.paths)
+    s = systems_of(spark, d)
+    return graph.extreme_elements(s.names.select(F.col("backbone").alias("node")), s.reached.select(F.col("backbone").alias("src"), F.col("cluster").alias("dst")))
 
 
 def derep_weak(spark: SparkSession, d: str) -> DataFrame:

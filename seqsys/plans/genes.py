@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqsys.functions.names import accession_key, contig_name
 from seqsys.functions.values import present_text
 from seqsys.operators import annot, cooc, coverage, intervals, layout
-from seqsys.plans.containment import _TABLES, _systems, contig_attributes
+from seqsys.plans.containment import _TABLES, contig_attributes, systems_of
 from seqsys.plans.quality import CONTIG_SQL
 
 WINDOW = 1000
@@ -163,14 +163,15 @@ def symbol_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cargo_split(spark: SparkSession, d: str) -> DataFrame:
-    s = _systems(spark, d).contigs.select("contig", "cluster", "backbones")
-    return annot.cargo(genes(spark, d), s, strict=False)
+    s = systems_of(spark, d)
+    return annot.cargo(genes(spark, d), s.membership.withColumnRenamed("node", "contig"), s.reached, strict=False)
 
 
 def anchor_cover(spark: SparkSession, d: str) -> DataFrame:
     """The anchors that cover the contigs of all systems."""
-    s = _systems(spark, d).contigs.filter(F.size("backbones") > 0).select("contig")
-    return annot.anchor_cover(genes(spark, d).join(s, "contig", "left_semi"))
+    s = systems_of(spark, d)
+    contigs = s.membership.join(s.reached.select("cluster").distinct(), "cluster").select(F.col("node").alias("contig"))
+    return annot.anchor_cover(genes(spark, d).join(contigs, "contig", "left_semi"))
 
 
 def pair_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from seqsys.operators import graph
-from seqsys.operators.systems import clusters_output, contigs_output, find_systems
+from seqsys.operators.systems import Systems, cluster_network, clusters_output, contig_network, contigs_output, systems_output
 
 
 def reach(edges):
@@ -51,16 +51,27 @@ def test_systems_fixture(spark):
     edges = [("a", "b"), ("b", "a"), ("a", "c"), ("c", "d"), ("b", "d"), ("e", "d")]
     pairs = spark.createDataFrame([(q, r, 0.95, 99.0, 0.9) for q, r in edges] + [("f", "f", 1.0, 100.0, 1.0), ("f", "a", 0.1, 99.0, 0.1)], "query string, reference string, coverage double, ANI double, full_ANI double")
     contigs = spark.createDataFrame([("a", 5, True), ("b", 9, False), ("c", 7, False), ("d", 8, False), ("e", 4, False), ("f", 3, True)], "contig string, length int, circular boolean")
-    s = find_systems(pairs, contigs)
+    s = Systems(pairs, contigs)
     c = {r.cluster: r for r in s.clusters.collect()}
-    assert {k: r.members for k, r in c.items()} == {0: ["a", "b"], 1: ["c"], 2: ["d"], 3: ["e"], 4: ["f"]}
+    assert {(r.node, r.cluster) for r in s.membership.collect()} == {("a", 0), ("b", 0), ("c", 1), ("d", 2), ("e", 3), ("f", 4)}
     assert [c[k].cluster_type for k in range(5)] == ["backbone", "fragment", "source", "fragment", "source"]
     assert [c[k].cluster_four_types for k in range(5)] == ["backbone", "fragment", "compound", "fragment", "maximal_not_in_system"]
-    assert [c[k].systems for k in range(5)] == ["PS1", "PS1", "PS1", "", ""]
     assert [c[k].sources_ancestors for k in range(5)] == [1] * 5 and [c[k].sources_circ for k in range(5)] == [0, 0, 0, 0, 1]
     assert [c[k].meta_cluster for k in range(5)] == [0, 0, 0, 0, 4]
     assert {(r.src, r.dst): r.weight for r in s.graph.collect()} == {(0, 0): 4, (0, 1): 1, (0, 2): 1, (1, 1): 1, (1, 2): 1, (2, 2): 1, (3, 3): 1, (3, 2): 1, (4, 4): 1}
     assert {(r.src, r.dst) for r in s.reduced.collect()} == {(0, 1), (1, 2), (3, 2)}
-    (p,) = s.systems.collect()
+    (p,) = systems_output(s).collect()
     assert (p.system_name, p.backbone_plasmids, p.compound_clusters, p.compound_plasmids) == ("PS1", "a|b", "2", "d")
+    out = {r.cluster: r for r in clusters_output(s).collect()}
+    assert [out[k].systems for k in range(5)] == ["PS1", "PS1", "PS1", "", ""] and out[0].contigs == "a|b"
     assert contigs_output(s).count() == 6 and clusters_output(s).filter(F.col("representative_contig").isNull()).count() == 0
+    nodes, links = contig_network(s)
+    assert nodes.count() == 6 and {(r.src, r.dst) for r in links.collect()} == set(edges)
+    nodes, links = cluster_network(s, drop_fragments=True)
+    assert {r.node for r in nodes.collect()} == {0, 2, 4} and links.count() == 0
+
+
+def test_clusters_of_no_pairs(spark):
+    pairs = spark.createDataFrame([], "query string, reference string, coverage double, ANI double, full_ANI double")
+    s = Systems(pairs, spark.createDataFrame([], "contig string, length int, circular boolean"))
+    assert systems_output(s).count() == 0 and contigs_output(s).count() == 0 and s.reduced.count() == 0
