@@ -5,20 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqsys.session import Scratch
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every node links its larger neighbours to the smallest node it knows, itself included."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every node links itself and its smaller neighbours to the smallest of them. Edges run from larger u to smaller v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter(F.col("u") != F.col("v"))
+from seqsys.operators.graph import star_components
 
 
 def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
@@ -26,33 +13,11 @@ def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataF
 
     ``pairs`` is undirected; rows with a null end are ignored, self pairs make no node,
     repeated rows and either direction count once. Every node of a pair of two
-    different nodes gives one row. An empty table gives no row.
+    different nodes gives one row. An empty table gives no row. Other columns are not read.
 
-    Each round rewrites the edge set by a large star and a small star, two joins on the
-    node; the minimum is pre-aggregated before its shuffle, and the join back has
-    the edges on its large side, where adaptive execution splits a node that
-    holds very many of them. Both keep connectivity, and the edge count never grows:
-    at the fixed point every node is linked to its component's minimum only. Rounds are
-    cut by a written table; the test for the fixed point reads two numbers.
+    The edge set is rewritten by large stars and small stars, through joins, until it stays the same:
+    every record is then linked to its component's minimum identifier.
     """
-    scratch = Scratch(pairs.sparkSession, "components")
     x, y = F.col(a).cast("string"), F.col(b).cast("string")
-    edges = (
-        pairs.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
-        .filter(x.isNotNull() & y.isNotNull() & (x != y))
-        .distinct()
-    )
-    edges = scratch.write(edges, "edges")
-    before, path = None, scratch.last
-    for _ in range(max_rounds):
-        new = scratch.write(_small_star(_large_star(edges).distinct()).distinct(), "edges")
-        now = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        old, path = path, scratch.last
-        if before is not None and (now.n, now.h) == before:
-            break
-        edges, before = new, (now.n, now.h)
-        scratch.drop(old)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    linked = pairs.select(x.alias("u"), y.alias("v")).filter(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
+    return star_components(linked, max_rounds)
