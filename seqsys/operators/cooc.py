@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqsys.operators.intervals import run_index
+from seqsys.operators.intervals import with_run_index
 from seqsys.session import Scratch
 
 #: Orientation codes 2 * direction(later) + direction(earlier), f = 0, r = 1.
@@ -14,8 +14,8 @@ ORIENTATIONS = {0: "forward", 1: "outward", 2: "inward", 3: "reverse"}
 
 def gene_ranks(genes: DataFrame) -> DataFrame:
     """Replace coordinates by the gene's rank along its contig; genes of one start share a rank."""
-    rank = run_index("start", ["contig"], ["start"])
-    return genes.withColumn("_rank", rank).withColumns({"start": F.col("_rank"), "stop": F.col("_rank")}).drop("_rank")
+    ranked = with_run_index(genes, "start", ["contig"], ["start"], "_rank")
+    return ranked.withColumns({"start": F.col("_rank"), "stop": F.col("_rank")}).drop("_rank")
 
 
 def window_pairs(genes: DataFrame, w: int, by_rank: bool = False) -> DataFrame:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqsys.operators.intervals import running_depth
+from seqsys.operators.runs import stretches_and_gaps
+from seqsys.operators.scan import value_after
+from seqsys.session import Scratch
+
 
 def _new_part(keys: list[str], start: str, stop: str) -> Column:
     """The part of [start, stop) that no earlier interval of the group covers."""
@@ -13,14 +18,19 @@ def _new_part(keys: list[str], start: str, stop: str) -> Column:
     return F.greatest(F.lit(0), F.col(stop) - F.greatest(F.col(start), reached))
 
 
-def union_coverage(df: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
-    """Per group: ``cov`` (sum of lengths), ``cov_uniq`` (length of the union), ``n``. Intervals are half-open."""
-    parts = df.withColumn("_new", _new_part(keys, start, stop))
-    return parts.groupBy(*keys).agg(F.sum(F.col(stop) - F.col(start)).alias("cov"), F.sum("_new").alias("cov_uniq"), F.count("*").alias("n"))
+def union_coverage(df: DataFrame, key: str, start: str, stop: str) -> DataFrame:
+    """Per key: ``cov`` (sum of lengths), ``cov_uniq`` (length of the union), ``n``. Intervals are half-open whole numbers.
+
+    The union comes from run bitmaps, the rest is combined before the shuffle, so a key with very many intervals is spread.
+    """
+    rows = df.select(F.col(key).cast("string").alias(key), start, stop)
+    per = rows.groupBy(key).agg(F.sum(F.col(stop) - F.col(start)).alias("cov"), F.count("*").alias("n"))
+    union = stretches_and_gaps(rows, key, start, stop).filter("kind = 'covered'").groupBy(key).agg(F.sum(F.col("stop") - F.col("start")).alias("cov_uniq"))
+    return per.join(union, key, "left").select(key, "cov", F.coalesce("cov_uniq", F.lit(0)).alias("cov_uniq"), "n")
 
 
 def pair_summary(blocks: DataFrame) -> DataFrame:
-    """Alignment blocks (1-based closed, either orientation) to one row per (ref, query).
+    """Alignment blocks (1-based closed, either orientation) to one row per (ref, query), whose blocks are one window.
 
     Columns: ``query_cov, query_cov_uniq, mismatches, nblocks, ANI, full_ANI`` as fractions. Overlapping
     blocks count repeatedly in ``query_cov`` and ANI, once in ``query_cov_uniq``.
@@ -43,9 +53,9 @@ def position_deltas(df: DataFrame, keys: list[str], start: str, stop: str) -> Da
 
 def depth_profile(df: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
     """Run-length depth: ``keys, start, stop, depth`` for every stretch of constant depth above 0."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    d = position_deltas(df, keys, start, stop)
-    d = d.withColumn("depth", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("stop", F.lead("pos").over(w))
+    scratch = Scratch(df.sparkSession, "depth")
+    depth = scratch.write(running_depth(df, keys, start, stop, scratch), "depth")
+    d = value_after(depth, keys, ["pos"], "pos", "stop")
     return d.filter(F.col("depth") > 0).select(*keys, F.col("pos").alias("start"), "stop", "depth")
 
 

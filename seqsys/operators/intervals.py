@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqsys.operators.scan import max_before, running_sum, sharded, value_before
+from seqsys.session import Scratch
+
 
 def overlaps(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """Half-open overlap that also holds for an empty interval at the start of another."""
@@ -18,12 +21,13 @@ def slop(df: DataFrame, k: int, size: str | None = None, start: str = "start", s
 
 
 def with_island(df: DataFrame, keys: list[str], start: str = "start", stop: str = "stop", out: str = "island") -> DataFrame:
-    """Number the connected groups of overlapping intervals per key; touching stays apart."""
-    order = Window.partitionBy(*keys).orderBy(start, stop)
-    reached = F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = df.withColumn("_opens", F.when(F.col(start) < reached, 0).otherwise(1))
-    # peers of one (start, stop) belong to one island, so a range frame is the same and ties do not matter
-    return opens.withColumn(out, F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+    """Number the connected groups of overlapping intervals per key; touching stays apart. Rows with a null key are left out."""
+    scratch = Scratch(df.sparkSession, "islands")
+    rows = scratch.write(sharded(df, start), "rows")
+    # peers of one (start, stop) belong to one island
+    reached = scratch.write(max_before(rows, keys, [start, stop], stop, "_reached"), "reached")
+    opens = F.when(F.col(start) < F.col("_reached"), 0).otherwise(1)
+    return running_sum(reached, keys, [start, stop], opens, out, peers=True).drop("_reached", "_shard")
 
 
 def merge(df: DataFrame, keys: list[str], start: str = "start", stop: str = "stop", aggs: dict[str, Column] | None = None) -> DataFrame:
@@ -66,23 +70,35 @@ def rotate(df: DataFrame, delta: Column, length: Column, start: str = "start", s
     return out.withColumns({start: F.when(F.col("_back"), e).otherwise(s), stop: F.when(F.col("_back"), s).otherwise(e), "part": F.col("_p.part")}).drop("_p", "_back")
 
 
-def run_index(value: str, keys: list[str], order: list[str]) -> Column:
-    """0-based number of the run of equal values a row is in, along ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    change = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) | (F.row_number().over(w) == 1), 0).otherwise(1)
-    return F.sum(change).over(w.rowsBetween(Window.unboundedPreceding, 0))
+def with_run_index(df: DataFrame, value: str, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Add the 0-based number of the run of equal values a row is in, along ``order``, whose first column is a position. Rows with a null key are left out."""
+    scratch = Scratch(df.sparkSession, "run-index")
+    rows = scratch.write(sharded(df, order[0]), "rows")
+    x = scratch.write(value_before(rows, keys, order, value, "_before", "_is_first"), "before")
+    change = F.when(F.col("_is_first") | F.col("_before").eqNullSafe(F.col(value)), 0).otherwise(1)
+    return running_sum(x, keys, order, change, out, peers=True).drop("_before", "_is_first", "_shard")
+
+
+def running_depth(df: DataFrame, keys: list[str], start: str, stop: str, scratch: Scratch) -> DataFrame:
+    """Rows ``keys, pos, depth, _shard``: the number of intervals open from each position where it changes."""
+    ends = F.array(F.struct(F.col(start).alias("pos"), F.lit(1).alias("d")), F.struct(F.col(stop).alias("pos"), F.lit(-1).alias("d")))
+    each = df.filter(F.col(stop) > F.col(start)).select(*keys, F.explode(ends).alias("e"))
+    per = each.groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("delta")).filter(F.col("delta") != 0)
+    rows = scratch.write(sharded(per, "pos"), "deltas")
+    return running_sum(rows, keys, ["pos"], F.col("delta"), "depth")
 
 
 def tiers(df: DataFrame, key: str, start: str = "start", stop: str = "stop") -> DataFrame:
     """Rows a drawing needs per key: the largest number of intervals open at any start."""
-    opened = df.select(key, F.explode(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).alias("d")), F.struct(F.col(stop).alias("pos"), F.lit(-1).alias("d")))).alias("e")).filter(F.col(stop) > F.col(start))
-    per = opened.groupBy(key, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
-    depth = per.withColumn("depth", F.sum("d").over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    depth = running_depth(df, [key], start, stop, Scratch(df.sparkSession, "tiers"))
     return depth.groupBy(key).agg(F.max("depth").alias("tiers"))
 
 
 def with_locus(df: DataFrame, key: str = "contig", start: str = "start") -> DataFrame:
     """Name the loci of contigs that have two or more: ``locus`` = contig or contig_locus_i (from 0)."""
-    w = Window.partitionBy(key)
-    i = F.row_number().over(w.orderBy(start)) - 1
-    return df.withColumn("locus", F.when(F.count("*").over(w) > 1, F.concat_ws("_locus_", F.col(key), i.cast("string"))).otherwise(F.col(key)))
+    scratch = Scratch(df.sparkSession, "loci")
+    rows = scratch.write(sharded(df, start), "rows")
+    several = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    numbered = running_sum(rows, [key], [start, *[c for c in df.columns if c not in (key, start)]], F.lit(1), "_i").join(several, key)
+    name = F.when(F.col("_n") > 1, F.concat_ws("_locus_", F.col(key), (F.col("_i") - 1).cast("string"))).otherwise(F.col(key))
+    return numbered.withColumn("locus", name).drop("_i", "_n", "_shard")

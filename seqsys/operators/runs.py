@@ -8,7 +8,8 @@ kept compressed as runs. Every map task unions its own intervals per shard befor
 the shuffle, so what reaches one reducer of a hot entity is a set of bitmaps, each
 bounded by the shard width, never the raw intervals; shards of one entity go to
 different tasks. Set runs are the covered stretches, clear runs between two set ones
-are the gaps. Only runs that reach a shard's border, and one row per shard for
+are the gaps. Shards that one interval covers from border to border are not filled but kept
+as one run of shards, so that an interval may be of any length. Only runs that reach a shard's border, and one row per shard for
 the gaps across borders, are stitched by a window over the entity.
 """
 
@@ -142,8 +143,11 @@ def stretches_and_gaps(df: DataFrame, entity: str, start: str, stop: str) -> Dat
     bits = (
         df.select(F.col(entity).cast("string").alias("name"), F.col(start).cast("long").alias("s"), F.col(stop).cast("long").alias("e"))
         .filter(F.col("name").isNotNull() & (F.col("e") > F.col("s")))
-        .select("name", lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(F.shiftright(lo, SHARD_BITS), F.shiftright(hi, SHARD_BITS))).alias("shard"))
+        .select("name", lo.alias("lo"), hi.alias("hi"), F.shiftright(lo, SHARD_BITS).alias("low"), F.shiftright(hi, SHARD_BITS).alias("high"))
     )
+    # an interval fills its first and last shard in part, and all between them as a whole
+    full = bits.filter(F.col("high") - F.col("low") > 1).groupBy("name", (F.col("low") + 1).alias("shard")).agg(F.max(F.col("high") - 1).alias("to"))
+    bits = bits.select("name", "lo", "hi", F.explode(F.array_distinct(F.array("low", "high"))).alias("shard"))
     base = F.shiftleft(F.col("shard"), SHARD_BITS)
     cut = bits.select(
         "name", "shard", (F.greatest("lo", base) - base).alias("a"), (F.least("hi", base + ((1 << SHARD_BITS) - 1)) - base).alias("b")
@@ -154,8 +158,23 @@ def stretches_and_gaps(df: DataFrame, entity: str, start: str, stop: str) -> Dat
         .sortWithinPartitions("name", "shard")
         .mapInArrow(_merge, "name string, shard long, starts array<long>, ends array<long>")
     )
-    first_bit, last_bit = F.shiftleft(F.col("shard"), SHARD_BITS), F.shiftleft(F.col("shard") + 1, SHARD_BITS) - 1
-    runs = scratch.write(merged, "shards").withColumns({"first_bit": first_bit, "last_bit": last_bit})
+    # whole shards: one row per shard and per run of whole shards, in the order of the shards
+    shards = scratch.write(merged, "shards")
+    none = F.lit(None).cast("array<long>")
+    rows = shards.withColumn("to", F.lit(None).cast("long")).unionByName(full.select("name", "shard", none.alias("starts"), none.alias("ends"), "to"))
+    earlier = Window.partitionBy("name").orderBy("shard", F.col("to").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("reached", F.max("to").over(earlier))
+    # of shards and runs of shards within earlier runs nothing is left, of overlapping ones the new part
+    rows = rows.filter(F.col("reached").isNull() | (F.col("reached") < F.coalesce("to", "shard")))
+    rows = rows.withColumn("shard", F.when(F.col("to").isNotNull(), F.greatest("shard", F.col("reached") + 1)).otherwise(F.col("shard")))
+    first_bit = F.shiftleft(F.col("shard"), SHARD_BITS)
+    last_bit = F.shiftleft(F.coalesce("to", "shard") + 1, SHARD_BITS) - 1
+    whole = F.col("to").isNotNull()
+    runs = rows.select(
+        "name", "shard", F.when(whole, F.array(first_bit)).otherwise(F.col("starts")).alias("starts"), F.when(whole, F.array(last_bit)).otherwise(F.col("ends")).alias("ends"),
+        first_bit.alias("first_bit"), last_bit.alias("last_bit"),
+    )
+    runs = scratch.write(runs, "runs")
 
     each = runs.select("name", "first_bit", "last_bit", F.explode(F.arrays_zip("starts", "ends")).alias("r")).select(
         "name", F.col("r.starts").alias("a"), F.col("r.ends").alias("b"), ((F.col("r.starts") == F.col("first_bit")) | (F.col("r.ends") == F.col("last_bit"))).alias("open")

@@ -36,7 +36,7 @@ def genes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coverage_union(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.union_coverage(calls(spark, d), ["contig"], "start", "stop")
+    return coverage.union_coverage(calls(spark, d), "contig", "start", "stop")
 
 
 def depth_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -69,8 +69,8 @@ def rotate_coords(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dense_rank_runs(spark: SparkSession, d: str) -> DataFrame:
-    run = intervals.run_index("direction", ["contig"], ["start", "gene_callers_id"])
-    return calls(spark, d).select("gene_callers_id", run.cast("int").alias("run"))
+    runs = intervals.with_run_index(calls(spark, d), "direction", ["contig"], ["start", "gene_callers_id"], "run")
+    return runs.select("gene_callers_id", F.col("run").cast("int").alias("run"))
 
 
 def tiers(spark: SparkSession, d: str) -> DataFrame:

@@ -17,7 +17,7 @@ def test_coverage_and_depth_against_positions(spark):
     rng = random.Random(3)
     rows = [(rng.choice("ab"), s, s + rng.randrange(1, 30)) for s in (rng.randrange(200) for _ in range(80))]
     df = spark.createDataFrame(rows, "k string, start int, stop int")
-    got = {r.k: (r.cov, r.cov_uniq, r.n) for r in coverage.union_coverage(df, ["k"], "start", "stop").collect()}
+    got = {r.k: (r.cov, r.cov_uniq, r.n) for r in coverage.union_coverage(df, "k", "start", "stop").collect()}
     depth = {(k, p): sum(1 for x, s, e in rows if x == k and s <= p < e) for k in "ab" for p in range(240)}
     for k in "ab":
         assert got[k] == (sum(e - s for x, s, e in rows if x == k), sum(1 for p in range(240) if depth[k, p]), sum(1 for r in rows if r[0] == k))
@@ -57,3 +57,35 @@ def test_matching_and_cover(spark):
     rows = [("1", 0, "X"), ("2", 0, "X"), ("3", 0, "X"), ("3", 20, "Y"), ("4", 10, "Y"), ("4", 5, "Z")]
     g = spark.createDataFrame([(c, p, p + 1, a, "s") for c, p, a in rows], "contig string, start int, stop int, accession string, source string")
     assert [r.accession for r in annot.anchor_cover(g).orderBy("position").collect()] == ["X", "Z"]
+
+
+def test_one_contig_of_very_many_calls(spark):
+    """Rows of a hot contig stand in many tasks, and the results are those of one pass."""
+    n = 200_000
+    df = spark.range(n).select(F.lit("hot").alias("contig"), (F.col("id") * 7919 % 1_000_003).cast("int").alias("start"), F.col("id")).withColumn("stop", F.col("start") + 3 + F.col("id").cast("int") % 5)
+    df = df.unionByName(spark.createDataFrame([("hot", 400_000, -1, 500_000), ("cold", 5, -2, 9)], "contig string, start int, id long, stop int"))
+    placed = intervals.sharded(df, "start")
+    assert placed.groupBy("contig", "_shard").count().agg(F.max("count")).first()[0] < n / 30
+    rows = sorted((r.contig, r.start, r.stop, r.id) for r in df.collect())
+    islands, runs, opened = {}, {}, []
+    for c, s, e, i in rows:
+        if c in islands and s < islands[c][-1][1]:
+            islands[c][-1][1] = max(e, islands[c][-1][1])
+        else:
+            islands.setdefault(c, []).append([s, e])
+    got = {(r.contig, r.start, r.stop) for r in intervals.merge(df, ["contig"]).collect()}
+    assert got == {(c, s, e) for c, v in islands.items() for s, e in v}
+    ranks = {r.id: r.k for r in intervals.with_run_index(df, "start", ["contig"], ["start", "id"], "k").select("id", "k").collect()}
+    want, last, k = {}, None, 0
+    for c, s, i in sorted((c, s, i) for c, s, _, i in rows):
+        k = 0 if last is None or last[0] != c else k + (s != last[1])
+        want[i], last = k, (c, s)
+    assert ranks == want
+    events = sorted([(s, 1) for c, s, e, _ in rows if c == "hot"] + [(e, -1) for c, s, e, _ in rows if c == "hot"])
+    depth = most = 0
+    for _, d in events:
+        depth += d
+        most = max(most, depth)
+    assert {r.contig: r.tiers for r in intervals.tiers(df, "contig").collect()} == {"hot": most, "cold": 1}
+    cov = {r.contig: r.cov_uniq for r in coverage.union_coverage(df, "contig", "start", "stop").collect()}
+    assert cov == {c: sum(e - s for s, e in v) for c, v in islands.items()}

@@ -36,6 +36,27 @@ def test_across_shards(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_intervals_of_any_length(spark):
+    unit = 1 << (SHARD_BITS - 1)
+    rows = [("x", 0, 2 * 10**14), ("x", 10**14, 2 * 10**14 + 7), ("x", 3 * 10**14, 3 * 10**14 + 1), ("x", 5, 9), ("y", -(10**15), 10**15)]
+    rows += [("z", 0, 9 * unit), ("z", 4 * unit, 20 * unit + 3), ("z", 2 * unit, 5 * unit), ("z", 20 * unit + 3, 20 * unit + 5), ("z", 30 * unit, 33 * unit), ("z", 33 * unit, 37 * unit), ("z", 40 * unit - 1, 44 * unit)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_long_and_short_at_random(spark):
+    rng = random.Random(6)
+    unit = 1 << (SHARD_BITS - 1)
+    rows = []
+    for _ in range(400):
+        s = rng.randrange(60 * unit)
+        rows.append((rng.choice("ab"), s, s + rng.choice([1, 50, unit, unit // 2, 3 * unit, 7 * unit if rng.random() < 0.1 else 9])))
+        rows.append(("c", s // unit * unit, (s // unit + rng.randrange(1, 5)) * unit))
+    rows = [r for r in rows if r[0] != "a" or r[1] % 7]
+    for name in "abc":
+        some = [r for r in rows if r[0] == name][:60]
+        assert run(spark, some) == brute(some)
+
+
 def test_random_against_brute_force(spark):
     rng = random.Random(5)
     rows = []
