@@ -26,3 +26,12 @@ def plain_width(c: Column) -> Column:
 def present_text(c: Column) -> Column:
     """True where a text says something: not null, blank or a stand-in."""
     return F.coalesce(~F.lower(F.trim(plain_width(c))).isin(STAND_INS), F.lit(False))
+
+
+def fraction(x: str, *whole_row: str) -> Column:
+    """A value above 1, or one in a row where another of ``whole_row`` is above 1, is a percentage; NaN is missing."""
+    v = F.nanvl(F.col(x), F.lit(None))
+    percent = v > 1
+    for o in whole_row:
+        percent = percent | (F.nanvl(F.col(o), F.lit(0.0)) > 1)
+    return F.when(F.coalesce(percent, F.lit(False)), v / 100).otherwise(v)

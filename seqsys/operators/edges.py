@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqsys.session import Scratch
+
 
 def with_coverage(df: DataFrame, matched: str = "fragments_matched", total: str = "total_query_fragments", force: bool = False) -> DataFrame:
     """Add ``coverage = matched / total`` where it is absent or ``force`` is set."""
@@ -38,31 +40,44 @@ def drop_self(edges: DataFrame, src: str = "query", dst: str = "reference") -> D
     return edges.filter(F.col(src) != F.col(dst))
 
 
-def with_self(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Edges and one self loop per node, each once."""
-    loops = nodes.toDF("_n").select(F.col("_n").alias(src), F.col("_n").alias(dst))
-    return edges.select(src, dst).unionByName(loops).distinct()
-
-
 def nodes_of(edges: DataFrame, src: str = "query", dst: str = "reference") -> DataFrame:
     """The vertex universe: every name on either side, as ``node``."""
     return edges.select(F.col(src).alias("node")).unionByName(edges.select(F.col(dst).alias("node"))).distinct()
 
 
-def shared_items(members: DataFrame, max_share: float | None = None) -> DataFrame:
-    """Rows ``a, b, shared, n_a, n_b`` (a <> b) of records that share items.
+def similar_records(members: DataFrame, method: str, threshold: float, min_items: int = 1) -> DataFrame:
+    """Rows ``a, b, shared, n_a, n_b``: records of ``min_items`` or more items whose overlap score is at least ``threshold``.
 
-    ``members`` are distinct (record, item) pairs. Items held by more than
-    ``max_share`` of the records may be declared uninformative; by default none is.
-    Both sides are joined on the item; adaptive execution splits a hot item.
+    ``members`` are distinct, non-null (record, item) pairs. For ``jaccard`` and ``minsize`` each pair is one row with
+    a < b, for ``rowsize``, the share of a's items that b holds, each direction. An empty table gives no row.
+
+    A pair that reaches the threshold shares at least k of the smaller (or contained) record's n items, so one of its n - k + 1
+    rarest: only those are joined, with the other record's rarest (jaccard) or all items. A
+    frequent item is joined for the few records only that have no rarer ones, not for all that hold it. Item sets decide.
     """
-    sizes = members.groupBy("record").agg(F.count("*").alias("n"))
-    m = members.join(sizes, "record")
-    if max_share is not None:
-        limit = sizes.count() * max_share
-        m = m.join(members.groupBy("item").agg(F.count("*").alias("f")).filter(F.col("f") <= limit).select("item"), "item", "left_semi")
-    l, r = m.toDF("a", "item", "n_a") if m.columns[0] == "record" else m.select("record", "item", "n").toDF("a", "item", "n_a"), m.select("record", "item", "n").toDF("b", "item", "n_b")
-    return l.join(r, "item").filter(F.col("a") != F.col("b")).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    scratch = Scratch(members.sparkSession, "similar")
+    m = scratch.write(members.select("record", "item"), "members")
+    often = m.groupBy("item").agg(F.count("*").alias("f"))
+    ranked = m.join(often, "item").groupBy("record").agg(F.array_sort(F.collect_list(F.struct("f", F.xxhash64("item").alias("h"), "item"))).alias("items"))
+    sets = scratch.write(ranked.select("record", F.col("items.item").alias("items"), F.size("items").alias("n")).filter(F.col("n") >= max(1, min_items)), "sets")
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(float(threshold)) - 1e-9)).cast("int")
+    rarest = F.slice("items", F.lit(1), F.greatest(F.lit(1), F.col("n") - least + 1))
+    left = sets.select(F.col("record").alias("a"), F.col("n").alias("n_a"), F.explode(rarest).alias("item"))
+    right = sets.select(F.col("record").alias("b"), F.col("n").alias("n_b"), F.explode(rarest if method == "jaccard" else F.col("items")).alias("item"))
+    met = left.join(right, "item").filter(F.col("a") != F.col("b"))
+    if method == "jaccard":
+        met = met.filter((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(float(threshold)) - 1e-9))
+    elif method == "minsize":
+        met = met.filter((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
+    items = sets.select("record", "items")
+    pairs = met.select("a", "b", "n_a", "n_b").distinct().join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b")
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("x", "y"))).drop("x", "y")
+    kept = pairs.filter(overlap_score(method, F.col("shared"), F.col("n_a"), F.col("n_b")) >= F.lit(float(threshold)) - 1e-12)
+    if method == "minsize":
+        first = F.col("a") < F.col("b")
+        turn = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
+        return kept.select(turn("a", "b").alias("a"), turn("b", "a").alias("b"), "shared", turn("n_a", "n_b").alias("n_a"), turn("n_b", "n_a").alias("n_b"))
+    return kept.select("a", "b", "shared", "n_a", "n_b")
 
 
 def overlap_score(method: str, shared: Column, a: Column, b: Column) -> Column:

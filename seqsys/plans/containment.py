@@ -1,33 +1,25 @@
-"""Containment queries over the pair table and the order baskets: edges, components, systems."""
+"""Containment queries over the pair table and the accessions of contigs: edges, components, systems, gene content."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqsys.functions.names import contig_name
+from seqsys.functions.names import accession_key, contig_name
+from seqsys.functions.values import fraction
 from seqsys.operators import edges, graph
 from seqsys.operators import systems as sy
-from seqsys.plans.quality import CONTIG_SQL
+from seqsys.plans.sql import MEMBERS, contig_sql, fraction_sql
 
 MIN_COVERAGE, MIN_ANI = 0.9, 90.0
 
 
-def _fraction(x: str, *whole_row: str) -> Column:
-    """A value above 1, or one in a row with such a value, is a percentage; NaN is missing."""
-    v = F.nanvl(F.col(x), F.lit(None))
-    percent = v > 1
-    for o in whole_row:
-        percent = percent | (F.nanvl(F.col(o), F.lit(0.0)) > 1)
-    return F.when(F.coalesce(percent, F.lit(False)), v / 100).otherwise(v)
-
-
 def ani_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The last run of every (query, reference): ``coverage`` 0..1, ``ANI`` in percent, ``full_ANI`` 0..1."""
     a = spark.read.parquet(f"{d}/ani.parquet").select("reference", "query", "c", "i_local", "i_global", "run_at")
     a = a.select(
         contig_name(F.col("query")).alias("query"), contig_name(F.col("reference")).alias("reference"),
-        F.struct("run_at", _fraction("c", "i_local").alias("c"), _fraction("i_local").alias("l"), _fraction("i_global", "c", "i_local").alias("g")).alias("run"),
+        F.struct("run_at", fraction("c", "i_local").alias("c"), fraction("i_local").alias("l"), fraction("i_global", "c", "i_local").alias("g")).alias("run"),
     ).filter(F.col("query").isNotNull() & F.col("reference").isNotNull())
     last = a.groupBy("query", "reference").agg(F.max("run").alias("run"))
     return last.select("query", "reference", F.col("run.c").alias("coverage"), (F.col("run.l") * 100).alias("ANI"), F.col("run.g").alias("full_ANI"))
@@ -116,31 +108,36 @@ def derep_weak(spark: SparkSession, d: str) -> DataFrame:
     return sy.derep_weak(_edges(spark, d), contig_attributes(spark, d))
 
 
-def _baskets(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("record"), F.col("l_partkey").alias("item")).distinct()
+def _gene_content(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct accessions of every contig."""
+    f = spark.read.parquet(f"{d}/gene_functions.parquet")
+    return f.select(contig_name(F.col("contig")).alias("record"), accession_key(F.col("accession")).alias("item")).dropna().distinct()
+
+
+def gene_content_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    """Contigs that share at least half of the accessions that either carries."""
+    s = edges.similar_records(_gene_content(spark, d), "jaccard", 0.5, min_items=5)
+    return s.select("a", "b", "shared", F.round(edges.overlap_score("jaccard", F.col("shared"), F.col("n_a"), F.col("n_b")), 6).alias("jaccard"))
 
 
 def basket_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Orders that share at least half of the smaller one's parts, by all three scores."""
-    s = edges.shared_items(_baskets(spark, d)).filter(F.col("a") < F.col("b"))
+    """Contigs that share at least 60 % of the smaller one's accessions, by all three scores."""
+    s = edges.similar_records(_gene_content(spark, d), "minsize", 0.6, min_items=5)
     score = {m: edges.overlap_score(m, F.col("shared"), F.col("n_a"), F.col("n_b")) for m in ("jaccard", "minsize", "rowsize")}
-    return s.filter((score["minsize"] >= 0.5) & (F.col("shared") >= 2)).select("a", "b", "shared", *[F.round(v, 6).alias(k) for k, v in score.items()])
+    return s.select("a", "b", "shared", *[F.round(v, 6).alias(k) for k, v in score.items()])
 
 
 def basket_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Orders of three or more parts contained to 60 % in another one."""
-    s = edges.shared_items(_baskets(spark, d)).filter((F.col("n_a") >= 3) & (F.col("n_b") >= 3))
-    return s.filter(edges.overlap_score("rowsize", F.col("shared"), F.col("n_a"), F.col("n_b")) >= 0.6).select(F.col("a").alias("query"), F.col("b").alias("reference"), "shared")
+    """Contigs whose accessions are contained to 80 % in another one's."""
+    s = edges.similar_records(_gene_content(spark, d), "rowsize", 0.8, min_items=5)
+    return s.select(F.col("a").alias("query"), F.col("b").alias("reference"), "shared")
 
 
-QUERIES = {f.__name__: f for f in (threshold_edges, reciprocal_edges, contig_universe, similarity_hist, closure_pairs, scc_clusters, wcc_clusters, cluster_graph, transitive_reduction, contig_table, cluster_table, systems, minmax_backbones, derep_weak, basket_overlaps, basket_containment)}
+QUERIES = {f.__name__: f for f in (threshold_edges, reciprocal_edges, contig_universe, similarity_hist, closure_pairs, scc_clusters, wcc_clusters, cluster_graph, transitive_reduction, contig_table, cluster_table, systems, minmax_backbones, derep_weak, gene_content_jaccard, basket_overlaps, basket_containment)}
 
-_Q, _R = CONTIG_SQL.format(c="query"), CONTIG_SQL.format(c="reference")
 _PAIRS = f"""
-raw AS (SELECT {_Q} AS query, {_R} AS reference, run_at,
-  CASE WHEN isnan(c) THEN NULL WHEN c > 1 OR (NOT isnan(i_local) AND i_local > 1) THEN c / 100 ELSE c END AS c,
-  CASE WHEN isnan(i_local) THEN NULL WHEN i_local > 1 THEN i_local / 100 ELSE i_local END AS l,
-  CASE WHEN isnan(i_global) THEN NULL WHEN i_global > 1 OR (NOT isnan(c) AND c > 1) OR (NOT isnan(i_local) AND i_local > 1) THEN i_global / 100 ELSE i_global END AS g FROM ani),
+raw AS (SELECT {contig_sql("query")} AS query, {contig_sql("reference")} AS reference, run_at,
+  {fraction_sql("c", "i_local")} AS c, {fraction_sql("i_local")} AS l, {fraction_sql("i_global", "c", "i_local")} AS g FROM ani),
 pairs AS (SELECT query, reference, c, l * 100 AS ani, g FROM (SELECT *, row_number() OVER (PARTITION BY query, reference ORDER BY run_at DESC NULLS LAST, c DESC NULLS LAST, l DESC NULLS LAST, g DESC NULLS LAST) AS k
   FROM raw WHERE query IS NOT NULL AND reference IS NOT NULL) WHERE k = 1),
 e AS (SELECT query AS src, reference AS dst, g FROM pairs WHERE c >= 0.9 AND ani >= 90),
@@ -175,7 +172,7 @@ full_table AS (SELECT typed.*, coalesce(systems, '') AS systems, CASE WHEN clust
   (SELECT count(*) FROM paths p JOIN typed t ON t.cluster = p.dst WHERE p.src = typed.cluster AND t.is_source) AS sources_ancestors,
   (SELECT count(*) FROM paths p JOIN typed t ON t.cluster = p.dst WHERE p.src = typed.cluster AND t.is_source AND t.members_circ > 0) AS sources_circ
   FROM typed LEFT JOIN strings USING (cluster) JOIN meta USING (cluster))"""
-_BASKETS = """WITH b AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS i FROM lineitem), z AS (SELECT r, i, count(*) OVER (PARTITION BY r) AS n FROM b),
+_CONTENT = f"""WITH {MEMBERS}, z AS (SELECT contig AS r, k AS i, n FROM (SELECT *, count(*) OVER (PARTITION BY contig) AS n FROM m) WHERE n >= 5),
 s AS (SELECT x.r AS a, y.r AS b, x.n AS n_a, y.n AS n_b, count(*) AS shared FROM z x JOIN z y ON x.i = y.i AND x.r <> y.r GROUP BY 1, 2, 3, 4)"""
 
 SQL = {
@@ -200,6 +197,8 @@ SQL = {
     "derep_weak": _TABLES + """, u AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), wr AS (SELECT src, dst FROM u UNION SELECT r.src, u.dst FROM wr r JOIN u ON u.src = r.dst),
  wc AS (SELECT src AS node, min(dst) AS component FROM wr GROUP BY 1)
  SELECT first_value(wc.node) OVER (PARTITION BY component ORDER BY coalesce(length, -1) DESC, wc.node) AS representative, wc.node AS contig FROM wc LEFT JOIN attr ON attr.contig = wc.node""",
-    "basket_overlaps": _BASKETS + " SELECT a, b, shared, round(shared / (n_a + n_b - shared), 6) AS jaccard, round(shared / least(n_a, n_b), 6) AS minsize, round(shared / n_a, 6) AS rowsize FROM s WHERE a < b AND shared >= 2 AND shared / least(n_a, n_b) >= 0.5",
-    "basket_containment": _BASKETS + " SELECT a AS query, b AS reference, shared FROM s WHERE n_a >= 3 AND n_b >= 3 AND shared / n_a >= 0.6",
+    "gene_content_jaccard": _CONTENT + " SELECT a, b, shared, round(shared / (n_a + n_b - shared), 6) AS jaccard FROM s WHERE a < b AND shared * 10 >= 5 * (n_a + n_b - shared)",
+    "basket_overlaps": _CONTENT
+    + " SELECT a, b, shared, round(shared / (n_a + n_b - shared), 6) AS jaccard, round(shared / least(n_a, n_b), 6) AS minsize, round(shared / n_a, 6) AS rowsize FROM s WHERE a < b AND shared * 10 >= 6 * least(n_a, n_b)",
+    "basket_containment": _CONTENT + " SELECT a AS query, b AS reference, shared FROM s WHERE shared * 10 >= 8 * n_a",
 }

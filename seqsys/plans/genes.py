@@ -9,7 +9,7 @@ from seqsys.functions.names import accession_key, contig_name
 from seqsys.functions.values import present_text
 from seqsys.operators import annot, cooc, coverage, intervals, layout
 from seqsys.plans.containment import _TABLES, contig_attributes, systems_of
-from seqsys.plans.quality import CONTIG_SQL
+from seqsys.plans.sql import NONE, accession_sql, contig_sql
 
 WINDOW = 1000
 
@@ -194,17 +194,14 @@ QUERIES = {
     )
 }
 
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-_PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
-_KEY = r"lower(regexp_replace(regexp_replace(translate(accession, '" + _WIDE + "', '" + _PLAIN + r"'), '[\s\p{Z}\p{Cf}]', '', 'g'), '\.[0-9]+$', ''))"
-_NONE = "('', '-', '.', '?', 'na', 'n/a', 'none', 'null', 'unknown')"
+_KEY = f"lower({accession_sql('accession')})"
 _CALLS = f"""
 calls AS (SELECT * EXCLUDE (k, loaded_at) FROM (SELECT *, row_number() OVER (PARTITION BY gene_callers_id ORDER BY loaded_at DESC NULLS LAST, start DESC, stop DESC, direction DESC, contig DESC) AS k FROM
-  (SELECT gene_callers_id, {CONTIG_SQL.format(c="contig")} AS contig, least(start, stop) AS start, greatest(start, stop) AS stop, CASE WHEN direction IN ('r', '-') THEN 'r' ELSE 'f' END AS direction, loaded_at
+  (SELECT gene_callers_id, {contig_sql("contig")} AS contig, least(start, stop) AS start, greatest(start, stop) AS stop, CASE WHEN direction IN ('r', '-') THEN 'r' ELSE 'f' END AS direction, loaded_at
    FROM gene_calls WHERE gene_callers_id IS NOT NULL AND start <> stop) WHERE contig IS NOT NULL) WHERE k = 1)"""
 _GENES = _CALLS + f""",
-ann AS (SELECT gene_callers_id, k AS accession, coalesce(max(source), 'unnamed') AS source FROM (SELECT gene_callers_id, {_KEY} AS k, CASE WHEN lower(trim(source)) NOT IN {_NONE} THEN source END AS source FROM gene_functions WHERE gene_callers_id > 0)
-  WHERE k IS NOT NULL AND k NOT IN {_NONE} GROUP BY 1, 2),
+ann AS (SELECT gene_callers_id, k AS accession, coalesce(max(source), 'unnamed') AS source FROM (SELECT gene_callers_id, {_KEY} AS k, CASE WHEN lower(trim(source)) NOT IN {NONE} THEN source END AS source FROM gene_functions WHERE gene_callers_id > 0)
+  WHERE k IS NOT NULL AND k NOT IN {NONE} GROUP BY 1, 2),
 genes AS (SELECT ann.*, contig, start, stop, direction, gene_callers_id || ':' || accession AS row FROM ann JOIN calls USING (gene_callers_id))"""
 _ATTR = """,
 attr AS (SELECT contig, length, coalesce(flag, 0) = 1 AS circular FROM (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY loaded_at DESC NULLS LAST, length DESC NULLS LAST, flag DESC NULLS LAST) AS k

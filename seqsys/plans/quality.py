@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqsys.functions.names import contig_name
 from seqsys.operators.orphans import orphan_report, orphan_rows
 from seqsys.operators.runs import stretches_and_gaps
+from seqsys.plans.sql import contig_sql
 
 
 def _read(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
@@ -51,9 +52,6 @@ cases AS (SELECT c.*, CASE WHEN first.k IS NULL THEN 'missing' WHEN first.f > c.
                             AND (g.withdrawn_at IS NULL OR g.withdrawn_at > c.t)))
 """
 
-#: SQL of the plain spelling of a contig name.
-CONTIG_SQL = r"nullif(upper(regexp_extract({c}, '([A-Za-z]{{3}}[0-9]{{4}}(_[0-9]{{2}})?_[0-9]{{12}})', 1)), '')"
-
 QUERIES = {"p3_found": p3_found, "p3_by_month": p3_by_month, "p6_found": p6_found}
 
 SQL = {
@@ -63,7 +61,7 @@ SQL = {
     SELECT strftime(t, '%Y-%m') AS period, kind, count(*) AS orphan_rows, count(DISTINCT k) AS orphan_keys FROM cases GROUP BY 1, 2) m
     JOIN (SELECT strftime(loaded_at, '%Y-%m') AS period, count(*) AS refs FROM gene_functions WHERE gene_callers_id > 0 AND loaded_at IS NOT NULL GROUP BY 1) t USING (period)""",
     "p6_found": f"""
-WITH c AS (SELECT DISTINCT {CONTIG_SQL.format(c="contig")} AS contig, least(start, stop) AS s, greatest(start, stop) AS e
+WITH c AS (SELECT DISTINCT {contig_sql("contig")} AS contig, least(start, stop) AS s, greatest(start, stop) AS e
            FROM gene_calls WHERE start IS NOT NULL AND stop IS NOT NULL AND start <> stop),
 o AS (SELECT *, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM c WHERE contig IS NOT NULL),
 i AS (SELECT *, sum(CASE WHEN p > s THEN 0 ELSE 1 END) OVER (PARTITION BY contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o),
