@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqsys.functions.names import accession_key, accession_raw, accession_styles, contig_name, with_accession_style
-from seqsys.functions.values import present_text
+from seqsys.functions.values import fraction, present_text
 from seqsys.llm.components import components
 from seqsys.llm.leaks import leaks
 from seqsys.llm.memberships import memberships
@@ -16,6 +16,7 @@ from seqsys.llm.survivors import survivors
 from seqsys.llm.terms import gram_statistics, term_suffixes
 from seqsys.llm.together import together
 from seqsys.llm.tokens import encode_corpus
+from seqsys.plans.sql import NONE, accession_sql, contig_sql, fraction_sql
 from seqsys.session import Scratch
 
 
@@ -39,12 +40,7 @@ def ani_matches(ani: DataFrame, min_c: float = 0.9, min_global: float = 0.85) ->
     A value above 1 is a percentage; so is each value of a row with c or i_local above 1,
     which carries percentages throughout. NaN is a missing number.
     """
-    def fraction(x: str):
-        v = F.nanvl(F.col(x), F.lit(None))
-        row_in_percent = (F.nanvl(F.col("c"), F.lit(0.0)) > 1) | (F.nanvl(F.col("i_local"), F.lit(0.0)) > 1)
-        return F.when((v > 1) | F.coalesce(row_in_percent, F.lit(False)), v / 100).otherwise(v)
-
-    kept = ani.filter((fraction("c") >= min_c) & (fraction("i_global") >= min_global))
+    kept = ani.filter((fraction("c", "i_local") >= min_c) & (fraction("i_global", "c", "i_local") >= min_global))
     named = kept.select(contig_name(F.col("reference")).alias("a"), contig_name(F.col("query")).alias("b"))
     return named.filter(F.col("a") != F.col("b"))
 
@@ -140,23 +136,11 @@ def p10_mix(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("n_pages"), F.round(F.sum("share"), 3).alias("share_sum"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_mix": p10_mix, "p8_ids": p8_ids, "p9_found": p9_found, "p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
-
-CONTIG = r"nullif(upper(regexp_extract({c}, '([A-Za-z]{{3}}[0-9]{{4}}(_[0-9]{{2}})?_[0-9]{{12}})', 1)), '')"
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-_ASCII = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
-_RAW = rf"regexp_replace(regexp_replace(translate({{c}}, '{_WIDE}', '{_ASCII.replace('{', '{{').replace('}', '}}')}'), '[\s\p{{{{Z}}}}\p{{{{Cf}}}}]', '', 'g'), '\.[0-9]+$', '')"
-_RAW = _RAW.replace("{{Z}}", "{Z}").replace("{{Cf}}", "{Cf}")
-_NONE = "('', '-', '.', '?', 'na', 'n/a', 'none', 'null', 'unknown')"
-
-
-def _raw_sql(c: str) -> str:
-    return _RAW.replace("{c}", c).replace("{{", "{").replace("}}", "}")
-
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_counts, p4_found, p5_found, p7_found, p8_ids, p9_found, p10_found, p10_mix)}
 
 _NAMED = f"""
-WITH f AS (SELECT {_raw_sql("accession")} AS raw, {CONTIG.format(c="contig")} AS contig FROM gene_functions),
-named AS (SELECT lower(raw) AS k, contig FROM f WHERE raw IS NOT NULL AND lower(raw) NOT IN {_NONE}),
+WITH f AS (SELECT {accession_sql("accession")} AS raw, {contig_sql("contig")} AS contig FROM gene_functions),
+named AS (SELECT lower(raw) AS k, contig FROM f WHERE raw IS NOT NULL AND lower(raw) NOT IN {NONE}),
 style AS (SELECT prefix, arg_max(style, n) AS style FROM (SELECT lower(regexp_replace(raw, '[0-9]+$', '')) AS prefix,
           regexp_replace(raw, '[0-9]+$', '') AS style, count(*) AS n FROM f WHERE raw IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
 """
@@ -172,9 +156,7 @@ _PRESENT = "(coalesce(lower(trim({c})), 'none') NOT IN ('', '-', '.', '?', 'na',
 
 SQL = {
     "p1_found": f"""
-WITH RECURSIVE f AS (SELECT {CONTIG.format(c="reference")} AS a, {CONTIG.format(c="query")} AS b,
-    CASE WHEN isnan(c) THEN NULL WHEN c > 1 OR (i_local > 1 AND NOT isnan(i_local)) THEN c / 100 ELSE c END AS c,
-    CASE WHEN isnan(i_global) THEN NULL WHEN i_global > 1 OR (c > 1 AND NOT isnan(c)) OR (i_local > 1 AND NOT isnan(i_local)) THEN i_global / 100 ELSE i_global END AS g FROM ani),
+WITH RECURSIVE f AS (SELECT {contig_sql("reference")} AS a, {contig_sql("query")} AS b, {fraction_sql("c", "i_local")} AS c, {fraction_sql("i_global", "c", "i_local")} AS g FROM ani),
 e AS (SELECT DISTINCT least(a, b) AS x, greatest(a, b) AS y FROM f WHERE c >= 0.9 AND g >= 0.85 AND a <> b),
 both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 reach AS (SELECT x, x AS y FROM both_ways UNION SELECT r.x, w.y FROM reach r JOIN both_ways w ON w.x = r.y)
@@ -193,9 +175,9 @@ named_pair AS (SELECT p.style || regexp_extract(x, '[0-9]*$') AS x, q.style || r
     FROM pair JOIN style p ON p.prefix = regexp_replace(x, '[0-9]+$', '') JOIN style q ON q.prefix = regexp_replace(y, '[0-9]+$', ''), t WHERE s * t.n >= 4 * nx * ny)
 SELECT least(x, y) AS accession_a, greatest(x, y) AS accession_b FROM named_pair""",
     "p7_found": f"""
-WITH c AS (SELECT *, lower({_raw_sql("accession_representative")}) AS k, {_PRESENT.format(c="source")} AS has_s, {_PRESENT.format(c="description")} AS has_d, coalesce(ncontigs >= 1, false) AS has_n FROM clusters),
+WITH c AS (SELECT *, lower({accession_sql("accession_representative")}) AS k, {_PRESENT.format(c="source")} AS has_s, {_PRESENT.format(c="description")} AS has_d, coalesce(ncontigs >= 1, false) AS has_n FROM clusters),
 r AS (SELECT *, has_n::INT + (ncontigs_gain IS NOT NULL)::INT + (instances IS NOT NULL)::INT + has_s::INT + has_d::INT + (trust IS NOT NULL)::INT + (updated_at IS NOT NULL)::INT AS filled
-      FROM c WHERE k IS NOT NULL AND k NOT IN {_NONE}),
+      FROM c WHERE k IS NOT NULL AND k NOT IN {NONE}),
 g AS (SELECT k, min(row_id) AS g, count(*) AS n FROM r GROUP BY 1),
 x AS (SELECT k, 'record' AS field_name, row_id, row_number() OVER (PARTITION BY k ORDER BY filled DESC, updated_at DESC NULLS LAST, trust DESC NULLS LAST, row_id DESC) AS i FROM r
  UNION ALL SELECT k, 'description', row_id, row_number() OVER (PARTITION BY k ORDER BY trust DESC NULLS LAST, updated_at DESC NULLS LAST, row_id DESC) FROM r WHERE has_d
