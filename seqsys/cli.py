@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import argparse
-import os
 
 from pyspark.sql import functions as F
 
 from seqsys.operators.annot import anchor_cover, gene_pivot, merge_calls, symbols
 from seqsys.operators.coverage import pair_summary
 from seqsys.operators.cooc import frequencies
-from seqsys.operators.layout import locus_genes, loci, ribbons
-from seqsys.operators.systems import cluster_network, clusters_output, contigs_output, find_systems, graph_output
-from seqsys.session import local_session, ship
+from seqsys.operators.layout import legend, loci, locus_genes, ribbons
+from seqsys.operators.systems import Systems, cluster_network, clusters_output, contig_network, contigs_output, graph_output, systems_output
+from seqsys.session import local_session, release, ship
 from seqsys.sources import readers, sinks
 
 
@@ -25,13 +24,16 @@ def systems(a: argparse.Namespace) -> None:
     if a.ani:
         pairs = readers.read_pairs(spark, a.ani)
     else:
-        s = pair_summary(readers.read_delta(spark, a.delta))
+        sinks.write_blocks(readers.read_delta(spark, a.delta), f"{a.output}_ani_blocks")
+        s = pair_summary(readers.read_blocks(spark, f"{a.output}_ani_blocks"))
         pairs = s.select(F.col("ref").alias("reference"), "query", F.col("query_cov_uniq").alias("coverage"), (F.col("ANI") * 100).alias("ANI"), "full_ANI")
         sinks.write_pairs(pairs, f"{a.output}_ani")
-    out = find_systems(pairs, contigs, 100 * a.min_similarity, a.min_coverage)
-    for name, df in (("contigs", contigs_output(out)), ("clusters", clusters_output(out)), ("systems", out.systems), ("cluster_graph", graph_output(out))):
-        sinks.write_tsv(df, f"{a.output}_{name}", one_file=True)
+    out = Systems(pairs, contigs, 100 * a.min_similarity, a.min_coverage)
+    for name, df in (("contigs", contigs_output(out)), ("clusters", clusters_output(out)), ("systems", systems_output(out)), ("cluster_graph", graph_output(out))):
+        sinks.write_tsv(df, f"{a.output}_{name}")
     sinks.write_graphml(*cluster_network(out), f"{a.output}_cluster_graph.graphml")
+    sinks.write_graphml(*contig_network(out), f"{a.output}_contig_graph.graphml")
+    release(spark)
 
 
 def layout(a: argparse.Namespace) -> None:
@@ -39,18 +41,27 @@ def layout(a: argparse.Namespace) -> None:
     spark = local_session(str(a.threads))
     ship(spark)
     lengths = readers.read_fasta(spark, a.sequences).select("contig", "length")
-    genes = merge_calls(readers.read_annotations(spark, a.annotations, by_call=True), readers.read_calls(spark, a.gene_calls)) if a.gene_calls else readers.read_annotations(spark, a.annotations)
+    if a.gene_calls:
+        genes = merge_calls(readers.read_annotations(spark, a.annotations, by_call=True), readers.read_calls(spark, a.gene_calls))
+    else:
+        genes = readers.read_annotations(spark, a.annotations)
     if a.contigs:
         genes = genes.filter(F.col("contig").isin([c.strip() for c in a.contigs.split(",")]))
-    anchors = anchor_cover(genes)
+    split = lambda x: [y.strip() for y in x.split(",")] if x else None
+    anchors = anchor_cover(genes, sources=split(a.sources), start_genes=split(a.anchors))
     windows = loci(genes.join(anchors.select("accession"), "accession"), lengths, a.neighborhood)
     freq = frequencies(genes)
     placed = locus_genes(genes, windows)
-    os.makedirs(os.path.dirname(os.path.abspath(a.output)), exist_ok=True)
-    for name, df in (("loci", windows), ("genes", placed), ("legend", symbols(freq, anchors, [F.col("contigs").desc(), F.col("instances").desc()])), ("pivot", gene_pivot(placed, freq))):
-        sinks.write_tsv(df, f"{a.output}_{name}", one_file=True)
+    described = windows
+    if a.metadata:
+        described = windows.join(readers.read_metadata(spark, a.metadata), "contig", "left")
+    names = symbols(freq, anchors, [F.col("contigs").desc(), F.col("instances").desc()])
+    table = legend(names.join(freq, "accession"), ["symbol", "accession", "instances", "contigs"], "contigs")
+    for name, df in (("loci", described), ("genes", placed), ("legend", table), ("pivot", gene_pivot(placed, freq))):
+        sinks.write_tsv(df, f"{a.output}_{name}")
     if a.align:
-        sinks.write_tsv(ribbons(readers.read_delta(spark, a.align), windows, ["contig", "start"]), f"{a.output}_ribbons", one_file=True)
+        sinks.write_tsv(ribbons(readers.read_delta(spark, a.align), windows, ["contig", "start"]), f"{a.output}_ribbons")
+    release(spark)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -72,6 +83,9 @@ def main(argv: list[str] | None = None) -> None:
     v.add_argument("-g", "--gene-calls")
     v.add_argument("-o", "--output", required=True)
     v.add_argument("--contigs")
+    v.add_argument("--anchors", help="accessions taken as anchors first")
+    v.add_argument("--sources", help="annotation sources of anchors, the best first")
+    v.add_argument("--metadata", help="a table by contig, joined to the loci")
     v.add_argument("--align", help="alignment blocks of the contigs")
     v.add_argument("-T", "--threads", type=int, default=1)
     v.add_argument("--neighborhood", type=int, default=20000)

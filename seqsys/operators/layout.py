@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqsys.operators.intervals import merge, overlaps, slop, with_locus
@@ -53,13 +53,17 @@ def ribbons(blocks: DataFrame, windows: DataFrame, order: list[str]) -> DataFram
     )
 
 
-def legend(table: DataFrame, columns: list[str], sort: str) -> DataFrame:
-    """The annotation table of a figure: blanks for nulls, arrays joined, largest order first."""
+def legend(table: DataFrame, columns: list[str], sort: str, width: int | None = None) -> DataFrame:
+    """The annotation table of a figure: blanks for nulls, arrays joined, texts broken at ``width``, largest ``sort`` first."""
     kinds = dict(table.dtypes)
-    show = [(F.array_join(c, "|") if kinds[c].startswith("array") else F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns]
-    return table.orderBy(F.col(sort).desc(), *columns).select(*show)
 
+    def show(c: str) -> Column:
+        text = F.coalesce(F.array_join(c, "|") if kinds[c].startswith("array") else F.col(c).cast("string"), F.lit(""))
+        return (wrap(text, width) if width else text).alias(c)
 
-def wrap(text, width: int):
-    """Break a text column into lines of at most ``width`` characters at blanks."""
-    return F.regexp_replace(text, rf"(.{{1,{width}}})(?:\s+|$)", "$1\n")
+    return table.orderBy(F.col(sort).desc(), *columns).select(*[show(c) for c in columns])
+
+
+def wrap(text: Column, width: int) -> Column:
+    """Break a text into lines of at most ``width`` characters at blanks; longer words stay whole."""
+    return F.regexp_replace(F.regexp_replace(text, rf"(.{{1,{width}}})(?:\s+|$)", "$1\n"), r"\n$", "")

@@ -31,27 +31,50 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary folder is made, once per application.
+    A cluster names it in ``spark.checkpoint.dir`` (or by ``setCheckpointDir``). Only in local mode, where that is unset
+    (tests, a laptop), a temporary folder is made, once per application; on a cluster that is an error, as
+    every machine would write to a disk of its own.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is not set: it must name a folder that all machines of {master} share")
         where = tempfile.mkdtemp(prefix="spark-seqsys-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+#: Roots of the scratch tables of every application that are still there.
+_roots: dict[str, list[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables made so far; call it when the results that read them are written."""
+    for root in _roots.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, root)
+
+
 class Scratch:
     """Tables that cut lineage, written as Parquet into the shared folder.
 
     A written table survives the loss of any executor, is columnar and
-    compressed, and carries sizes for the planner, which RDD checkpoints do not.
+    compressed, and carries sizes for the planner, which RDD checkpoints do not. It lives until `release`, or
+    at most until the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _roots.setdefault(spark.sparkContext.applicationId, []).append(self.root)
+        p = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` and return the table read back; ``.path`` of it is in ``last``."""
@@ -62,9 +85,7 @@ class Scratch:
 
     def drop(self, path: str) -> None:
         """Delete a table of this scratch that nothing reads any more."""
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(self.spark, path)
 
     def size(self, path: str) -> int:
         """Bytes on disk of a written table."""

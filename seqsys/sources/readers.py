@@ -21,19 +21,41 @@ def _tsv(spark: SparkSession, path, schema: str, header: bool = True, comment: s
     return (r.option("comment", comment) if comment else r).csv(path)
 
 
-def _by_name(spark: SparkSession, path, schema: str, aliases: dict[str, str] | None = None, comment: str | None = None) -> DataFrame:
-    """A TSV whose columns are found by name, renamed, cast to ``schema``; missing ones are null."""
+def require(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The frame itself, or an error that names its missing columns."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return df
+
+
+def checked_fraction(c: str) -> Column:
+    """A column that must be in 0..1; null stays null, anything else is an error."""
+    outside = F.raise_error(F.concat(F.lit(f"{c} is not within 0..1: "), F.col(c).cast("string"))).cast("double")
+    return F.when(F.col(c).isNull() | F.col(c).between(0, 1), F.col(c)).otherwise(outside).alias(c)
+
+
+def _by_name(spark: SparkSession, path, schema: str, aliases: dict[str, str] | None = None, comment: str | None = None, needed: list[str] | None = None) -> DataFrame:
+    """A TSV whose columns are found by name, renamed, cast to ``schema``; missing ones are null, if they are not ``needed``."""
     r = spark.read.option("sep", "\t").option("header", True)
     paths = [path] if isinstance(path, str) else list(path)
-    frames = [(r.option("comment", comment) if comment else r).csv(p).withColumnsRenamed(aliases or {}) for p in paths]
+    frames = [require((r.option("comment", comment) if comment else r).csv(p).withColumnsRenamed(aliases or {}), needed or []) for p in paths]
     want = [c.strip().rsplit(" ", 1) for c in schema.split(",")]
     cast = lambda f: f.select(*[(F.col(n) if n in f.columns else F.lit(None)).cast(t).alias(n) for n, t in want])
     return reduce(DataFrame.unionAll, map(cast, frames))
 
 
+def _records(spark: SparkSession, path) -> DataFrame:
+    """The records of a file in which each begins with ``>`` at the start of a line, without that sign; one row ``value`` each.
+
+    A ``>`` elsewhere does not end a record, so no line order is needed across rows and files split anywhere.
+    """
+    return spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value"))
+
+
 def read_fasta(spark: SparkSession, path) -> DataFrame:
     """``contig, seq, length``; bodies may span lines, blank lines are skipped, the name ends at the first blank."""
-    records = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
+    records = _records(spark, path).filter(F.trim("value") != "")
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     seq = F.regexp_replace(F.expr("substring(value, length(head) + 1)"), r"\s+", "")
     out = records.withColumn("head", head).select(F.regexp_extract(F.trim("head"), r"^(\S+)", 1).alias("contig"), seq.alias("seq"))
@@ -54,8 +76,9 @@ def read_complete(spark: SparkSession, path) -> DataFrame:
 
 
 def read_pairs(spark: SparkSession, path) -> DataFrame:
-    """``reference, query, coverage, ANI, full_ANI`` of a pair table, either header, ``#`` comments skipped. ANI in percent."""
-    raw = _by_name(spark, path, PAIRS, {"Reference_Sequence": "reference", "Query_Sequence": "query"}, comment="#")
+    """``reference, query, coverage, ANI, full_ANI`` of a pair table, either header, ``#`` comments skipped. Numbers outside 0..1 are an error. ANI in percent."""
+    raw = _by_name(spark, path, PAIRS, {"Reference_Sequence": "reference", "Query_Sequence": "query"}, comment="#", needed=["reference", "query", "C", "I_local", "I_global"])
+    raw = raw.select("reference", "query", *[checked_fraction(c) for c in ("C", "I_local", "I_global")])
     return raw.select("reference", "query", F.col("C").alias("coverage"), (F.col("I_local") * 100).alias("ANI"), F.col("I_global").alias("full_ANI"))
 
 
@@ -77,8 +100,8 @@ def read_sketch_distances(spark: SparkSession, path) -> DataFrame:
 
 
 def read_delta(spark: SparkSession, path) -> DataFrame:
-    """Alignment blocks of a delta file. Each record is one row cut at ``>``, so no line order is needed across rows."""
-    rec = spark.read.option("lineSep", ">").text(path).select(F.split("value", r"\r?\n").alias("lines"))
+    """Alignment blocks of a delta file. Each record is one row."""
+    rec = _records(spark, path).select(F.split("value", r"\r?\n").alias("lines"))
     head = rec.select(F.split(F.trim(F.col("lines")[0]), r"\s+").alias("h"), F.slice("lines", 2, 1_000_000_000).alias("lines")).filter(F.size("h") == 4)
     block = head.select("h", F.explode("lines").alias("line")).select("h", F.split(F.trim("line"), r"\s+").alias("b")).filter(F.size("b") == 7)
     h, b = (lambda k: F.col("h")[k]), (lambda k: F.col("b")[k].cast("int"))
@@ -87,23 +110,21 @@ def read_delta(spark: SparkSession, path) -> DataFrame:
 
 
 def read_blocks(spark: SparkSession, path) -> DataFrame:
-    return _by_name(spark, path, BLOCKS)
+    """A saved block table, as `sinks.write_blocks` makes it."""
+    return _by_name(spark, path, BLOCKS, needed=["ref", "query", "query_len", "query_start", "query_end"])
 
 
 def read_annotations(spark: SparkSession, paths, by_call: bool = False) -> DataFrame:
     """Annotation tables with coordinates, or by gene call; several paths are one table, a ``function`` column is the description."""
     if by_call:
-        return _by_name(spark, paths, ANNOTATIONS_BY_CALL, {"description": "function"})
-    return _by_name(spark, paths, ANNOTATIONS, {"function": "description"})
+        return _by_name(spark, paths, ANNOTATIONS_BY_CALL, {"description": "function"}, needed=["gene_callers_id", "accession", "source"])
+    return _by_name(spark, paths, ANNOTATIONS, {"function": "description"}, needed=["contig", "start", "stop", "direction", "accession", "source"])
 
 
 def read_calls(spark: SparkSession, path) -> DataFrame:
-    return _by_name(spark, path, CALLS)
+    return _by_name(spark, path, CALLS, needed=["gene_callers_id", "contig", "start", "stop", "direction"])
 
 
-def require(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The frame itself, or an error that names its missing columns."""
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {missing}")
-    return df
+def read_metadata(spark: SparkSession, path) -> DataFrame:
+    """A table of anything known about contigs, all columns as text, by ``contig``."""
+    return require(spark.read.option("sep", "\t").option("header", True).csv(path), ["contig"])

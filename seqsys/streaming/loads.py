@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqsys.operators.coverage import union_coverage
+from seqsys.operators.runs import stretches_and_gaps
 
 
 def read_arrivals(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -13,27 +13,36 @@ def read_arrivals(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def loads_per_window(stream: DataFrame, at: str = "loaded_at", key: str = "contig", width: str = "1 day", late: str = "7 days") -> DataFrame:
-    """Rows and approximate distinct keys per time window; rows later than the watermark are left out, so state stays bounded."""
-    return stream.withWatermark(at, late).groupBy(F.window(at, width).alias("w")).agg(F.count("*").alias("n"), F.approx_count_distinct(key).alias("keys")).select(F.col("w.start").alias("window_start"), "n", "keys")
+def _state(spark: SparkSession, path: str, epoch: int, name: str, schema: str) -> DataFrame:
+    """A table of the state after ``epoch``; before the first one it is empty."""
+    return spark.read.schema(schema).parquet(f"{path}/{name}/epoch={epoch}") if epoch >= 0 else spark.createDataFrame([], schema)
 
 
-def maintain_coverage(stream: DataFrame, keys: list[str], start: str, stop: str, path: str, checkpoint: str):
+def maintain_coverage(stream: DataFrame, key: str, start: str, stop: str, path: str, checkpoint: str):
     """Keep the union coverage per key of all intervals seen so far.
 
-    Every batch appends its intervals under its own id, so that a repeated batch overwrites
-    itself, and rewrites the coverage of the keys it touched under ``path/coverage``.
+    The state is the covered stretches of every key, not the intervals, so a batch is joined with what earlier ones cover and
+    never with their rows. Each batch writes the state under its own number, from the state before, so that a repeated batch overwrites itself.
     """
+
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.select(*keys, start, stop).write.mode("overwrite").parquet(f"{path}/seen/batch={epoch}")
-        seen = spark.read.parquet(f"{path}/seen").join(batch.select(*keys).distinct(), keys, "left_semi")
-        union_coverage(seen, keys, start, stop).write.mode("overwrite").parquet(f"{path}/coverage/batch={epoch}")
+        new = batch.select(F.col(key).cast("string").alias("key"), F.col(start).cast("long").alias("start"), F.col(stop).cast("long").alias("stop"))
+        covered = _state(spark, path, epoch - 1, "covered", "key string, start long, stop long")
+        touched = new.select("key").distinct()
+        again = stretches_and_gaps(covered.join(touched, "key", "left_semi").unionByName(new), "key", "start", "stop").filter("kind = 'covered'")
+        rest = covered.join(touched, "key", "left_anti")
+        rest.unionByName(again.select("key", "start", "stop")).write.mode("overwrite").parquet(f"{path}/covered/epoch={epoch}")
+        counts = _state(spark, path, epoch - 1, "counts", "key string, cov long, n long")
+        more = new.select("key", (F.col("stop") - F.col("start")).alias("cov"), F.lit(1).cast("long").alias("n"))
+        total = counts.unionByName(more).groupBy("key").agg(F.sum("cov").alias("cov"), F.sum("n").alias("n"))
+        total.write.mode("overwrite").parquet(f"{path}/counts/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_coverage(spark: SparkSession, keys: list[str], path: str) -> DataFrame:
-    """The last coverage of every key."""
-    c = spark.read.parquet(f"{path}/coverage")
-    return c.groupBy(*keys).agg(F.max_by(F.struct("cov", "cov_uniq", "n"), "batch").alias("c")).select(*keys, "c.*")
+def current_coverage(spark: SparkSession, path: str, epoch: int) -> DataFrame:
+    """Rows ``key, cov, cov_uniq, n`` after a batch."""
+    counts = spark.read.parquet(f"{path}/counts/epoch={epoch}")
+    union = spark.read.parquet(f"{path}/covered/epoch={epoch}").groupBy("key").agg(F.sum(F.col("stop") - F.col("start")).alias("cov_uniq"))
+    return counts.join(union, "key", "left").select("key", "cov", F.coalesce("cov_uniq", F.lit(0)).alias("cov_uniq"), "n")

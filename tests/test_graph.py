@@ -75,3 +75,24 @@ def test_clusters_of_no_pairs(spark):
     pairs = spark.createDataFrame([], "query string, reference string, coverage double, ANI double, full_ANI double")
     s = Systems(pairs, spark.createDataFrame([], "contig string, length int, circular boolean"))
     assert systems_output(s).count() == 0 and contigs_output(s).count() == 0 and s.reduced.count() == 0
+
+
+def test_systems_of_a_known_collection(spark):
+    """Types, systems, rosters and reduction of a collection whose results are known; one contig stands for each cluster."""
+    # fixed values: containment between the clusters, clusters with complete members, and the expected tables
+    contained = {0: [1], 1: [2, 3, 4, 5, 6, 7, 8, 9, 10], 4: [6], 9: [10]}
+    complete = {0, 1, 4, 9}
+    reduced = {(0, 1), (1, 2), (1, 3), (1, 4), (1, 5), (1, 7), (1, 8), (1, 9), (4, 6), (9, 10)}
+    systems = {"PS1": (0, 10), "PS2": (1, 9), "PS3": (4, 1), "PS4": (9, 1)}
+    of_cluster = {0: "PS1", 1: "PS1|PS2", 2: "PS1|PS2", 4: "PS1|PS2|PS3", 6: "PS1|PS2|PS3", 9: "PS1|PS2|PS4", 10: "PS1|PS2|PS4"}
+
+    name = lambda k: f"c{k:02}"
+    rows = [(name(k), name(k), 1.0, 100.0, 1.0) for k in range(11)] + [(name(a), name(b), 0.95, 98.0, 0.93) for a, v in contained.items() for b in v]
+    pairs = spark.createDataFrame(rows, "query string, reference string, coverage double, ANI double, full_ANI double")
+    contigs = spark.createDataFrame([(name(k), 100 + k, k in complete) for k in range(11)], "contig string, length int, circular boolean")
+    s = Systems(pairs, contigs)
+    out = {r.cluster: r for r in clusters_output(s).collect()}
+    assert {k for k, r in out.items() if r.cluster_type == "backbone"} == complete and {r.cluster_type for k, r in out.items() if k not in complete} == {"compound"}
+    assert all(out[k].systems == v for k, v in of_cluster.items())
+    assert {r.system_name: (r.backbone_cluster, r.number_of_compound_clusters) for r in systems_output(s).collect()} == systems
+    assert {(r.src, r.dst) for r in s.reduced.collect()} == reduced and s.graph.count() == 23
