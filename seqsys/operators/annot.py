@@ -72,15 +72,32 @@ def _uncovered(rest: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame
     return rest.join(chosen.select(*keys).distinct(), keys, "left_anti")
 
 
+def letters(i: Column) -> Column:
+    """A, B, .. Z, AA, AB, .. for 0, 1, ..; up to four letters."""
+    out, first = F.lit(""), 0
+    for n in range(1, 5):
+        x = i - first
+        digits = [F.char(F.lit(65) + (F.floor(x / 26**k) % 26)) for k in reversed(range(n))]
+        out = F.when((i >= first) & (i < first + 26**n), F.concat(*digits)).otherwise(out)
+        first += 26**n
+    return out
+
+
 def symbols(accessions: DataFrame, anchors: DataFrame, order: list[Column]) -> DataFrame:
-    """Symbols for ranked accessions: anchors A, B, .. (then A1, B1, ..), others 0, 1, ..; ``order`` ranks the others."""
-    letters = F.concat(F.char(F.lit(65) + F.col("position") % 26), F.when(F.col("position") >= 26, F.floor(F.col("position") / 26).cast("string")).otherwise(""))
-    named = anchors.select("accession", letters.alias("symbol"), F.col("position").alias("order"))
+    """Symbols for ranked accessions: anchors A, B, .. Z, AA, .., others 0, 1, ..; ``order`` ranks the others."""
+    named = anchors.select("accession", letters(F.col("position")).alias("symbol"), F.col("position").alias("order"))
     others = accessions.join(anchors.select("accession"), "accession", "left_anti")
     ranked = number_rows(others, [*order, "accession"])
     return named.unionByName(ranked.select("accession", F.col("i").cast("string").alias("symbol"), F.col("i").cast("int").alias("order")))
 
 
+def anchor_directions(genes: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Rows ``contig, accession, position, direction``: the first anchor that each contig carries, and the direction of its leftmost gene."""
+    place = F.struct("position", "start", "stop", "direction")
+    first = genes.join(anchors.select("accession", "position"), "accession").groupBy("contig").agg(F.min_by(F.struct("accession", "position", "direction"), place).alias("g"))
+    return first.select("contig", "g.accession", "g.position", "g.direction")
+
+
 def gene_pivot(genes: DataFrame, frequency: DataFrame) -> DataFrame:
     """One row per gene: its most frequent accession, all accessions, and the sources that annotate it."""
     g = genes.select("contig", "start", "stop", "accession", "source").distinct().join(frequency.select("accession", "contigs"), "accession")
@@ -90,12 +107,36 @@ def gene_pivot(genes: DataFrame, frequency: DataFrame) -> DataFrame:
     )
 
 
-def symbol_merge(pivot: DataFrame) -> DataFrame:
-    """Per representative accession: instances, contigs, and every accession met with it."""
-    return pivot.groupBy("accession_representative").agg(
-        F.count("*").alias("instances"), F.count_distinct("contig").alias("ncontigs"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("accessions", "\\|"))))), "|").alias("accessions"),
-    )
+def symbol_members(genes: DataFrame, pivot: DataFrame) -> DataFrame:
+    """Rows ``accession_representative, source, accession``: every annotation met on the genes that a representative accession stands for."""
+    of = pivot.select("contig", "start", "stop", "accession_representative")
+    return genes.select("contig", "start", "stop", "source", "accession").join(of, ["contig", "start", "stop"]).select("accession_representative", "source", "accession").distinct()
+
+
+def symbol_merge(pivot: DataFrame, members: DataFrame) -> DataFrame:
+    """Per representative accession: instances, contigs, and every accession met with it in one string."""
+    met = members.groupBy("accession_representative").agg(F.array_join(F.array_sort(F.collect_set("accession")), "|").alias("accessions"))
+    counts = pivot.groupBy("accession_representative").agg(F.count("*").alias("instances"), F.count_distinct("contig").alias("ncontigs"))
+    return counts.join(met, "accession_representative")
+
+
+def accession_contigs(genes: DataFrame) -> DataFrame:
+    """Rows ``accession, contig, instances``: where every accession is, a row per contig."""
+    return genes.groupBy("accession", "contig").agg(F.count("*").alias("instances"))
+
+
+def descriptions(functions: DataFrame) -> DataFrame:
+    """Rows ``accession, description``: what most rows say of each accession, the smaller text of equally frequent ones."""
+    counted = functions.filter(F.col("accession").isNotNull() & F.col("description").isNotNull()).groupBy("accession", "description").agg(F.count("*").alias("n"))
+    return counted.groupBy("accession").agg(F.min_by("description", F.struct(-F.col("n"), F.col("description"))).alias("description"))
+
+
+def describe(df: DataFrame, described: DataFrame) -> DataFrame:
+    """``df`` with the description of its ``accession``; one that has none under its full name is looked up without its release number."""
+    bare = F.regexp_replace("accession", r"\.[^.]*$", "")
+    d = described.select(F.col("accession").alias("_name"), F.col("description").alias("_text"))
+    out = df.join(d.toDF("accession", "_full"), "accession", "left").withColumn("_name", bare).join(d, "_name", "left")
+    return out.withColumn("description", F.coalesce("_full", "_text")).drop("_name", "_full", "_text")
 
 
 def cargo(genes: DataFrame, membership: DataFrame, reached: DataFrame, strict: bool = True, strict_sources: list[str] | None = None, detected: DataFrame | None = None) -> DataFrame:

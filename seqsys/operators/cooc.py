@@ -70,25 +70,39 @@ def symmetric_counts(counts: DataFrame) -> DataFrame:
 
 
 def normalise(counts: DataFrame, singles: DataFrame) -> DataFrame:
-    """Add hyperz, jacc, cond (by marginals and by contigs) and pmi to ``a, b, total``.
+    """Add hyperz and jacc (by marginals and groups), cond (by both and by contigs) and pmi to ``a, b, total``.
 
-    ``singles``: ``accession, instances, contigs`` from `frequencies`. Marginals are row sums of the symmetric counts.
+    ``singles``: ``accession, instances, contigs`` and maybe ``groups`` from `frequencies`; without groups each contig is one.
+    Marginals are row sums of the symmetric counts, which are written once.
     """
+    counts = Scratch(counts.sparkSession, "norms").write(counts.select("a", "b", "total"), "counts")
     marg = counts.groupBy("a").agg(F.sum("total").alias("m"))
     # one row: the sum of all counts
     total = counts.agg(F.sum("total").alias("all_pairs"))
-    s = singles.select("accession", "instances", "contigs")
-    x = counts.join(marg.toDF("a", "m_a"), "a").join(marg.toDF("b", "m_b"), "b").join(s.toDF("a", "i_a", "c_a"), "a").join(s.toDF("b", "i_b", "c_b"), "b").join(F.broadcast(total))
-    c = F.col("total").cast("double")
+    s = singles.select("accession", F.col("instances").alias("i"), F.col("contigs").alias("c"), F.col("groups" if "groups" in singles.columns else "contigs").alias("g"))
+    s = s.join(marg.withColumnRenamed("a", "accession"), "accession")
+    x = counts.join(s.toDF("a", "i_a", "c_a", "g_a", "m_a"), "a").join(s.toDF("b", "i_b", "c_b", "g_b", "m_b"), "b").join(F.broadcast(total))
+    n = F.col("total").cast("double")
     out: dict[str, Column] = {}
-    for kind, p, q in (("marg", F.col("m_a"), F.col("m_b")), ("groups", F.col("c_a"), F.col("c_b"))):
-        out[f"hyperz_{kind}"] = c / (p * q)
-        out[f"jacc_{kind}"] = c / (p + q - c)
-        out[f"cond_{kind}"] = c / p
-    out["pmi_instances"] = F.log(c * F.col("all_pairs") / (F.col("i_a") * F.col("i_b")))
+    for kind, p, q in (("marg", F.col("m_a"), F.col("m_b")), ("groups", F.col("g_a"), F.col("g_b"))):
+        out[f"hyperz_{kind}"] = n / (p * q)
+        out[f"jacc_{kind}"] = n / (p + q - n)
+        out[f"cond_{kind}"] = n / p
+    out["cond_contigs"] = n / F.col("c_a")
+    out["pmi_instances"] = F.log(n * F.col("all_pairs") / (F.col("i_a") * F.col("i_b")))
     return x.select("a", "b", "total", *[v.alias(k) for k, v in out.items()])
 
 
+def grouped_frequencies(genes: DataFrame, groups: list[str]) -> DataFrame:
+    """Per accession: ``instances, contigs`` and the distinct values of every grouping column, with their shares of the totals."""
+    names = ["instances", "contigs", *groups]
+    counts = [F.count("*")] + [F.count_distinct(c) for c in ("contig", *groups)]
+    per = genes.groupBy("accession").agg(*[c.alias(n) for c, n in zip(counts, names)])
+    # one row: the totals
+    total = genes.agg(*[c.alias(f"_{n}") for c, n in zip(counts, names)])
+    return per.join(F.broadcast(total)).select("accession", *names, *[(F.col(n) / F.col(f"_{n}")).alias(f"{n}_ratio") for n in names])
+
+
 def frequencies(genes: DataFrame, group: str | None = None) -> DataFrame:
     """Per accession: ``instances, contigs`` (and ``groups``) with their shares of the totals."""
     aggs = [F.count("*").alias("instances"), F.count_distinct("contig").alias("contigs")] + ([F.count_distinct(group).alias("groups")] if group else [])
@@ -125,13 +139,28 @@ def instances_within(genes: DataFrame, a: str, b: str, w: int) -> DataFrame:
     return two.join(rows, "row", "left_semi")
 
 
-def top_pairs(scored: DataFrame, value: str, k: int, largest: bool = True, keys: tuple[str, str] = ("a", "b"), keep: list | None = None, drop: list | None = None) -> DataFrame:
-    """The ``k`` largest (or smallest) rows by ``value``; ties go by the keys. ``keep``/``drop`` restrict the first key."""
+def masked(scored: DataFrame, key: str, keep=None, drop=None) -> DataFrame:
+    """Rows whose ``key`` is among ``keep`` and not among ``drop``; each is a list of values, a condition (column) or None."""
+    condition = lambda x: x if isinstance(x, Column) else F.col(key).isin(x)
     if keep is not None:
-        scored = scored.filter(F.col(keys[0]).isin(keep))
-    if drop is not None:
-        scored = scored.filter(~F.col(keys[0]).isin(drop))
-    return scored.orderBy(F.col(value).desc() if largest else F.col(value).asc(), *keys).limit(k)
+        scored = scored.filter(condition(keep))
+    return scored if drop is None else scored.filter(~condition(drop))
+
+
+def top_pairs(scored: DataFrame, value: str, k: int, largest: bool = True, keys: tuple[str, str] = ("a", "b"), keep=(None, None), drop=(None, None), symmetric: bool = False, tail: bool = False) -> DataFrame:
+    """The ``k`` largest (or smallest) rows by ``value``; ties go by the keys.
+
+    ``keep`` and ``drop`` restrict each key, see `masked`. With ``symmetric`` (a, b) and (b, a) are the same and each pair is
+    one row, a <= b. With ``tail`` the k rows of the other end follow; ``is_tail`` tells them apart, and a row of both ends is in both.
+    """
+    for key, some, none in zip(keys, keep, drop):
+        scored = masked(scored, key, some, none)
+    if symmetric:
+        scored = scored.filter(F.col(keys[0]) <= F.col(keys[1]))
+    end = lambda high: scored.orderBy(F.col(value).desc() if high else F.col(value).asc(), *keys).limit(k)
+    if not tail:
+        return end(largest)
+    return end(largest).withColumn("is_tail", F.lit(False)).unionByName(end(not largest).withColumn("is_tail", F.lit(True)))
 
 
 def greedy_matching(scored: DataFrame, value: str, k: int | None = None, keys: tuple[str, str] = ("a", "b"), max_rounds: int = 10_000) -> DataFrame:

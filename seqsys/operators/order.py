@@ -22,3 +22,12 @@ def number_rows(df: DataFrame, order: list[Column | str], out: str = "i") -> Dat
     within = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
     joined = placed.withColumn("_i", within).join(F.broadcast(before.select("_part", "_base")), "_part")
     return joined.withColumn(out, F.col("_base") + F.col("_i") - 1).drop("_part", "_at", "_base", "_i")
+
+
+def sample_rows(df: DataFrame, n: int, key: str, seed: int = 123, per: str | None = None) -> DataFrame:
+    """The same ``n`` rows for one seed, or ``n`` per value of ``per``: those whose keys hash lowest. ``key`` is unique."""
+    at = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string")))
+    if per is None:
+        return df.orderBy(at, key).limit(n)
+    w = Window.partitionBy(per).orderBy(at, key)
+    return df.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= n).drop("_at")

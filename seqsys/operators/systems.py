@@ -233,6 +233,49 @@ def cluster_network(s: Systems, drop_fragments: bool = False) -> tuple[DataFrame
     return nodes, edges.select("src", "dst", "weight")
 
 
+def cluster_subnetwork(s: Systems, clusters: DataFrame | None = None, samples: DataFrame | None = None, genes: DataFrame | None = None, drop_fragments: bool = True, attributes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vertices ``node, node_type, cluster_type, node_size`` and edges ``src, dst, weight, edge_type`` of a part of the cluster graph; names are strings.
+
+    ``clusters`` (``cluster``) restricts the graph, which is reduced within itself. ``samples`` (``cluster, sample``) adds an edge
+    from every cluster to its samples unless a longer path says the same; then edges between clusters weigh 10 and others 1.
+    ``genes`` (``accession, cluster``) adds edges from accessions as they are. ``attributes`` (``node`` and any of the vertex columns) override.
+    """
+    kept = s.typed.select("cluster", "cluster_type")
+    if clusters is not None:
+        kept = kept.join(clusters.select("cluster").distinct(), "cluster", "left_semi")
+    if drop_fragments:
+        kept = kept.filter("cluster_type <> 'fragment'")
+    kept = s.scratch.write(kept.withColumn("node", F.col("cluster").cast("string")), "kept")
+    own = kept.select("cluster")
+    inner = s.graph.join(own.toDF("src"), "src", "left_semi").join(own.toDF("dst"), "dst", "left_semi")
+    inner = transitive_reduction(inner).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("long").alias("weight"))
+    edges = inner.withColumn("edge_type", F.lit("cluster-cluster"))
+    vertex = lambda df, kind: df.select("node", F.lit(kind).alias("node_type"), F.lit(None).cast("string").alias("cluster_type"))
+    nodes = kept.select("node", F.lit("cluster").alias("node_type"), "cluster_type")
+    if samples is not None:
+        of = samples.join(own, "cluster", "left_semi").select(F.col("cluster").cast("string").alias("src"), F.col("sample").cast("string").alias("dst")).distinct()
+        both = s.scratch.write(edges.withColumn("weight", F.lit(10).cast("long")).unionByName(of.withColumns({"weight": F.lit(1).cast("long"), "edge_type": F.lit("sample-cluster")})), "sampled")
+        edges = transitive_reduction(both)
+        nodes = nodes.unionByName(vertex(of.select(F.col("dst").alias("node")).distinct(), "sample"))
+    if genes is not None:
+        of = genes.join(own, "cluster", "left_semi").select(F.col("accession").alias("src"), F.col("cluster").cast("string").alias("dst")).distinct()
+        edges = edges.unionByName(of.withColumns({"weight": F.lit(1).cast("long"), "edge_type": F.lit("gene-cluster")}))
+        nodes = nodes.unionByName(vertex(of.select(F.col("src").alias("node")).distinct(), "gene"))
+    nodes = nodes.withColumn("node_size", F.lit(1))
+    if attributes is not None:
+        names = [c for c in attributes.columns if c != "node"]
+        given = attributes.select("node", *[F.col(c).alias(f"_{c}") for c in names])
+        nodes = nodes.join(given, "node", "full_outer")
+        nodes = nodes.withColumns({c: F.coalesce(f"_{c}", c) if c in nodes.columns else F.col(f"_{c}") for c in names}).drop(*[f"_{c}" for c in names])
+    return nodes, edges
+
+
+def cluster_scores(membership: DataFrame, scores: DataFrame) -> DataFrame:
+    """Rows ``cluster, score_min, score_median, score_max`` of a number known of contigs (``contig, score``)."""
+    each = membership.join(scores.select(F.col("contig").alias("node"), "score"), "node")
+    return each.groupBy("cluster").agg(F.min("score").alias("score_min"), F.median("score").alias("score_median"), F.max("score").alias("score_max"))
+
+
 def derep_weak(edges: DataFrame, lengths: DataFrame) -> DataFrame:
     """Weak-component dereplication: ``representative`` (the longest, then the smaller name) and ``contig``."""
     members = weak_components(edges.filter(F.col("src") != F.col("dst"))).join(lengths.select(F.col("contig").alias("node"), "length"), "node", "left")

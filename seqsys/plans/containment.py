@@ -9,6 +9,7 @@ from seqsys.functions.names import accession_key, contig_name
 from seqsys.functions.values import fraction
 from seqsys.operators import edges, graph
 from seqsys.operators import systems as sy
+from seqsys.operators.order import sample_rows
 from seqsys.plans.sql import MEMBERS, contig_sql, fraction_sql
 
 MIN_COVERAGE, MIN_ANI = 0.9, 90.0
@@ -104,6 +105,33 @@ def minmax_backbones(spark: SparkSession, d: str) -> DataFrame:
     return graph.extreme_elements(s.names.select(F.col("backbone").alias("node")), s.reached.select(F.col("backbone").alias("src"), F.col("cluster").alias("dst")))
 
 
+def type_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many clusters and contigs there are of each type."""
+    s = systems_of(spark, d)
+    return s.typed.join(s.kinds, "cluster").groupBy("cluster_four_types").agg(F.count("*").alias("clusters"), F.sum("cluster_size").alias("contigs"))
+
+
+def cluster_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Least, median and most accessions that the contigs of a cluster carry."""
+    n = _gene_content(spark, d).groupBy(F.col("record").alias("contig")).agg(F.count("*").alias("score"))
+    return sy.cluster_scores(systems_of(spark, d).membership, n)
+
+
+def cluster_subnetwork(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the clusters that are no fragments, with the sites of their contigs as samples and one accession as gene."""
+    s = systems_of(spark, d)
+    of = s.membership.withColumnRenamed("node", "contig")
+    samples = of.select("cluster", F.substring("contig", 1, 7).alias("sample"))
+    gene = _gene_content(spark, d).filter(F.col("item") == "pd99000000").select(F.col("record").alias("contig"), F.col("item").alias("accession"))
+    return sy.cluster_subnetwork(s, samples=samples, genes=of.join(gene, "contig").select("accession", "cluster"))[1]
+
+
+def sampled_contigs(spark: SparkSession, d: str) -> DataFrame:
+    """The same two contigs of every site, whenever they are drawn."""
+    c = edges.nodes_of(ani_pairs(spark, d)).withColumn("site", F.substring("node", 1, 7))
+    return sample_rows(c, 2, "node", per="site")
+
+
 def derep_weak(spark: SparkSession, d: str) -> DataFrame:
     return sy.derep_weak(_edges(spark, d), contig_attributes(spark, d))
 
@@ -133,7 +161,7 @@ def basket_containment(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("a").alias("query"), F.col("b").alias("reference"), "shared")
 
 
-QUERIES = {f.__name__: f for f in (threshold_edges, reciprocal_edges, contig_universe, similarity_hist, closure_pairs, scc_clusters, wcc_clusters, cluster_graph, transitive_reduction, contig_table, cluster_table, systems, minmax_backbones, derep_weak, gene_content_jaccard, basket_overlaps, basket_containment)}
+QUERIES = {f.__name__: f for f in (threshold_edges, reciprocal_edges, contig_universe, similarity_hist, closure_pairs, scc_clusters, wcc_clusters, cluster_graph, transitive_reduction, contig_table, cluster_table, systems, minmax_backbones, type_counts, cluster_scores, cluster_subnetwork, sampled_contigs, derep_weak, gene_content_jaccard, basket_overlaps, basket_containment)}
 
 _PAIRS = f"""
 raw AS (SELECT {contig_sql("query")} AS query, {contig_sql("reference")} AS reference, run_at,
@@ -194,6 +222,17 @@ SQL = {
  coalesce(pp.n, 0)::INT AS number_of_compound_plasmids, coalesce(cp, '') AS compound_plasmids FROM bb JOIN typed t ON t.cluster = bb.b LEFT JOIN cc ON cc.b = bb.b LEFT JOIN pp ON pp.b = bb.b""",
     "minmax_backbones": _TABLES + """ SELECT b AS node, NOT EXISTS (SELECT 1 FROM cp JOIN bb x ON x.b = cp.src WHERE cp.dst = bb.b AND cp.src <> bb.b) AS is_minimal,
  NOT EXISTS (SELECT 1 FROM cp JOIN bb x ON x.b = cp.dst WHERE cp.src = bb.b AND cp.dst <> bb.b) AS is_maximal FROM bb""",
+    "type_counts": _TABLES + " SELECT cluster_four_types, count(*) AS clusters, sum(cluster_size)::BIGINT AS contigs FROM full_table GROUP BY 1",
+    "cluster_scores": _CLUSTERS + f", {MEMBERS.replace('m AS (', 'mm AS (', 1)}, z AS (SELECT contig, count(*) AS score FROM mm GROUP BY 1) SELECT cluster, min(score) AS score_min, median(score)::DOUBLE AS score_median, max(score) AS score_max FROM cl JOIN z ON z.contig = cl.node GROUP BY 1",
+    "cluster_subnetwork": _TABLES + f""", {MEMBERS.replace('m AS (', 'mm AS (', 1)}, kept AS (SELECT cluster FROM typed WHERE cluster_type <> 'fragment'),
+ ki AS (SELECT src, dst FROM g WHERE src <> dst AND src IN (FROM kept) AND dst IN (FROM kept)), kp AS (SELECT src, dst FROM ki UNION SELECT r.src, e.dst FROM kp r JOIN ki e ON e.src = r.dst),
+ kr AS (SELECT src::VARCHAR AS src, dst::VARCHAR AS dst FROM ki WHERE NOT EXISTS (SELECT 1 FROM ki a JOIN kp b ON a.dst = b.src WHERE a.src = ki.src AND b.dst = ki.dst)),
+ se AS (SELECT DISTINCT cluster::VARCHAR AS src, substr(node, 1, 7) AS dst FROM cl WHERE cluster IN (FROM kept)),
+ al AS (SELECT src, dst, 10 AS weight, 'cluster-cluster' AS edge_type FROM kr UNION ALL SELECT src, dst, 1, 'sample-cluster' FROM se),
+ ap AS (SELECT src, dst FROM al UNION SELECT r.src, e.dst FROM ap r JOIN al e ON e.src = r.dst)
+ SELECT src, dst, weight::BIGINT AS weight, edge_type FROM al WHERE NOT EXISTS (SELECT 1 FROM al a JOIN ap b ON a.dst = b.src WHERE a.src = al.src AND b.dst = al.dst)
+ UNION ALL SELECT DISTINCT k, cluster::VARCHAR, 1, 'gene-cluster' FROM mm JOIN cl ON cl.node = mm.contig WHERE k = 'pd99000000' AND cluster IN (FROM kept)""",
+    "sampled_contigs": f"WITH {_PAIRS} SELECT node, substr(node, 1, 7) AS site FROM n QUALIFY row_number() OVER (PARTITION BY substr(node, 1, 7) ORDER BY md5('123:' || node), node) <= 2",
     "derep_weak": _TABLES + """, u AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), wr AS (SELECT src, dst FROM u UNION SELECT r.src, u.dst FROM wr r JOIN u ON u.src = r.dst),
  wc AS (SELECT src AS node, min(dst) AS component FROM wr GROUP BY 1)
  SELECT first_value(wc.node) OVER (PARTITION BY component ORDER BY coalesce(length, -1) DESC, wc.node) AS representative, wc.node AS contig FROM wc LEFT JOIN attr ON attr.contig = wc.node""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqsys.functions.names import accession_key, contig_name
 from seqsys.functions.values import present_text
 from seqsys.operators import annot, cooc, coverage, intervals, layout
+from seqsys.operators.order import number_rows
 from seqsys.plans.containment import _TABLES, contig_attributes, systems_of
 from seqsys.plans.sql import NONE, accession_sql, contig_sql
 
@@ -97,6 +98,11 @@ def cooc_instances(spark: SparkSession, d: str) -> DataFrame:
     return cooc.pair_counts(cooc.window_pairs(genes(spark, d), WINDOW), cap_per_contig=False).groupBy("later", "earlier").agg(F.sum("n").alias("n"))
 
 
+def cooc_window0(spark: SparkSession, d: str) -> DataFrame:
+    """Accession pairs on genes of equal start: distance 0 in genes."""
+    return cooc.pair_counts(cooc.window_pairs(genes(spark, d), 0, by_rank=True)).withColumn("orientation", F.col("orientation").cast("int"))
+
+
 def cooc_gene_rank(spark: SparkSession, d: str) -> DataFrame:
     """Accession pairs on genes at most two ranks apart."""
     return cooc.pair_counts(cooc.window_pairs(genes(spark, d), 2, by_rank=True)).withColumn("orientation", F.col("orientation").cast("int"))
@@ -127,6 +133,12 @@ def bottomk_pairs(spark: SparkSession, d: str) -> DataFrame:
     return cooc.top_pairs(_symmetric(spark, d).filter("a < b"), "total", 50, largest=False).select("a", "b", "total")
 
 
+def topk_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Both ends of the pairs of one accession family with any but the most frequent accession."""
+    scored = _symmetric(spark, d)
+    return cooc.top_pairs(scored, "total", 25, keep=(F.col("a").startswith("pd"), None), drop=(["pd99000000"], ["pd99000000"]), symmetric=True, tail=True).select("a", "b", "total", "is_tail")
+
+
 def greedy_matching(spark: SparkSession, d: str) -> DataFrame:
     """Accessions paired one to one by how often they stand together, pairs on 3 contigs or more."""
     return cooc.greedy_matching(_symmetric(spark, d).filter("a < b and total >= 3").select("a", "b", "total"), "total")
@@ -137,6 +149,13 @@ def accession_freq(spark: SparkSession, d: str) -> DataFrame:
     return f.select("accession", "instances", "contigs", "groups", *[F.round(f"{c}_ratio", 8).alias(f"{c}_ratio") for c in ("instances", "contigs", "groups")])
 
 
+def grouped_freq(spark: SparkSession, d: str) -> DataFrame:
+    """Accessions by sources, sites and directions."""
+    g = genes(spark, d).withColumn("site", F.substring("contig", 1, 7))
+    f = cooc.grouped_frequencies(g, ["source", "site", "direction"])
+    return f.select(*[c if not c.endswith("_ratio") else F.round(c, 8).alias(c) for c in f.columns])
+
+
 def label_odds(spark: SparkSession, d: str) -> DataFrame:
     """Accessions on circular against other contigs."""
     g = genes(spark, d).join(contig_attributes(spark, d).select("contig", "circular"), "contig")
@@ -159,7 +178,35 @@ def gene_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 def symbol_merge(spark: SparkSession, d: str) -> DataFrame:
     g = genes(spark, d)
-    return annot.symbol_merge(annot.gene_pivot(g, cooc.frequencies(g)))
+    pivot = annot.gene_pivot(g, cooc.frequencies(g))
+    return annot.symbol_merge(pivot, annot.symbol_members(g, pivot))
+
+
+def symbol_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Accessions met with each representative, by source."""
+    g = genes(spark, d)
+    return annot.symbol_members(g, annot.gene_pivot(g, cooc.frequencies(g)))
+
+
+def accession_contigs(spark: SparkSession, d: str) -> DataFrame:
+    return annot.accession_contigs(genes(spark, d))
+
+
+def _described(spark: SparkSession, d: str) -> DataFrame:
+    f = spark.read.parquet(f"{d}/gene_functions.parquet").select("accession", "description")
+    return f.select(accession_key(F.col("accession")).alias("accession"), F.when(present_text(F.col("description")), F.col("description")).alias("description"))
+
+
+def described_accessions(spark: SparkSession, d: str) -> DataFrame:
+    """Accessions of genes with their frequency and description."""
+    return annot.describe(cooc.frequencies(genes(spark, d)).select("accession", "contigs"), annot.descriptions(_described(spark, d)))
+
+
+def anchor_directions(spark: SparkSession, d: str) -> DataFrame:
+    """Direction of the first of the most frequent accessions on each contig."""
+    g = genes(spark, d)
+    top = number_rows(cooc.frequencies(g).orderBy(F.col("contigs").desc(), "accession").limit(20).select("accession", "contigs"), [F.col("contigs").desc(), "accession"], "position")
+    return annot.anchor_directions(g, top).select("contig", "accession", "direction")
 
 
 def cargo_split(spark: SparkSession, d: str) -> DataFrame:
@@ -167,6 +214,14 @@ def cargo_split(spark: SparkSession, d: str) -> DataFrame:
     return annot.cargo(genes(spark, d), s.membership.withColumnRenamed("node", "contig"), s.reached, strict=False)
 
 
+def cargo_strict(spark: SparkSession, d: str) -> DataFrame:
+    """Strict cargo, with regard to the annotations of one source, and the sites it was met at."""
+    s, g = systems_of(spark, d), genes(spark, d)
+    of = s.membership.withColumnRenamed("node", "contig")
+    sites = of.select("contig", F.substring("contig", 1, 3).alias("sample"))
+    return annot.cargo(g, of, s.reached, strict_sources=["ProFam_v9"], detected=sites).drop("is_strict")
+
+
 def anchor_cover(spark: SparkSession, d: str) -> DataFrame:
     """The anchors that cover the contigs of all systems."""
     s = systems_of(spark, d)
@@ -189,8 +244,10 @@ def pair_summary(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        coverage_union, depth_profile, slop_intervals, merge_intervals, overlap_join, rotate_coords, dense_rank_runs, tiers, locus_split, centre_gaps, cooc_coord, cooc_instances, cooc_gene_rank, cooc_symmetric, cooc_norms,
-        exact_overlap, topk_pairs, bottomk_pairs, greedy_matching, accession_freq, label_odds, gene_call_merge, gene_call_merge_outer, gene_pivot, symbol_merge, cargo_split, anchor_cover, pair_summary,
+        coverage_union, depth_profile, slop_intervals, merge_intervals, overlap_join, rotate_coords, dense_rank_runs, tiers, locus_split, centre_gaps,
+        cooc_coord, cooc_instances, cooc_gene_rank, cooc_window0, cooc_symmetric, cooc_norms, exact_overlap, topk_pairs, bottomk_pairs, topk_masked, greedy_matching,
+        accession_freq, grouped_freq, label_odds, gene_call_merge, gene_call_merge_outer, gene_pivot, symbol_merge, symbol_sources, accession_contigs,
+        described_accessions, anchor_directions, cargo_split, cargo_strict, anchor_cover, pair_summary,
     )
 }
 
@@ -219,6 +276,13 @@ _FREQ = """, fr AS (SELECT accession, count(*) AS instances, count(DISTINCT cont
 _PIVOT = _GENES + _FREQ + """, pv AS (SELECT contig, start, stop, arg_min(accession, (-contigs, accession)) AS accession_representative, string_agg(DISTINCT accession, '|' ORDER BY accession) AS accessions, string_agg(DISTINCT g.source, '|' ORDER BY g.source) AS sources
   FROM genes g JOIN fr USING (accession) GROUP BY 1, 2, 3)"""
 
+# one pair after the other, with the ends taken so far
+_SYM_WALK = "WITH RECURSIVE" + _SYM + """, rk AS (SELECT a, b, total, row_number() OVER (ORDER BY total DESC, a, b) AS i FROM sym WHERE a < b AND total >= 3),
+walk AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS la, []::VARCHAR[] AS lb, NULL::VARCHAR AS a, NULL::VARCHAR AS b, NULL::BIGINT AS total
+ UNION ALL SELECT r.i, CASE WHEN ok THEN list_append(la, r.a) ELSE la END, CASE WHEN ok THEN list_append(lb, r.b) ELSE lb END, CASE WHEN ok THEN r.a END, CASE WHEN ok THEN r.b END, CASE WHEN ok THEN r.total END
+ FROM (SELECT w.la, w.lb, rk.*, NOT list_contains(w.la, rk.a) AND NOT list_contains(w.lb, rk.b) AS ok FROM walk w JOIN rk ON rk.i = w.i + 1) r)
+SELECT a, b, total FROM walk WHERE a IS NOT NULL"""
+
 SQL = {
     "coverage_union": "WITH" + _CALLS + _ISLAND + " SELECT contig, sum(stop - start)::BIGINT AS cov, (SELECT sum(e - s) FROM (SELECT k, min(start) AS s, max(stop) AS e FROM i x WHERE x.contig = i.contig GROUP BY k))::BIGINT AS cov_uniq, count(*) AS n FROM i GROUP BY contig",
     "depth_profile": "WITH" + _CALLS + _EVENTS + " SELECT contig, pos AS start, nxt AS stop, depth::BIGINT AS depth FROM (SELECT *, lead(pos) OVER (PARTITION BY contig ORDER BY pos) AS nxt FROM dp WHERE delta <> 0) WHERE depth > 0",
@@ -243,8 +307,24 @@ SQL = {
     "cooc_symmetric": "WITH" + _SYM + " SELECT * FROM sym",
     "cooc_norms": "WITH" + _SYM + _FREQ + """, mg AS (SELECT a, sum(total) AS m FROM sym GROUP BY 1), x AS (SELECT s.a, s.b, s.total, s.total::DOUBLE AS c, p.m::DOUBLE AS ma, q.m::DOUBLE AS mb, f.contigs::DOUBLE AS ca, g.contigs::DOUBLE AS cb, f.instances::DOUBLE AS ia, g.instances::DOUBLE AS ib
  FROM sym s JOIN mg p ON p.a = s.a JOIN mg q ON q.a = s.b JOIN fr f ON f.accession = s.a JOIN fr g ON g.accession = s.b)
- SELECT a, b, total, round(c / (ma * mb), 6) AS hyperz_marg, round(c / (ma + mb - c), 6) AS jacc_marg, round(c / ma, 6) AS cond_marg, round(c / (ca * cb), 6) AS hyperz_groups, round(c / (ca + cb - c), 6) AS jacc_groups, round(c / ca, 6) AS cond_groups,
+ SELECT a, b, total, round(c / (ma * mb), 6) AS hyperz_marg, round(c / (ma + mb - c), 6) AS jacc_marg, round(c / ma, 6) AS cond_marg, round(c / (ca * cb), 6) AS hyperz_groups, round(c / (ca + cb - c), 6) AS jacc_groups, round(c / ca, 6) AS cond_groups, round(c / ca, 6) AS cond_contigs,
  round(ln(c * (SELECT sum(total) FROM sym) / (ia * ib)), 6) AS pmi_instances FROM x""",
+    "cooc_window0": "WITH" + _GENES + """ SELECT i.accession AS later, j.accession AS earlier, 2 * (i.direction = 'r')::INT + (j.direction = 'r')::INT AS orientation, count(DISTINCT i.contig) AS n
+ FROM genes i JOIN genes j ON i.contig = j.contig AND i.start = j.start AND j.row < i.row GROUP BY 1, 2, 3""",
+    "topk_masked": "WITH" + _SYM + """, t AS (SELECT a, b, total FROM sym WHERE a <= b AND a LIKE 'pd%' AND a <> 'pd99000000' AND b <> 'pd99000000')
+ SELECT * FROM (SELECT a, b, total, false AS is_tail FROM t ORDER BY total DESC, a, b LIMIT 25) UNION ALL SELECT * FROM (SELECT a, b, total, true FROM t ORDER BY total, a, b LIMIT 25)""",
+    "greedy_matching": _SYM_WALK,
+    "grouped_freq": "WITH" + _GENES + """, x AS (SELECT *, substr(contig, 1, 7) AS site FROM genes),
+ t AS (SELECT count(*) AS i, count(DISTINCT contig) AS c, count(DISTINCT source) AS s, count(DISTINCT site) AS e, count(DISTINCT direction) AS d FROM x),
+ y AS (SELECT accession, count(*) AS instances, count(DISTINCT contig) AS contigs, count(DISTINCT source) AS source, count(DISTINCT site) AS site, count(DISTINCT direction) AS direction FROM x GROUP BY 1)
+ SELECT y.*, round(instances / t.i, 8) AS instances_ratio, round(contigs / t.c, 8) AS contigs_ratio, round(source / t.s, 8) AS source_ratio, round(site / t.e, 8) AS site_ratio, round(direction / t.d, 8) AS direction_ratio FROM y, t""",
+    "symbol_sources": "WITH" + _PIVOT + " SELECT DISTINCT accession_representative, g.source, g.accession FROM genes g JOIN pv USING (contig, start, stop)",
+    "accession_contigs": "WITH" + _GENES + " SELECT accession, contig, count(*) AS instances FROM genes GROUP BY 1, 2",
+    "described_accessions": "WITH" + _GENES + _FREQ + f""", de AS (SELECT k, arg_min(description, (-n, description)) AS description FROM (SELECT {_KEY} AS k, description, count(*) AS n FROM gene_functions
+  WHERE description IS NOT NULL AND lower(trim(description)) NOT IN {NONE} GROUP BY 1, 2) GROUP BY 1)
+ SELECT fr.accession, contigs, description FROM fr LEFT JOIN de ON de.k = fr.accession""",
+    "anchor_directions": "WITH" + _GENES + _FREQ + """, tp AS (SELECT accession, row_number() OVER (ORDER BY contigs DESC, accession) AS p FROM fr QUALIFY p <= 20)
+ SELECT contig, accession, direction FROM genes JOIN tp USING (accession) QUALIFY row_number() OVER (PARTITION BY contig ORDER BY p, start, stop, direction) = 1""",
     "exact_overlap": "WITH" + _GENES + " SELECT x.accession AS a, y.accession AS b, count(DISTINCT x.contig) AS n FROM genes x JOIN genes y ON x.contig = y.contig AND x.start = y.start AND x.stop = y.stop AND x.accession < y.accession GROUP BY 1, 2",
     "topk_pairs": "WITH" + _SYM + " SELECT a, b, total FROM sym WHERE a < b ORDER BY total DESC, a, b LIMIT 50",
     "bottomk_pairs": "WITH" + _SYM + " SELECT a, b, total FROM sym WHERE a < b ORDER BY total, a, b LIMIT 50",
@@ -262,6 +342,19 @@ SQL = {
  rw AS (SELECT DISTINCT mem.backbone, genes.contig, start, stop, genes.accession, source, onb.backbone IS NOT NULL AS hit FROM genes JOIN mem USING (contig) LEFT JOIN onb ON onb.backbone = mem.backbone AND onb.accession = genes.accession),
  sp AS (SELECT DISTINCT backbone, contig, start, stop, true AS spoiled FROM rw WHERE hit)
  SELECT backbone, contig, start, stop, accession, source, spoiled IS NULL AS is_strict FROM rw LEFT JOIN sp USING (backbone, contig, start, stop) WHERE NOT hit""",
+    "cargo_strict": _TABLES + "," + _GENES + """, mem AS (SELECT m.node AS contig, r.b AS backbone FROM m JOIN reached r ON r.cluster = m.cluster),
+ onb AS (SELECT DISTINCT m.cluster AS backbone, accession FROM genes JOIN m ON m.node = genes.contig),
+ rw AS (SELECT DISTINCT mem.backbone, genes.contig, start, stop, genes.accession, source, onb.backbone IS NOT NULL AS hit FROM genes JOIN mem USING (contig) LEFT JOIN onb ON onb.backbone = mem.backbone AND onb.accession = genes.accession)
+ SELECT backbone, contig, start, stop, accession, source, substr(contig, 1, 3) AS sample FROM rw WHERE NOT hit AND NOT EXISTS (SELECT 1 FROM rw x WHERE x.hit AND x.source = 'ProFam_v9' AND x.backbone = rw.backbone AND x.contig = rw.contig AND x.start = rw.start AND x.stop = rw.stop)""",
+    # the best accession of what is left, then without its contigs, until nothing is left
+    "anchor_cover": _TABLES + "," + _GENES + """, g0 AS (SELECT genes.contig, start, accession FROM genes WHERE contig IN (SELECT m.node FROM m JOIN reached r ON r.cluster = m.cluster)),
+ cover AS (SELECT -1 AS position, contig, start, accession, NULL::VARCHAR AS picked FROM g0
+  UNION ALL (WITH per AS (SELECT accession, count(DISTINCT contig) AS nc, count(*) AS ni, min(contig) AS c, min(start) AS s FROM cover WHERE contig IS NOT NULL GROUP BY 1),
+   best AS (SELECT accession AS x FROM per ORDER BY CASE WHEN nc > 1 THEN -nc ELSE 1 END, CASE WHEN nc > 1 THEN -ni ELSE 1 END, CASE WHEN nc > 1 THEN '' ELSE c END, s, accession LIMIT 1),
+   gone AS (SELECT DISTINCT contig AS y FROM cover JOIN best ON accession = x)
+   SELECT position + 1, contig, start, accession, NULL FROM cover WHERE contig IS NOT NULL AND contig NOT IN (SELECT y FROM gone)
+   UNION ALL SELECT (SELECT max(position) + 1 FROM cover), NULL, NULL, NULL, x FROM best))
+ SELECT position::INT AS position, picked AS accession FROM cover WHERE picked IS NOT NULL""",
     "pair_summary": """WITH b AS (SELECT l_suppkey AS ref, l_partkey AS query, l_linenumber * 10 - 1 AS s, l_linenumber * 10 + l_quantity::INT AS e, (l_discount * 100)::INT AS mm, trunc(l_discount * 100)::INT AS mt FROM lineitem),
  o AS (SELECT *, max(e) OVER (PARTITION BY ref, query ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM b), g AS (SELECT ref, query, sum(e - s) AS cov, sum(greatest(0, e - greatest(s, coalesce(p, s)))) AS u, sum(mt)::BIGINT AS mm, count(*) AS n FROM o GROUP BY 1, 2)
  SELECT ref, query, mm AS mismatches, n AS nblocks, round(cov / 1000, 10) AS query_cov, round(u / 1000, 10) AS query_cov_uniq, round((cov - mm) / cov, 10) AS ani, round((cov - mm) / cov * (u / 1000), 10) AS full_ani FROM g""",
