@@ -100,18 +100,19 @@ def set_classes(members: DataFrame, min_size: int) -> DataFrame:
     return sets.filter(F.size("items") >= min_size).select("record", F.xxhash64("items").alias("id"), "items")
 
 
-def similar_pairs(members: DataFrame, threshold: float = 0.8, min_size: int = 1, miss: float = 1e-3) -> DataFrame:
-    """Rows ``a, b, shared, total`` with a < b: records whose item sets have Jaccard similarity ``>= threshold``.
+def similar_classes(members: DataFrame, threshold: float = 0.8, min_size: int = 1, miss: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+    """Classes of records with equal item sets, and the links between similar ones: ``record, id, n`` and ``x, y, shared, total`` with x < y.
 
     ``members`` are distinct, non-null (record, item) pairs as from `memberships`; records with
-    fewer than ``min_size`` items take no part. ``miss`` bounds the probability of losing
+    fewer than ``min_size`` items take no part. A link joins two classes whose sets have Jaccard similarity ``>= threshold``;
+    the records of one class, of ``n`` items each, are similar among themselves. ``miss`` bounds the probability of losing
     a pair that lies at the threshold; pairs above it are lost less often, equal sets never.
     Empty input gives no row. There is no cap on partners: a segment value shared by
-    very many classes is split by adaptive execution, and repeated sets are one class.
+    very many classes is split by adaptive execution, and repeated sets are one class, however many records have them.
     """
     scratch = Scratch(members.sparkSession, "setpairs")
     sets = scratch.write(set_classes(members, min_size), "sets")
-    classes = scratch.write(sets.groupBy("id").agg(F.min_by("items", "record").alias("items"), F.count("*").alias("copies")), "classes")
+    classes = scratch.write(sets.groupBy("id").agg(F.min_by("items", "record").alias("items")), "classes")
     n = classes.count()
     bits, segments, radius = sketch_shape(n, threshold, miss)
     sketches = scratch.write(classes.select("id", "items").mapInArrow(_sketches(bits, segments), "id long, keys array<long>, code array<long>"), "sketches")
@@ -135,9 +136,15 @@ def similar_pairs(members: DataFrame, threshold: float = 0.8, min_size: int = 1,
     checked = checked.withColumn("total", F.size("ix") + F.size("iy") - F.col("shared")).filter(F.col("shared") >= F.col("total") * F.lit(threshold) - 1e-9)
     links = scratch.write(checked.select("x", "y", "shared", "total"), "links")
 
-    of = sets.select("record", "id")
+    return sets.select("record", "id", F.size("items").alias("n")), links
+
+
+def similar_pairs(members: DataFrame, threshold: float = 0.8, min_size: int = 1, miss: float = 1e-3) -> DataFrame:
+    """Rows ``a, b, shared, total`` with a < b: `similar_classes` written out as pairs of records."""
+    records, links = similar_classes(members, threshold, min_size, miss)
+    of = records.select("record", "id")
     across = links.join(of.toDF("p", "x"), "x").join(of.toDF("q", "y"), "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared", "total")
-    many = classes.filter(F.col("copies") > 1).select("id", F.size("items").alias("shared"))
-    copies = of.join(many, "id")
-    within = copies.toDF("id", "a", "shared").join(of.toDF("b", "id"), "id").filter(F.col("a") < F.col("b")).select("a", "b", "shared", F.col("shared").alias("total"))
+    several = records.groupBy("id").agg(F.count("*").alias("copies")).filter(F.col("copies") > 1).select("id")
+    copies = records.join(several, "id").select("id", F.col("record").alias("a"), F.col("n").alias("shared"))
+    within = copies.join(of.toDF("b", "id"), "id").filter(F.col("a") < F.col("b")).select("a", "b", "shared", F.col("shared").alias("total"))
     return across.unionByName(within)

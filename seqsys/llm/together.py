@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from seqsys.session import Scratch, parallelism
 
-#: Item tables up to this many bytes on disk are broadcast, larger ones joined by shuffle.
-MAX_BROADCAST_ITEMS = 32 << 20
+#: Item tables of up to this many rows are broadcast, larger ones joined by shuffle.
+MAX_BROADCAST_ITEMS = 200_000
 
 
-def together(members: DataFrame, min_count: int = 2, min_lift: float = 0.0, blocks_per_partition: int = 2) -> DataFrame:
+def together(members: DataFrame, min_count: int = 2, min_lift: float = 0.0, blocks_per_partition: int = 2, max_broadcast: int = MAX_BROADCAST_ITEMS) -> DataFrame:
     """Rows ``item_a, item_b, n_ab, n_a, n_b, n, pmi, lift`` with item_a < item_b in byte order.
 
     ``members`` are distinct, non-null (record, item) pairs as from `memberships`. A pair is
@@ -35,7 +35,7 @@ def together(members: DataFrame, min_count: int = 2, min_lift: float = 0.0, bloc
     counts = counts.filter((F.col("n_item") >= min_count) & (F.col("n_item") * F.lit(float(min_lift)) <= n))
     # ids ascend with the sort, so a larger code is a more frequent item
     items = scratch.write(counts.orderBy("n_item", "item").withColumn("code", F.monotonically_increasing_id()), "items")
-    small = scratch.size(scratch.last) <= MAX_BROADCAST_ITEMS
+    small = items.count() <= max_broadcast
     hint = F.broadcast if small else (lambda x: x)
 
     baskets = pairs.join(hint(items.select("item", "code")), "item").groupBy("record").agg(F.array_sort(F.collect_list("code")).alias("codes"))

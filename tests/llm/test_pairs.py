@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqsys.llm.components import components
 from seqsys.llm.memberships import memberships
 from seqsys.llm.queries import ani_matches
-from seqsys.llm.setpairs import similar_pairs, sketch_shape
+from seqsys.llm.setpairs import similar_classes, similar_pairs, sketch_shape
 from seqsys.llm.survivors import survivors
 from seqsys.llm.terms import array_suffixes, gram_statistics, term_suffixes
 from seqsys.llm.together import together
@@ -105,6 +105,16 @@ def test_similar_pairs_against_brute_force(spark):
     assert similar_pairs(memberships(df.limit(0), F.col("record"), F.col("item")), 0.8, 5).count() == 0
 
 
+def test_classes_of_equal_sets(spark):
+    """A hot class of copies is one class of many records and makes no pairs of its own."""
+    rows = [(f"hot{i}", f"x{k}") for i in range(300) for k in range(10)] + [("near", f"x{k}") for k in range(9)] + [("far", f"y{k}") for k in range(9)]
+    df = spark.createDataFrame(rows, "record string, item string")
+    records, links = similar_classes(memberships(df, F.col("record"), F.col("item")), 0.8, 5)
+    assert records.filter("record like 'hot%'").select("id", "n").distinct().count() == 1 and records.count() == 302
+    (r,) = links.collect()
+    assert (r.shared, r.total) == (9, 10)
+
+
 def test_sketch_shape():
     bits, segments, radius = sketch_shape(100_000, 0.8, 1e-3)
     assert bits == 17 and (1 - 0.9**bits) ** segments <= 1e-3 and 0.1 < radius / (bits * segments) < 0.2
@@ -122,6 +132,8 @@ def test_together_against_brute_force(spark):
     assert set(got) == want and ("p", "q") in want
     r = got["p", "q"]
     assert (r.n_ab, r.n_a, r.n_b, r.n) == (n2["p", "q"], n1["p"], n1["q"], 300) and math.isclose(r.pmi, math.log(r.n_ab * 300 / (r.n_a * r.n_b)))
+    m = memberships(df, F.col("record"), F.col("item"))
+    assert set(together(m, 5, 1.5, max_broadcast=3).collect()) == set(together(m, 5, 1.5).collect())  # by shuffle as by broadcast
     assert together(memberships(df.limit(0), F.col("record"), F.col("item")), 5, 1.5).count() == 0
 
 
