@@ -13,7 +13,7 @@ from seqsys.llm.memberships import memberships
 from seqsys.llm.setpairs import similar_pairs
 from seqsys.llm.subjects import subjects
 from seqsys.llm.survivors import survivors
-from seqsys.llm.terms import gram_statistics, term_suffixes
+from seqsys.llm.terms import gram_statistics, sequence_suffixes, term_suffixes
 from seqsys.llm.together import together
 from seqsys.llm.tokens import encode_corpus
 from seqsys.plans.sql import NONE, accession_sql, contig_sql, fraction_sql
@@ -74,6 +74,15 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("accession", F.col("occurrences").alias("n_rows"), F.col("records").alias("n_contigs"), F.coalesce(_mark(n), F.lit("useful")).alias("mark"))
 
 
+def p2_grams(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of one to three accessions along the contigs, in the order of their genes, that are on three contigs or more."""
+    f = _read(spark, d, "gene_functions", "contig", "gene_callers_id", "entry_id", "accession")
+    gene = F.coalesce("gene_callers_id", F.lit(0)).alias("gene")
+    rows = f.select(contig_name(F.col("contig")).alias("contig"), gene, "entry_id", accession_key(F.col("accession")).alias("k")).dropna().distinct()
+    grams = gram_statistics(sequence_suffixes(rows, "contig", ["gene", "entry_id", "k"], "k", 3)).filter("records >= 3")
+    return grams.select(F.translate("gram", "\u0001", "|").alias("accessions"), F.col("occurrences").alias("n_rows"), F.col("records").alias("n_contigs"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     members = _members(_read(spark, d, "gene_functions", "accession", "contig"))
     return similar_pairs(members, threshold=0.8, min_size=5).select(F.col("a").alias("contig_a"), F.col("b").alias("contig_b"))
@@ -136,7 +145,7 @@ def p10_mix(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("n_pages"), F.round(F.sum("share"), 3).alias("share_sum"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_counts, p4_found, p5_found, p7_found, p8_ids, p9_found, p10_found, p10_mix)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_counts, p2_grams, p4_found, p5_found, p7_found, p8_ids, p9_found, p10_found, p10_mix)}
 
 _NAMED = f"""
 WITH f AS (SELECT {accession_sql("accession")} AS raw, {contig_sql("contig")} AS contig FROM gene_functions),
@@ -163,6 +172,11 @@ reach AS (SELECT x, x AS y FROM both_ways UNION SELECT r.x, w.y FROM reach r JOI
 SELECT x AS contig, min(y) AS group_contig FROM reach GROUP BY 1""",
     "p2_found": _COUNTS + "SELECT accession, mark FROM marked WHERE mark <> 'useful'",
     "p2_counts": _COUNTS + "SELECT * FROM marked",
+    "p2_grams": f"""
+WITH r AS (SELECT DISTINCT {contig_sql("contig")} AS contig, coalesce(gene_callers_id, 0) AS gene, entry_id, lower({accession_sql("accession")}) AS k FROM gene_functions),
+s AS (SELECT contig, k, lead(k, 1) OVER w AS k2, lead(k, 2) OVER w AS k3 FROM r WHERE contig IS NOT NULL AND k NOT IN {NONE} WINDOW w AS (PARTITION BY contig ORDER BY gene, entry_id, k)),
+g AS (SELECT contig, k AS accessions FROM s UNION ALL SELECT contig, k || '|' || k2 FROM s WHERE k2 IS NOT NULL UNION ALL SELECT contig, k || '|' || k2 || '|' || k3 FROM s WHERE k3 IS NOT NULL)
+SELECT accessions, count(*) AS n_rows, count(DISTINCT contig) AS n_contigs FROM g GROUP BY 1 HAVING count(DISTINCT contig) >= 3""",
     "p4_found": _MEMBERS + """
 big AS (SELECT m.contig, k, n FROM m JOIN sizes USING (contig) WHERE n >= 5),
 common AS (SELECT a.contig AS x, b.contig AS y, a.n AS nx, b.n AS ny, count(*) AS s FROM big a JOIN big b ON a.k = b.k AND a.contig < b.contig GROUP BY 1, 2, 3, 4)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqsys.operators.scan import sharded, value_after
 from seqsys.session import Scratch, parallelism
 
 
@@ -33,6 +34,21 @@ def array_suffixes(df: DataFrame, record: Column, terms: Column, sigma: int) ->
     return at.select(F.slice("t", F.col("i"), F.lit(sigma)).alias("suffix"), F.xxhash64("r").alias("record"), F.col("r").isNotNull().alias("has_record"))
 
 
+def sequence_suffixes(df: DataFrame, record: str, order: list[str], term: str, sigma: int) -> DataFrame:
+    """All suffixes, truncated to ``sigma`` terms, of sequences given as rows: the terms of a record along ``order``, a total order whose first column is a number.
+
+    A row finds the terms after it shard by shard, so that a record of very many rows is spread. Rows with a null record, term or first order are left out.
+    """
+    scratch = Scratch(df.sparkSession, "sequences")
+    rows = df.select(record, *order, F.col(term).alias("_t1")).dropna(subset=[record, order[0], "_t1"])
+    rows = scratch.write(sharded(rows, order[0]), "rows")
+    for k in range(1, sigma):
+        rows = scratch.write(value_after(rows, [record], order, f"_t{k}", f"_t{k + 1}"), "rows")
+    # a missing term ends the suffix, and no later one is there
+    suffix = F.array_compact(F.array(*[F.col(f"_t{k}") for k in range(1, sigma + 1)]))
+    return rows.select(suffix.alias("suffix"), F.xxhash64(record).alias("record"), F.lit(True).alias("has_record"))
+
+
 class _Level:
     """A stack level: occurrences of a prefix and the records it was seen in."""
 

@@ -10,7 +10,7 @@ from seqsys.llm.memberships import memberships
 from seqsys.llm.queries import ani_matches
 from seqsys.llm.setpairs import similar_classes, similar_pairs, sketch_shape
 from seqsys.llm.survivors import survivors
-from seqsys.llm.terms import array_suffixes, gram_statistics, term_suffixes
+from seqsys.llm.terms import array_suffixes, gram_statistics, sequence_suffixes, term_suffixes
 from seqsys.llm.together import together
 
 
@@ -65,6 +65,23 @@ def test_grams_against_brute_force(spark):
     assert {tuple(r.gram.split("\x01")): (r.occurrences, r.records) for r in got} == {g: (n, len(want_r[g])) for g, n in want_n.items()}
 
 
+def test_suffixes_of_sequences_in_rows(spark):
+    rng = random.Random(12)
+    rows = [("hot" if i % 3 else f"r{i % 40}", rng.randrange(200_000), i, rng.choice("abcd")) for i in range(3000)] + [(None, 1, -1, "a"), ("r1", 5, -2, None)]
+    df = spark.createDataFrame(rows, "record string, at long, id long, term string")
+    got = {r.gram: (r.occurrences, r.records) for r in gram_statistics(sequence_suffixes(df, "record", ["at", "id"], "term", 3)).collect()}
+    n, where, of = Counter(), {}, {}
+    for r, at, i, t in sorted(x for x in rows if x[0] and x[3]):
+        of.setdefault(r, []).append(t)
+    for r, t in of.items():
+        for k in (1, 2, 3):
+            for i in range(len(t) - k + 1):
+                g = "\x01".join(t[i : i + k])
+                n[g] += 1
+                where.setdefault(g, set()).add(r)
+    assert got == {g: (c, len(where[g])) for g, c in n.items()}
+
+
 def test_terms_with_a_hot_term(spark):
     rows = [("hot", f"c{i % 300}") for i in range(3000)] + [("hot", None)] * 50 + [(f"t{i}", f"c{i}") for i in range(200)] + [(None, "c1")] + [("t1", "c9")]
     df = spark.createDataFrame(rows, "term string, contig string")
