@@ -166,36 +166,49 @@ QUERIES = {f.__name__: f for f in (threshold_edges, reciprocal_edges, contig_uni
 _PAIRS = f"""
 raw AS (SELECT {contig_sql("query")} AS query, {contig_sql("reference")} AS reference, run_at,
   {fraction_sql("c", "i_local")} AS c, {fraction_sql("i_local")} AS l, {fraction_sql("i_global", "c", "i_local")} AS g FROM ani),
-pairs AS (SELECT query, reference, c, l * 100 AS ani, g FROM (SELECT *, row_number() OVER (PARTITION BY query, reference ORDER BY run_at DESC NULLS LAST, c DESC NULLS LAST, l DESC NULLS LAST, g DESC NULLS LAST) AS k
+pairs AS (SELECT query, reference, c, l * 100 AS ani, g FROM (SELECT *, row_number() OVER (PARTITION BY query, reference ORDER BY run_at DESC NULLS
+ LAST, c DESC NULLS LAST, l DESC NULLS LAST, g DESC NULLS LAST) AS k
   FROM raw WHERE query IS NOT NULL AND reference IS NOT NULL) WHERE k = 1),
 e AS (SELECT query AS src, reference AS dst, g FROM pairs WHERE c >= 0.9 AND ani >= 90),
 n AS (SELECT query AS node FROM pairs UNION SELECT reference FROM pairs)"""
 _REACH = "WITH RECURSIVE " + _PAIRS + """,
 reach AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst AND e.src <> e.dst)"""
 _CLUSTERS = _REACH + """,
-comp AS (SELECT node, min(m) AS component FROM (SELECT node, node AS m FROM n UNION ALL SELECT a.src, a.dst FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src) GROUP BY 1),
+comp AS (SELECT node, min(m) AS component FROM (SELECT node, node AS m FROM n UNION ALL SELECT a.src, a.dst FROM reach a JOIN reach b ON a.src = b.dst
+ AND a.dst = b.src) GROUP BY 1),
 cl AS (SELECT node, (dense_rank() OVER (ORDER BY component) - 1)::INT AS cluster FROM comp)"""
 _GRAPH = _CLUSTERS + """,
-g AS (SELECT a.cluster AS src, b.cluster AS dst, count(*) AS weight FROM (SELECT src, dst FROM e UNION SELECT node, node FROM n) x JOIN cl a ON a.node = x.src JOIN cl b ON b.node = x.dst GROUP BY 1, 2),
+g AS (SELECT a.cluster AS src, b.cluster AS dst, count(*) AS weight FROM (SELECT src, dst FROM e UNION SELECT node, node FROM n) x JOIN cl a ON a.node
+ = x.src JOIN cl b ON b.node = x.dst GROUP BY 1, 2),
 cp AS (SELECT src, dst FROM g WHERE src <> dst UNION SELECT r.src, g.dst FROM cp r JOIN g ON g.src = r.dst AND g.src <> g.dst),
 paths AS (SELECT src, dst FROM cp UNION SELECT cluster, cluster FROM cl)"""
 _TABLES = _GRAPH + """,
-attr AS (SELECT contig, length, flag = 1 AS circular FROM (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY loaded_at DESC NULLS LAST, length DESC NULLS LAST, flag DESC NULLS LAST) AS k
-  FROM (SELECT contig, length, loaded_at, CASE WHEN lower(trim(circular)) IN ('1', 'true') THEN 1 WHEN lower(trim(circular)) IN ('0', 'false') THEN 0 END AS flag FROM contigs WHERE contig IS NOT NULL)) WHERE k = 1),
-w AS (SELECT x.dst AS node, count(*) FILTER (x.src <> x.dst) AS children, sum(x.g) AS s FROM e x JOIN cl a ON a.node = x.src JOIN cl b ON b.node = x.dst WHERE a.cluster = b.cluster GROUP BY 1),
-m AS (SELECT cl.node, cluster, length, coalesce(circular, false) AS circular, coalesce(children, 0) + 1 AS nchildren, coalesce(s, 0) AS s FROM cl LEFT JOIN attr ON attr.contig = cl.node LEFT JOIN w ON w.node = cl.node),
-reps AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY length DESC NULLS LAST, nchildren DESC, node) AS k1, row_number() OVER (PARTITION BY cluster ORDER BY nchildren DESC, length DESC NULLS LAST, node) AS k2,
-  row_number() OVER (PARTITION BY cluster ORDER BY s DESC, nchildren DESC, length DESC NULLS LAST, node) AS k3, row_number() OVER (PARTITION BY cluster ORDER BY circular DESC, s DESC, nchildren DESC, length DESC NULLS LAST, node) AS k4 FROM m),
-per AS (SELECT cluster, string_agg(node, '|' ORDER BY node) AS members, count(*) AS cluster_size, sum(circular::INT)::BIGINT AS members_circ, min(length) AS length_min, median(length)::DOUBLE AS length_median, max(length) AS length_max,
-  max(node) FILTER (k1 = 1) AS rep_longest, max(node) FILTER (k2 = 1) AS rep_most_children, max(node) FILTER (k3 = 1) AS rep_central, max(node) FILTER (k4 = 1 AND circular) AS rep_circular_central FROM reps GROUP BY 1),
+attr AS (SELECT contig, length, flag = 1 AS circular FROM (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY loaded_at DESC NULLS LAST, length
+ DESC NULLS LAST, flag DESC NULLS LAST) AS k
+  FROM (SELECT contig, length, loaded_at, CASE WHEN lower(trim(circular)) IN ('1', 'true') THEN 1 WHEN lower(trim(circular)) IN ('0', 'false') THEN 0
+ END AS flag FROM contigs WHERE contig IS NOT NULL)) WHERE k = 1),
+w AS (SELECT x.dst AS node, count(*) FILTER (x.src <> x.dst) AS children, sum(x.g) AS s FROM e x JOIN cl a ON a.node = x.src JOIN cl b ON b.node =
+ x.dst WHERE a.cluster = b.cluster GROUP BY 1),
+m AS (SELECT cl.node, cluster, length, coalesce(circular, false) AS circular, coalesce(children, 0) + 1 AS nchildren, coalesce(s, 0) AS s FROM cl LEFT
+ JOIN attr ON attr.contig = cl.node LEFT JOIN w ON w.node = cl.node),
+reps AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY length DESC NULLS LAST, nchildren DESC, node) AS k1, row_number() OVER (PARTITION
+ BY cluster ORDER BY nchildren DESC, length DESC NULLS LAST, node) AS k2,
+  row_number() OVER (PARTITION BY cluster ORDER BY s DESC, nchildren DESC, length DESC NULLS LAST, node) AS k3, row_number() OVER (PARTITION BY
+ cluster ORDER BY circular DESC, s DESC, nchildren DESC, length DESC NULLS LAST, node) AS k4 FROM m),
+per AS (SELECT cluster, string_agg(node, '|' ORDER BY node) AS members, count(*) AS cluster_size, sum(circular::INT)::BIGINT AS members_circ,
+ min(length) AS length_min, median(length)::DOUBLE AS length_median, max(length) AS length_max,
+  max(node) FILTER (k1 = 1) AS rep_longest, max(node) FILTER (k2 = 1) AS rep_most_children, max(node) FILTER (k3 = 1) AS rep_central, max(node) FILTER
+ (k4 = 1 AND circular) AS rep_circular_central FROM reps GROUP BY 1),
 src AS (SELECT src AS cluster, max((src <> dst)::INT) = 0 AS is_source FROM g GROUP BY 1),
-typed AS (SELECT per.*, is_source, CASE WHEN is_source THEN 'source' WHEN members_circ > 0 THEN 'backbone' ELSE 'fragment' END AS cluster_type FROM per JOIN src USING (cluster)),
+typed AS (SELECT per.*, is_source, CASE WHEN is_source THEN 'source' WHEN members_circ > 0 THEN 'backbone' ELSE 'fragment' END AS cluster_type FROM
+ per JOIN src USING (cluster)),
 bb AS (SELECT cluster AS b, 'PS' || row_number() OVER (ORDER BY cluster) AS name FROM typed WHERE cluster_type = 'backbone'),
 reached AS (SELECT b, name, dst AS cluster FROM paths JOIN bb ON bb.b = paths.src),
 strings AS (SELECT cluster, string_agg(name, '|' ORDER BY b) AS systems, count(*) AS nb FROM reached GROUP BY 1),
 ug AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), ur AS (SELECT src, dst FROM ug UNION SELECT r.src, u.dst FROM ur r JOIN ug u ON u.src = r.dst),
 meta AS (SELECT src AS cluster, min(dst) AS meta_cluster FROM ur GROUP BY 1),
-full_table AS (SELECT typed.*, coalesce(systems, '') AS systems, CASE WHEN cluster_type <> 'source' THEN cluster_type WHEN coalesce(nb, 0) > 0 THEN 'compound' ELSE 'maximal_not_in_system' END AS cluster_four_types, meta_cluster,
+full_table AS (SELECT typed.*, coalesce(systems, '') AS systems, CASE WHEN cluster_type <> 'source' THEN cluster_type WHEN coalesce(nb, 0) > 0 THEN
+ 'compound' ELSE 'maximal_not_in_system' END AS cluster_four_types, meta_cluster,
   (SELECT count(*) FROM g JOIN typed t ON t.cluster = g.dst WHERE g.src = typed.cluster AND t.is_source) AS sources_parents,
   (SELECT count(*) FROM paths p JOIN typed t ON t.cluster = p.dst WHERE p.src = typed.cluster AND t.is_source) AS sources_ancestors,
   (SELECT count(*) FROM paths p JOIN typed t ON t.cluster = p.dst WHERE p.src = typed.cluster AND t.is_source AND t.members_circ > 0) AS sources_circ
@@ -207,37 +220,56 @@ SQL = {
     "threshold_edges": f"WITH {_PAIRS} SELECT src AS query, dst AS reference FROM e",
     "reciprocal_edges": f"WITH {_PAIRS} SELECT src AS query, dst AS reference FROM e WHERE EXISTS (SELECT 1 FROM e f WHERE f.src = e.dst AND f.dst = e.src)",
     "contig_universe": f"WITH {_PAIRS} SELECT node FROM n",
-    "similarity_hist": f"WITH {_PAIRS} SELECT least(floor(least(ani / 100, c) * 20), 19)::INT AS bin, count(*) AS n FROM pairs WHERE query <> reference AND (ani IS NOT NULL OR c IS NOT NULL) GROUP BY 1",
+    "similarity_hist": f"""WITH {_PAIRS} SELECT least(floor(least(ani / 100, c) * 20), 19)::INT AS bin, count(*) AS n FROM pairs WHERE query <>
+ reference AND (ani IS NOT NULL OR c IS NOT NULL) GROUP BY 1""",
     "closure_pairs": _REACH + " SELECT src, dst FROM reach WHERE src <> dst",
     "scc_clusters": _CLUSTERS + " SELECT node, cluster FROM cl",
-    "wcc_clusters": "WITH RECURSIVE " + _PAIRS + ", u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e UNION SELECT node, node FROM n), r AS (SELECT src, dst FROM u UNION SELECT r.src, u.dst FROM r JOIN u ON u.src = r.dst) SELECT src AS node, min(dst) AS component FROM r GROUP BY 1",
+    "wcc_clusters": "WITH RECURSIVE " + _PAIRS + """, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e UNION SELECT node, node FROM n), r AS
+ (SELECT src, dst FROM u UNION SELECT r.src, u.dst FROM r JOIN u ON u.src = r.dst) SELECT src AS node, min(dst) AS component FROM r GROUP BY 1""",
     "cluster_graph": _GRAPH + " SELECT src, dst, weight FROM g",
-    "transitive_reduction": _GRAPH + " SELECT src, dst, weight FROM g WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM cp a JOIN cp b ON a.dst = b.src WHERE a.src = g.src AND b.dst = g.dst AND a.dst <> g.src AND a.dst <> g.dst)",
-    "contig_table": _TABLES + " SELECT node AS contig, m.cluster, circular, nchildren AS nchildren_in_cluster, round(s / cluster_size, 6) AS avgani, cluster_size, cluster_type, cluster_four_types, rep_central AS representative_contig, systems FROM m JOIN full_table USING (cluster)",
-    "cluster_table": _TABLES + " SELECT cluster, members, cluster_size, members_circ, length_min::DOUBLE AS length_min, length_median, length_max::DOUBLE AS length_max, cluster_type, cluster_four_types, sources_parents, sources_ancestors, sources_circ, rep_longest, rep_most_children, rep_central, rep_circular_central, meta_cluster, systems FROM full_table",
-    "systems": _TABLES + """, roster AS (SELECT r.b, r.cluster, t.members FROM reached r JOIN typed t USING (cluster) WHERE r.cluster <> r.b AND t.cluster_type <> 'fragment'),
+    "transitive_reduction": _GRAPH + """ SELECT src, dst, weight FROM g WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM cp a JOIN cp b ON a.dst = b.src
+ WHERE a.src = g.src AND b.dst = g.dst AND a.dst <> g.src AND a.dst <> g.dst)""",
+    "contig_table": _TABLES + """ SELECT node AS contig, m.cluster, circular, nchildren AS nchildren_in_cluster, round(s / cluster_size, 6) AS avgani,
+ cluster_size, cluster_type, cluster_four_types, rep_central AS representative_contig, systems FROM m JOIN full_table USING (cluster)""",
+    "cluster_table": _TABLES + """ SELECT cluster, members, cluster_size, members_circ, length_min::DOUBLE AS length_min, length_median,
+ length_max::DOUBLE AS length_max, cluster_type, cluster_four_types, sources_parents, sources_ancestors, sources_circ, rep_longest, rep_most_children,
+ rep_central, rep_circular_central, meta_cluster, systems FROM full_table""",
+    "systems": _TABLES + """, roster AS (SELECT r.b, r.cluster, t.members FROM reached r JOIN typed t USING (cluster) WHERE r.cluster <> r.b AND
+ t.cluster_type <> 'fragment'),
  plasmids AS (SELECT DISTINCT b, unnest(string_split(members, '|')) AS p FROM roster),
- cc AS (SELECT b, string_agg(cluster::VARCHAR, '|' ORDER BY cluster) AS cc, count(*) AS n FROM roster GROUP BY 1), pp AS (SELECT b, string_agg(p, '|' ORDER BY p) AS cp, count(*) AS n FROM plasmids GROUP BY 1)
- SELECT name AS system_name, bb.b AS backbone_cluster, t.cluster_size::INT AS number_of_backbone_plasmids, t.members AS backbone_plasmids, coalesce(cc, '') AS compound_clusters, coalesce(cc.n, 0)::INT AS number_of_compound_clusters,
- coalesce(pp.n, 0)::INT AS number_of_compound_plasmids, coalesce(cp, '') AS compound_plasmids FROM bb JOIN typed t ON t.cluster = bb.b LEFT JOIN cc ON cc.b = bb.b LEFT JOIN pp ON pp.b = bb.b""",
+ cc AS (SELECT b, string_agg(cluster::VARCHAR, '|' ORDER BY cluster) AS cc, count(*) AS n FROM roster GROUP BY 1), pp AS (SELECT b, string_agg(p, '|'
+ ORDER BY p) AS cp, count(*) AS n FROM plasmids GROUP BY 1)
+ SELECT name AS system_name, bb.b AS backbone_cluster, t.cluster_size::INT AS number_of_backbone_plasmids, t.members AS backbone_plasmids,
+ coalesce(cc, '') AS compound_clusters, coalesce(cc.n, 0)::INT AS number_of_compound_clusters,
+ coalesce(pp.n, 0)::INT AS number_of_compound_plasmids, coalesce(cp, '') AS compound_plasmids FROM bb JOIN typed t ON t.cluster = bb.b LEFT JOIN cc ON
+ cc.b = bb.b LEFT JOIN pp ON pp.b = bb.b""",
     "minmax_backbones": _TABLES + """ SELECT b AS node, NOT EXISTS (SELECT 1 FROM cp JOIN bb x ON x.b = cp.src WHERE cp.dst = bb.b AND cp.src <> bb.b) AS is_minimal,
  NOT EXISTS (SELECT 1 FROM cp JOIN bb x ON x.b = cp.dst WHERE cp.src = bb.b AND cp.dst <> bb.b) AS is_maximal FROM bb""",
     "type_counts": _TABLES + " SELECT cluster_four_types, count(*) AS clusters, sum(cluster_size)::BIGINT AS contigs FROM full_table GROUP BY 1",
-    "cluster_scores": _CLUSTERS + f", {MEMBERS.replace('m AS (', 'mm AS (', 1)}, z AS (SELECT contig, count(*) AS score FROM mm GROUP BY 1) SELECT cluster, min(score) AS score_min, median(score)::DOUBLE AS score_median, max(score) AS score_max FROM cl JOIN z ON z.contig = cl.node GROUP BY 1",
+    "cluster_scores": _CLUSTERS + f""", {MEMBERS.replace('m AS (', 'mm AS (', 1)}, z AS (SELECT contig, count(*) AS score FROM mm GROUP BY 1) SELECT
+ cluster, min(score) AS score_min, median(score)::DOUBLE AS score_median, max(score) AS score_max FROM cl JOIN z ON z.contig = cl.node GROUP BY 1""",
     "cluster_subnetwork": _TABLES + f""", {MEMBERS.replace('m AS (', 'mm AS (', 1)}, kept AS (SELECT cluster FROM typed WHERE cluster_type <> 'fragment'),
- ki AS (SELECT src, dst FROM g WHERE src <> dst AND src IN (FROM kept) AND dst IN (FROM kept)), kp AS (SELECT src, dst FROM ki UNION SELECT r.src, e.dst FROM kp r JOIN ki e ON e.src = r.dst),
- kr AS (SELECT src::VARCHAR AS src, dst::VARCHAR AS dst FROM ki WHERE NOT EXISTS (SELECT 1 FROM ki a JOIN kp b ON a.dst = b.src WHERE a.src = ki.src AND b.dst = ki.dst)),
+ ki AS (SELECT src, dst FROM g WHERE src <> dst AND src IN (FROM kept) AND dst IN (FROM kept)), kp AS (SELECT src, dst FROM ki UNION SELECT r.src,
+ e.dst FROM kp r JOIN ki e ON e.src = r.dst),
+ kr AS (SELECT src::VARCHAR AS src, dst::VARCHAR AS dst FROM ki WHERE NOT EXISTS (SELECT 1 FROM ki a JOIN kp b ON a.dst = b.src WHERE a.src = ki.src
+ AND b.dst = ki.dst)),
  se AS (SELECT DISTINCT cluster::VARCHAR AS src, substr(node, 1, 7) AS dst FROM cl WHERE cluster IN (FROM kept)),
  al AS (SELECT src, dst, 10 AS weight, 'cluster-cluster' AS edge_type FROM kr UNION ALL SELECT src, dst, 1, 'sample-cluster' FROM se),
  ap AS (SELECT src, dst FROM al UNION SELECT r.src, e.dst FROM ap r JOIN al e ON e.src = r.dst)
- SELECT src, dst, weight::BIGINT AS weight, edge_type FROM al WHERE NOT EXISTS (SELECT 1 FROM al a JOIN ap b ON a.dst = b.src WHERE a.src = al.src AND b.dst = al.dst)
+ SELECT src, dst, weight::BIGINT AS weight, edge_type FROM al WHERE NOT EXISTS (SELECT 1 FROM al a JOIN ap b ON a.dst = b.src WHERE a.src = al.src AND
+ b.dst = al.dst)
  UNION ALL SELECT DISTINCT k, cluster::VARCHAR, 1, 'gene-cluster' FROM mm JOIN cl ON cl.node = mm.contig WHERE k = 'pd99000000' AND cluster IN (FROM kept)""",
-    "sampled_contigs": f"WITH {_PAIRS} SELECT node, substr(node, 1, 7) AS site FROM n QUALIFY row_number() OVER (PARTITION BY substr(node, 1, 7) ORDER BY md5('123:' || node), node) <= 2",
-    "derep_weak": _TABLES + """, u AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), wr AS (SELECT src, dst FROM u UNION SELECT r.src, u.dst FROM wr r JOIN u ON u.src = r.dst),
+    "sampled_contigs": f"""WITH {_PAIRS} SELECT node, substr(node, 1, 7) AS site FROM n QUALIFY row_number() OVER (PARTITION BY substr(node, 1, 7)
+ ORDER BY md5('123:' || node), node) <= 2""",
+    "derep_weak": _TABLES + """, u AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), wr AS (SELECT src, dst
+ FROM u UNION SELECT r.src, u.dst FROM wr r JOIN u ON u.src = r.dst),
  wc AS (SELECT src AS node, min(dst) AS component FROM wr GROUP BY 1)
- SELECT first_value(wc.node) OVER (PARTITION BY component ORDER BY coalesce(length, -1) DESC, wc.node) AS representative, wc.node AS contig FROM wc LEFT JOIN attr ON attr.contig = wc.node""",
-    "gene_content_jaccard": _CONTENT + " SELECT a, b, shared, round(shared / (n_a + n_b - shared), 6) AS jaccard FROM s WHERE a < b AND shared * 10 >= 5 * (n_a + n_b - shared)",
+ SELECT first_value(wc.node) OVER (PARTITION BY component ORDER BY coalesce(length, -1) DESC, wc.node) AS representative, wc.node AS contig FROM wc
+ LEFT JOIN attr ON attr.contig = wc.node""",
+    "gene_content_jaccard": _CONTENT + """ SELECT a, b, shared, round(shared / (n_a + n_b - shared), 6) AS jaccard FROM s WHERE a < b AND shared * 10
+ >= 5 * (n_a + n_b - shared)""",
     "basket_overlaps": _CONTENT
-    + " SELECT a, b, shared, round(shared / (n_a + n_b - shared), 6) AS jaccard, round(shared / least(n_a, n_b), 6) AS minsize, round(shared / n_a, 6) AS rowsize FROM s WHERE a < b AND shared * 10 >= 6 * least(n_a, n_b)",
+    + """ SELECT a, b, shared, round(shared / (n_a + n_b - shared), 6) AS jaccard, round(shared / least(n_a, n_b), 6) AS minsize, round(shared / n_a,
+ 6) AS rowsize FROM s WHERE a < b AND shared * 10 >= 6 * least(n_a, n_b)""",
     "basket_containment": _CONTENT + " SELECT a AS query, b AS reference, shared FROM s WHERE shared * 10 >= 8 * n_a",
 }
