@@ -165,7 +165,8 @@ _PRESENT = "(coalesce(lower(trim({c})), 'none') NOT IN ('', '-', '.', '?', 'na',
 
 SQL = {
     "p1_found": f"""
-WITH RECURSIVE f AS (SELECT {contig_sql("reference")} AS a, {contig_sql("query")} AS b, {fraction_sql("c", "i_local")} AS c, {fraction_sql("i_global", "c", "i_local")} AS g FROM ani),
+WITH RECURSIVE f AS (SELECT {contig_sql("reference")} AS a, {contig_sql("query")} AS b, {fraction_sql("c", "i_local")} AS c,
+ {fraction_sql("i_global", "c", "i_local")} AS g FROM ani),
 e AS (SELECT DISTINCT least(a, b) AS x, greatest(a, b) AS y FROM f WHERE c >= 0.9 AND g >= 0.85 AND a <> b),
 both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 reach AS (SELECT x, x AS y FROM both_ways UNION SELECT r.x, w.y FROM reach r JOIN both_ways w ON w.x = r.y)
@@ -173,9 +174,12 @@ SELECT x AS contig, min(y) AS group_contig FROM reach GROUP BY 1""",
     "p2_found": _COUNTS + "SELECT accession, mark FROM marked WHERE mark <> 'useful'",
     "p2_counts": _COUNTS + "SELECT * FROM marked",
     "p2_grams": f"""
-WITH r AS (SELECT DISTINCT {contig_sql("contig")} AS contig, coalesce(gene_callers_id, 0) AS gene, entry_id, lower({accession_sql("accession")}) AS k FROM gene_functions),
-s AS (SELECT contig, k, lead(k, 1) OVER w AS k2, lead(k, 2) OVER w AS k3 FROM r WHERE contig IS NOT NULL AND k NOT IN {NONE} WINDOW w AS (PARTITION BY contig ORDER BY gene, entry_id, k)),
-g AS (SELECT contig, k AS accessions FROM s UNION ALL SELECT contig, k || '|' || k2 FROM s WHERE k2 IS NOT NULL UNION ALL SELECT contig, k || '|' || k2 || '|' || k3 FROM s WHERE k3 IS NOT NULL)
+WITH r AS (SELECT DISTINCT {contig_sql("contig")} AS contig, coalesce(gene_callers_id, 0) AS gene, entry_id, lower({accession_sql("accession")}) AS k
+ FROM gene_functions),
+s AS (SELECT contig, k, lead(k, 1) OVER w AS k2, lead(k, 2) OVER w AS k3 FROM r WHERE contig IS NOT NULL AND k NOT IN {NONE} WINDOW w AS (PARTITION BY
+ contig ORDER BY gene, entry_id, k)),
+g AS (SELECT contig, k AS accessions FROM s UNION ALL SELECT contig, k || '|' || k2 FROM s WHERE k2 IS NOT NULL UNION ALL SELECT contig, k || '|' ||
+ k2 || '|' || k3 FROM s WHERE k3 IS NOT NULL)
 SELECT accessions, count(*) AS n_rows, count(DISTINCT contig) AS n_contigs FROM g GROUP BY 1 HAVING count(DISTINCT contig) >= 3""",
     "p4_found": _MEMBERS + """
 big AS (SELECT m.contig, k, n FROM m JOIN sizes USING (contig) WHERE n >= 5),
@@ -184,17 +188,24 @@ SELECT x AS contig_a, y AS contig_b FROM common WHERE s * 10 >= 8 * (nx + ny - s
     "p5_found": _MEMBERS + """
 c AS (SELECT k, count(*) AS n FROM m GROUP BY 1), big AS (SELECT contig, k, n FROM m JOIN c USING (k) WHERE n >= 12),
 t AS (SELECT count(*) AS n FROM sizes),
-pair AS (SELECT a.k AS x, b.k AS y, a.n AS nx, b.n AS ny, count(*) AS s FROM big a JOIN big b ON a.contig = b.contig AND a.k < b.k GROUP BY 1, 2, 3, 4 HAVING count(*) >= 12),
+pair AS (SELECT a.k AS x, b.k AS y, a.n AS nx, b.n AS ny, count(*) AS s FROM big a JOIN big b ON a.contig = b.contig AND a.k < b.k GROUP BY 1, 2, 3, 4
+ HAVING count(*) >= 12),
 named_pair AS (SELECT p.style || regexp_extract(x, '[0-9]*$') AS x, q.style || regexp_extract(y, '[0-9]*$') AS y
-    FROM pair JOIN style p ON p.prefix = regexp_replace(x, '[0-9]+$', '') JOIN style q ON q.prefix = regexp_replace(y, '[0-9]+$', ''), t WHERE s * t.n >= 4 * nx * ny)
+    FROM pair JOIN style p ON p.prefix = regexp_replace(x, '[0-9]+$', '') JOIN style q ON q.prefix = regexp_replace(y, '[0-9]+$', ''), t WHERE s * t.n
+ >= 4 * nx * ny)
 SELECT least(x, y) AS accession_a, greatest(x, y) AS accession_b FROM named_pair""",
     "p7_found": f"""
-WITH c AS (SELECT *, lower({accession_sql("accession_representative")}) AS k, {_PRESENT.format(c="source")} AS has_s, {_PRESENT.format(c="description")} AS has_d, coalesce(ncontigs >= 1, false) AS has_n FROM clusters),
-r AS (SELECT *, has_n::INT + (ncontigs_gain IS NOT NULL)::INT + (instances IS NOT NULL)::INT + has_s::INT + has_d::INT + (trust IS NOT NULL)::INT + (updated_at IS NOT NULL)::INT AS filled
+WITH c AS (SELECT *, lower({accession_sql("accession_representative")}) AS k, {_PRESENT.format(c="source")} AS has_s,
+ {_PRESENT.format(c="description")} AS has_d, coalesce(ncontigs >= 1, false) AS has_n FROM clusters),
+r AS (SELECT *, has_n::INT + (ncontigs_gain IS NOT NULL)::INT + (instances IS NOT NULL)::INT + has_s::INT + has_d::INT + (trust IS NOT NULL)::INT +
+ (updated_at IS NOT NULL)::INT AS filled
       FROM c WHERE k IS NOT NULL AND k NOT IN {NONE}),
 g AS (SELECT k, min(row_id) AS g, count(*) AS n FROM r GROUP BY 1),
-x AS (SELECT k, 'record' AS field_name, row_id, row_number() OVER (PARTITION BY k ORDER BY filled DESC, updated_at DESC NULLS LAST, trust DESC NULLS LAST, row_id DESC) AS i FROM r
- UNION ALL SELECT k, 'description', row_id, row_number() OVER (PARTITION BY k ORDER BY trust DESC NULLS LAST, updated_at DESC NULLS LAST, row_id DESC) FROM r WHERE has_d
- UNION ALL SELECT k, 'ncontigs', row_id, row_number() OVER (PARTITION BY k ORDER BY updated_at DESC NULLS LAST, trust DESC NULLS LAST, row_id DESC) FROM r WHERE has_n)
+x AS (SELECT k, 'record' AS field_name, row_id, row_number() OVER (PARTITION BY k ORDER BY filled DESC, updated_at DESC NULLS LAST, trust DESC NULLS
+ LAST, row_id DESC) AS i FROM r
+ UNION ALL SELECT k, 'description', row_id, row_number() OVER (PARTITION BY k ORDER BY trust DESC NULLS LAST, updated_at DESC NULLS LAST, row_id DESC)
+ FROM r WHERE has_d
+ UNION ALL SELECT k, 'ncontigs', row_id, row_number() OVER (PARTITION BY k ORDER BY updated_at DESC NULLS LAST, trust DESC NULLS LAST, row_id DESC)
+ FROM r WHERE has_n)
 SELECT g.g AS group_row_id, field_name, row_id FROM x JOIN g USING (k) WHERE i = 1 AND n >= 2""",
 }
