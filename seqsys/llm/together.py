@@ -46,7 +46,8 @@ def together(members: DataFrame, min_count: int = 2, min_lift: float = 0.0, bloc
     blocked = baskets.select("codes", F.transform("codes", block).alias("of"))
     sent = blocked.select("codes", "of", F.explode(F.array_distinct(F.slice("of", 1, F.size("of") - 1))).alias("block"))
     sent = sent.select("block", F.slice("codes", F.array_position("of", F.col("block")).cast("int"), F.size("codes")).alias("codes"))
-    routed = sent.repartition(n_blocks, "block")
+    # one partition per block
+    routed = sent.repartitionById(n_blocks, F.col("block"))
     firsts = routed.select("block", "codes", F.posexplode("codes").alias("i", "a")).filter(block(F.col("a")) == F.col("block"))
     emitted = firsts.select("block", "a", F.explode(F.slice("codes", F.col("i") + 2, F.size("codes"))).alias("b"))
     n_ab = emitted.groupBy("block", "a", "b").agg(F.count("*").alias("n_ab")).filter(F.col("n_ab") >= min_count)
