@@ -56,13 +56,13 @@ def accession_styles(counted: DataFrame, raw: str, n: str) -> DataFrame:
 MAX_BROADCAST_STYLES = 100_000
 
 
-def with_accession_style(df: DataFrame, key: str, styles: DataFrame, out: str) -> DataFrame:
+def with_accession_style(df: DataFrame, key: str, styles: DataFrame, out: str, max_broadcast: int = MAX_BROADCAST_STYLES) -> DataFrame:
     """Add ``out``, the accession ``key`` as most rows of its source write it.
 
     ``styles`` must be a written table. It is broadcast if it has at most
-    `MAX_BROADCAST_STYLES` rows, else joined by shuffle.
+    ``max_broadcast`` rows, else joined by shuffle.
     """
-    small = styles.limit(MAX_BROADCAST_STYLES + 1).count() <= MAX_BROADCAST_STYLES
+    small = styles.limit(max_broadcast + 1).count() <= max_broadcast
     styles = styles.select(F.col("prefix").alias("_prefix"), F.col("style").alias("_style"))
     digits = F.regexp_extract(F.col(key), "[0-9]*$", 0)
     keyed = df.withColumn("_key_prefix", F.regexp_replace(F.col(key), "[0-9]+$", ""))

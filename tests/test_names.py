@@ -19,7 +19,9 @@ def test_accession_spellings_and_styles(spark):
     keys = [r.k for r in df.collect()]
     assert keys == ["pd00000001"] * 4 + ["pd00000002"] + ["pd00000001"] * 2 + ["dnfam_5_00000003"] * 2 + ["dnfam_5_4", None, None, None, None, "og31_99", "og3199"]
     counted = df.filter("raw is not null").groupBy("raw").agg(F.count("*").alias("n"))
-    out = with_accession_style(df.filter("k is not null").select("k").distinct(), "k", accession_styles(counted, "raw", "n"), "out")
+    keys_once, styles = df.filter("k is not null").select("k").distinct(), accession_styles(counted, "raw", "n")
+    out = with_accession_style(keys_once, "k", styles, "out")
+    assert set(with_accession_style(keys_once, "k", styles, "out", max_broadcast=0).collect()) == set(out.collect())  # by shuffle as by broadcast
     assert {r.k: r.out for r in out.collect()}["pd00000001"] == "PD00000001"
     assert {r.k: r.out for r in out.collect()}["dnfam_5_00000003"] == "dnfam_5_00000003"
 
