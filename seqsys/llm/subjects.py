@@ -21,6 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
@@ -36,6 +37,10 @@ _TOKEN = re.compile(f"{_TERM}|{_PIECE}")
 _ENDS_PIECE = re.compile(_PIECE)
 
 
+#: Texts are cut in groups of about so many bytes, which bounds a task's memory.
+CUT_BYTES = 4 << 20
+
+
 @dataclass(frozen=True)
 class SubjectRules:
     """Parameters of mining and scoring."""
@@ -119,16 +124,23 @@ def cut_pages(docs: DataFrame, doc: str, text: str, raw: str | None) -> DataFram
     pages = page_rows(docs, doc, text, raw).withColumn("of", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.num_rows
-            terms, size, key, letters, of = cut([readable(*x) for x in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(2).to_pylist())])
-            bodies, have = body_keys(key, letters, of, n)
-            pieces = np.bincount(of, minlength=n)
-            per_page = np.bincount(of, size, n).astype(np.int64)
-            five = np.zeros(n, np.int64)
-            five[have] = 5
-            columns = [b.column(0), b.column(4), _lists(key, pieces), _lists(size.astype(np.int32), pieces), _lists(terms, per_page), _lists(bodies.ravel(), five)]
-            yield pa.RecordBatch.from_arrays(columns, ["page", "of", "pieces", "sizes", "terms", "bodies"])
+        for whole in batches:
+            # texts of a few million characters at a time, however long or many they are
+            ends = np.cumsum(pc.binary_length(whole.column(1)).to_numpy()) // CUT_BYTES
+            bounds = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), whole.num_rows]
+            for lo, hi in zip(bounds, bounds[1:]):
+                yield cut_batch(whole.slice(lo, hi - lo))
+
+    def cut_batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        n = b.num_rows
+        terms, size, key, letters, of = cut([readable(*x) for x in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(2).to_pylist())])
+        bodies, have = body_keys(key, letters, of, n)
+        pieces = np.bincount(of, minlength=n)
+        per_page = np.bincount(of, size, n).astype(np.int64)
+        five = np.zeros(n, np.int64)
+        five[have] = 5
+        columns = [b.column(0), b.column(4), _lists(key, pieces), _lists(size.astype(np.int32), pieces), _lists(terms, per_page), _lists(bodies.ravel(), five)]
+        return pa.RecordBatch.from_arrays(columns, ["page", "of", "pieces", "sizes", "terms", "bodies"])
 
     return pages.mapInArrow(run, _CUT)
 

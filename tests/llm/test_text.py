@@ -275,6 +275,15 @@ def test_subjects_with_a_long_footer_and_capitals(spark, repeats):
     assert got == {i: [s] for i, s in labels}
 
 
+def test_pages_cut_in_small_groups(spark, monkeypatch):
+    docs = [(i, "|".join(f"piece{'x' * (i % 5)} of{'y' * k}" for k in range(i % 7)) or " ", None) for i in range(200)] + [(999, "very long " * 20_000, None), (1000, None, None), (None, "x", None)]
+    d = spark.createDataFrame(docs, "id long, text string, raw binary").coalesce(2)
+    rows = lambda: {r.page: (r.of, r.pieces, r.sizes, r.terms, r.bodies) for r in cut_pages(d, "id", "text", "raw").collect()}
+    at_once = rows()
+    monkeypatch.setattr("seqsys.llm.subjects.CUT_BYTES", 50)
+    assert rows() == at_once and set(at_once) == {*range(200), 999} and len(at_once[999][3]) == 40_000
+
+
 def test_cut():
     terms, size, key, letters, text = cut(["Home | Home 12\nnews", "", "123 |", "home"])
     assert size.tolist() == [1, 1, 1, 1] and text.tolist() == [0, 0, 0, 3] and letters.tolist() == [4, 4, 4, 4]
