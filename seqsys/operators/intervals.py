@@ -94,6 +94,24 @@ def tiers(df: DataFrame, key: str, start: str = "start", stop: str = "stop") ->
     return depth.groupBy(key).agg(F.max("depth").alias("tiers"))
 
 
+def interval_tiers(df: DataFrame, key: str, start: str = "start", stop: str = "stop") -> DataFrame:
+    """Rows ``key, start, stop, tier`` of the distinct intervals: the row a drawing puts them on, from 0.
+
+    That is the largest number of earlier intervals, in order of start and stop, that any interval up to this one found open at its start.
+    """
+    scratch = Scratch(df.sparkSession, "interval-tiers")
+    each = df.filter(F.col(stop) > F.col(start)).select(key, F.col(start).alias("start"), F.col(stop).alias("stop")).distinct()
+    # at one position ends come before starts
+    ends = F.array(F.struct(F.col("stop").alias("pos"), F.lit(0).alias("opens")), F.struct(F.col("start").alias("pos"), F.lit(1).alias("opens")))
+    events = each.select(key, "start", "stop", F.explode(ends).alias("e")).select(key, "start", "stop", "e.pos", "e.opens")
+    events = scratch.write(sharded(events, "pos"), "events")
+    count = F.when(F.col("opens") == 1, 1).otherwise(-1)
+    opened = running_sum(events, [key], ["pos", "opens", "stop", "start"], count, "_open").filter("opens = 1")
+    opened = scratch.write(opened.withColumn("_open", F.col("_open") - 1), "open")
+    tiered = max_before(opened, [key], ["start", "stop"], "_open", "_before")
+    return tiered.select(key, F.col("start").alias(start), F.col("stop").alias(stop), F.greatest("_before", "_open").cast("int").alias("tier"))
+
+
 def with_locus(df: DataFrame, key: str = "contig", start: str = "start") -> DataFrame:
     """Name the loci of contigs that have two or more: ``locus`` = contig or contig_locus_i (from 0)."""
     scratch = Scratch(df.sparkSession, "loci")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqsys.operators.intervals import merge, overlaps, slop, with_locus
 from seqsys.operators.order import number_rows
+from seqsys.operators.scan import SHARD_WIDTH, sharded
 
 
 def loci(anchor_genes: DataFrame, lengths: DataFrame, neighborhood: int, merge_overlapping: bool = True) -> DataFrame:
@@ -16,11 +17,17 @@ def loci(anchor_genes: DataFrame, lengths: DataFrame, neighborhood: int, merge_o
     return with_locus(merge(wide, ["contig"]) if merge_overlapping else wide)
 
 
-def locus_genes(genes: DataFrame, windows: DataFrame) -> DataFrame:
-    """Genes inside the loci, under the locus name."""
+def locus_genes(genes: DataFrame, windows: DataFrame, inside: bool = True) -> DataFrame:
+    """Genes with the ``locus`` they are inside of, or, without ``inside``, once for every locus of their contig.
+
+    Genes meet windows by contig and stretch of positions, so a contig with very many of both is spread.
+    """
     w = windows.select("contig", "locus", F.col("start").alias("_ws"), F.col("stop").alias("_we"))
-    inside = (F.col("start") >= F.col("_ws")) & (F.col("stop") <= F.col("_we"))
-    return genes.join(w, "contig").filter(inside).drop("_ws", "_we")
+    if not inside:
+        return genes.join(w.drop("_ws", "_we"), "contig")
+    w = w.withColumn("_shard", F.explode(F.sequence(F.floor(F.col("_ws") / SHARD_WIDTH), F.floor(F.col("_we") / SHARD_WIDTH))))
+    within = (F.col("start") >= F.col("_ws")) & (F.col("stop") <= F.col("_we"))
+    return sharded(genes, "start").join(w, ["contig", "_shard"]).filter(within).drop("_ws", "_we", "_shard")
 
 
 def centre(genes: DataFrame, anchor: str) -> DataFrame:

@@ -78,6 +78,20 @@ def tiers(spark: SparkSession, d: str) -> DataFrame:
     return intervals.tiers(calls(spark, d), "contig")
 
 
+def gene_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """The row of a drawing for every gene call."""
+    c = calls(spark, d)
+    return c.join(intervals.interval_tiers(c, "contig"), ["contig", "start", "stop"]).select("gene_callers_id", "tier")
+
+
+def locus_genes(spark: SparkSession, d: str) -> DataFrame:
+    """Annotated genes inside the loci within 2,000 bases of one well-known accession."""
+    g = genes(spark, d)
+    lengths = contig_attributes(spark, d).select("contig", "length").filter(F.col("length").isNotNull())
+    windows = layout.loci(g.filter(F.col("accession") == "pd99000000"), lengths, 2000)
+    return layout.locus_genes(g, windows).select("row", "locus")
+
+
 def locus_split(spark: SparkSession, d: str) -> DataFrame:
     """Loci within 500 bases of the genes with one well-known accession."""
     g = genes(spark, d).filter(F.col("accession") == "pd99000000")
@@ -244,7 +258,7 @@ def pair_summary(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        coverage_union, depth_profile, slop_intervals, merge_intervals, overlap_join, rotate_coords, dense_rank_runs, tiers, locus_split, centre_gaps,
+        coverage_union, depth_profile, slop_intervals, merge_intervals, overlap_join, rotate_coords, dense_rank_runs, tiers, gene_tiers, locus_split, locus_genes, centre_gaps,
         cooc_coord, cooc_instances, cooc_gene_rank, cooc_window0, cooc_symmetric, cooc_norms, exact_overlap, topk_pairs, bottomk_pairs, topk_masked, greedy_matching,
         accession_freq, grouped_freq, label_odds, gene_call_merge, gene_call_merge_outer, gene_pivot, symbol_merge, symbol_sources, accession_contigs,
         described_accessions, anchor_directions, cargo_split, cargo_strict, anchor_cover, pair_summary,
@@ -316,6 +330,17 @@ SQL = {
  AS (PARTITION BY contig ORDER BY start, gene_callers_id)) SELECT gene_callers_id, sum(c) OVER (PARTITION BY contig ORDER BY start, gene_callers_id
  ROWS UNBOUNDED PRECEDING)::INT AS run FROM x""",
     "tiers": "WITH" + _CALLS + _EVENTS + " SELECT contig, max(depth)::BIGINT AS tiers FROM dp GROUP BY 1",
+    "gene_tiers": "WITH" + _CALLS + """, d AS (SELECT DISTINCT contig, start, stop FROM calls),
+ o AS (SELECT contig, start, stop, (SELECT count(*) FROM d e WHERE e.contig = d.contig AND e.stop > d.start AND (e.start < d.start OR (e.start = d.start AND e.stop < d.stop))) AS n FROM d),
+ t AS (SELECT contig, start, stop, max(n) OVER (PARTITION BY contig ORDER BY start, stop) AS tier FROM o)
+ SELECT gene_callers_id, tier::INT AS tier FROM calls JOIN t USING (contig, start, stop)""",
+    "locus_genes": "WITH" + _GENES + _ATTR + """, calls2 AS (SELECT DISTINCT contig, greatest(0, start - 2000) AS start, least(stop + 2000, length) AS
+ stop FROM genes JOIN attr USING (contig) WHERE accession = 'pd99000000' AND length IS NOT NULL),
+ o AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM calls2),
+ i AS (SELECT *, sum(CASE WHEN start < reached THEN 0 ELSE 1 END) OVER (PARTITION BY contig ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS k FROM
+ o), m AS (SELECT contig, min(start) AS start, max(stop) AS stop FROM i GROUP BY contig, k),
+ w AS (SELECT contig, start AS ws, stop AS we, CASE WHEN count(*) OVER (PARTITION BY contig) > 1 THEN contig || '_locus_' || (row_number() OVER (PARTITION BY contig ORDER BY start) - 1) ELSE contig END AS locus FROM m)
+ SELECT row, locus FROM genes JOIN w USING (contig) WHERE start >= ws AND stop <= we""",
     "locus_split": "WITH" + _GENES + _ATTR + """, calls2 AS (SELECT DISTINCT contig, greatest(0, start - 500) AS start, least(stop + 500, length) AS
  stop FROM genes JOIN attr USING (contig) WHERE accession = 'pd99000000' AND length IS NOT NULL),
  o AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM calls2),

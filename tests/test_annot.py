@@ -55,6 +55,7 @@ def test_instances_within_and_loci(spark):
     windows = layout.loci(g.filter("accession = 'A'"), lengths, 20)
     assert {(r.locus, r.start, r.stop) for r in windows.collect()} == {("c_locus_0", 0, 30), ("c_locus_1", 480, 530), ("d", 0, 20)}
     assert {(r.locus, r.row) for r in layout.locus_genes(g, windows).collect()} == {("c_locus_0", "0"), ("c_locus_1", "2"), ("d", "3")}
+    assert layout.locus_genes(g, windows, inside=False).count() == 9
 
 
 def test_cargo_of_samples_and_sources(spark):

@@ -89,3 +89,18 @@ def test_one_contig_of_very_many_calls(spark):
     assert {r.contig: r.tiers for r in intervals.tiers(df, "contig").collect()} == {"hot": most, "cold": 1}
     cov = {r.contig: r.cov_uniq for r in coverage.union_coverage(df, "contig", "start", "stop").collect()}
     assert cov == {c: sum(e - s for s, e in v) for c, v in islands.items()}
+
+
+def test_interval_tiers_against_one_pass(spark):
+    rng = random.Random(14)
+    rows = {(c, s, s + rng.randrange(1, 4000)) for c in "ab" for s in (rng.randrange(60_000) for _ in range(300))} | {("c", 5, 9), ("c", 9, 12), ("c", 5, 7)}
+    want = {}
+    for c in "abc":
+        opened, most = set(), 0
+        for s, e in sorted((s, e) for x, s, e in rows if x == c):
+            opened = {x for x in opened if x[1] > s}
+            most = max(most, len(opened))
+            want[c, s, e] = most
+            opened.add((s, e))
+    df = spark.createDataFrame([*rows, *list(rows)[:20], ("c", 3, 3)], "contig string, start int, stop int")
+    assert {(r.contig, r.start, r.stop): r.tier for r in intervals.interval_tiers(df, "contig").collect()} == want
