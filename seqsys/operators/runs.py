@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,14 +65,20 @@ def _pack(group: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> pa.A
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (name, shard, a, b) to one run bitmap per name and shard of a batch."""
+    """Rows (name, shard, to, a, b) to one run bitmap per name and shard of a batch; runs of whole shards, which have ``to``, go on as they are."""
     for b in batches:
+        whole = b.column(2).is_valid()
+        full = b.filter(whole)
+        if full.num_rows:
+            yield pa.RecordBatch.from_arrays([*full.columns[:3], pa.nulls(full.num_rows, pa.binary())], ["name", "shard", "to", "runs"])
+            b = b.filter(pc.invert(whole))
         if b.num_rows == 0:
             continue
         shard = b.column(1).to_numpy()
         group, first = _grouped(b.column(0), shard)
-        g, s, e = union_runs(group, b.column(2).to_numpy(), b.column(3).to_numpy(), 1 << SHARD_BITS)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first)), pa.array(shard[first]), _pack(g, s, e, len(first))], ["name", "shard", "runs"])
+        g, s, e = union_runs(group, b.column(3).to_numpy(), b.column(4).to_numpy(), 1 << SHARD_BITS)
+        columns = [b.column(0).take(pa.array(first)), pa.array(shard[first]), pa.nulls(len(first), pa.int64()), _pack(g, s, e, len(first))]
+        yield pa.RecordBatch.from_arrays(columns, ["name", "shard", "to", "runs"])
 
 
 def _lists(group: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
@@ -81,7 +88,7 @@ def _lists(group: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bitmaps sorted by name and shard to their union, as absolute bit runs.
+    """Bitmaps sorted by name and shard to their union, as absolute bit runs; runs of whole shards go on as they are.
 
     The last group of a batch may go on in the next one: it is carried over as
     one bitmap, so memory holds a batch and a bitmap whatever the group's size.
@@ -110,15 +117,21 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return None, rest
         low = shard[first[:n]].astype(np.int64) << SHARD_BITS
         out = pa.RecordBatch.from_arrays(
-            [names.take(pa.array(first[:n])), pa.array(shard[first[:n]]), _lists(g, s + low[g], n), _lists(g, e + low[g], n)],
-            ["name", "shard", "starts", "ends"],
+            [names.take(pa.array(first[:n])), pa.array(shard[first[:n]]), pa.nulls(n, pa.int64()), _lists(g, s + low[g], n), _lists(g, e + low[g], n)],
+            ["name", "shard", "to", "starts", "ends"],
         )
         return out, rest
 
     for b in batches:
+        whole = b.column(2).is_valid()
+        full = b.filter(whole)
+        if full.num_rows:
+            none = pa.nulls(full.num_rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*full.columns[:3], none, none], ["name", "shard", "to", "starts", "ends"])
+            b = b.filter(pc.invert(whole))
         if b.num_rows == 0:
             continue
-        b = pa.RecordBatch.from_arrays(b.columns, ["name", "shard", "runs"])
+        b = pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3)], ["name", "shard", "runs"])
         if carry is not None:
             t = pa.Table.from_batches([carry.cast(b.schema), b]).combine_chunks()
             b = t.to_batches()[0]
@@ -146,34 +159,30 @@ def stretches_and_gaps(df: DataFrame, entity: str, start: str, stop: str) -> Dat
         .select("name", lo.alias("lo"), hi.alias("hi"), F.shiftright(lo, SHARD_BITS).alias("low"), F.shiftright(hi, SHARD_BITS).alias("high"))
     )
     # an interval fills its first and last shard in part, and all between them as a whole
-    full = bits.filter(F.col("high") - F.col("low") > 1).groupBy("name", (F.col("low") + 1).alias("shard")).agg(F.max(F.col("high") - 1).alias("to"))
-    bits = bits.select("name", "lo", "hi", F.explode(F.array_distinct(F.array("low", "high"))).alias("shard"))
+    low, high, none = F.col("low"), F.col("high"), F.lit(None).cast("long")
+    part = lambda shard: F.struct(shard.alias("shard"), none.alias("to"))
+    pieces = F.array(part(low), F.when(high > low, part(high)), F.when(high - low > 1, F.struct((low + 1).alias("shard"), (high - 1).alias("to"))))
+    bits = bits.select("name", "lo", "hi", F.explode(F.array_compact(pieces)).alias("p")).select("name", "lo", "hi", "p.shard", "p.to")
     base = F.shiftleft(F.col("shard"), SHARD_BITS)
-    cut = bits.select(
-        "name", "shard", (F.greatest("lo", base) - base).alias("a"), (F.least("hi", base + ((1 << SHARD_BITS) - 1)) - base).alias("b")
-    )
-    maps = cut.mapInArrow(_build, "name string, shard long, runs binary")
+    cut = bits.select("name", "shard", "to", (F.greatest("lo", base) - base).alias("a"), (F.least("hi", base + ((1 << SHARD_BITS) - 1)) - base).alias("b"))
+    maps = cut.mapInArrow(_build, "name string, shard long, to long, runs binary")
     merged = (
         maps.repartition("name", "shard")
         .sortWithinPartitions("name", "shard")
-        .mapInArrow(_merge, "name string, shard long, starts array<long>, ends array<long>")
+        .mapInArrow(_merge, "name string, shard long, to long, starts array<long>, ends array<long>")
     )
-    # whole shards: one row per shard and per run of whole shards, in the order of the shards
-    shards = scratch.write(merged, "shards")
-    none = F.lit(None).cast("array<long>")
-    rows = shards.withColumn("to", F.lit(None).cast("long")).unionByName(full.select("name", "shard", none.alias("starts"), none.alias("ends"), "to"))
+    rows = scratch.write(merged, "shards")
+    # one slim row per shard and per run of whole shards, in the order of the shards: of those within earlier runs nothing is
+    # left, of overlapping runs the new part
     earlier = Window.partitionBy("name").orderBy("shard", F.col("to").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("reached", F.max("to").over(earlier))
-    # of shards and runs of shards within earlier runs nothing is left, of overlapping ones the new part
-    rows = rows.filter(F.col("reached").isNull() | (F.col("reached") < F.coalesce("to", "shard")))
-    rows = rows.withColumn("shard", F.when(F.col("to").isNotNull(), F.greatest("shard", F.col("reached") + 1)).otherwise(F.col("shard")))
+    slim = rows.select("name", "shard", "to", F.max("to").over(earlier).alias("reached"))
+    within = slim.filter(F.col("to").isNull() & (F.col("reached") >= F.col("shard"))).select("name", "shard")
+    new = slim.filter(F.col("to") > F.coalesce("reached", F.col("to") - 1)).select("name", F.greatest("shard", F.col("reached") + 1).alias("shard"), "to")
     first_bit = F.shiftleft(F.col("shard"), SHARD_BITS)
     last_bit = F.shiftleft(F.coalesce("to", "shard") + 1, SHARD_BITS) - 1
-    whole = F.col("to").isNotNull()
-    runs = rows.select(
-        "name", "shard", F.when(whole, F.array(first_bit)).otherwise(F.col("starts")).alias("starts"), F.when(whole, F.array(last_bit)).otherwise(F.col("ends")).alias("ends"),
-        first_bit.alias("first_bit"), last_bit.alias("last_bit"),
-    )
+    kept = rows.filter(F.col("to").isNull()).join(within, ["name", "shard"], "left_anti").select("name", "shard", "to", "starts", "ends")
+    new = new.select("name", "shard", "to", F.array(first_bit).alias("starts"), F.array(last_bit).alias("ends"))
+    runs = kept.unionByName(new).select("name", "shard", "starts", "ends", first_bit.alias("first_bit"), last_bit.alias("last_bit"))
     runs = scratch.write(runs, "runs")
 
     each = runs.select("name", "first_bit", "last_bit", F.explode(F.arrays_zip("starts", "ends")).alias("r")).select(
