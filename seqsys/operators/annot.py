@@ -22,7 +22,8 @@ def merge_calls(functions: DataFrame, calls: DataFrame, dummies: bool = False, k
     return out.withColumns({"accession": F.coalesce("accession", made), "source": F.coalesce("source", F.lit("dummy_annotation"))})
 
 
-def anchor_cover(genes: DataFrame, target: str = "contig", sources: list[str] | None = None, start_genes: list[str] | None = None, max_rounds: int | None = None) -> DataFrame:
+def anchor_cover(genes: DataFrame, target: str = "contig", sources: list[str] | None = None, start_genes: list[str] | None = None,
+    max_rounds: int | None = None) -> DataFrame:
     """Greedy cover of the contigs (or genes) by accessions: ``position, accession``, in the order chosen.
 
     While some accession is on several contigs, the one on most contigs is taken, then
@@ -51,9 +52,11 @@ def anchor_cover(genes: DataFrame, target: str = "contig", sources: list[str] |
     taken: list[str] = []
     while not rest.isEmpty():
         here = scratch.last
-        per = rest.groupBy("accession").agg(F.count_distinct("contig").alias("nc"), F.count("*").alias("ni"), F.max("_rank").alias("r"), F.min("contig").alias("c"), F.min("start").alias("s"))
+        per = rest.groupBy("accession").agg(F.count_distinct("contig").alias("nc"), F.count("*").alias("ni"), F.max("_rank").alias("r"),
+            F.min("contig").alias("c"), F.min("start").alias("s"))
         several = F.col("nc") > 1
-        order = [F.when(several, -F.col(x)).otherwise(1).alias(x) for x in ("nc", "ni", "r")] + [F.when(several, F.lit("")).otherwise(F.col("c").cast("string")).alias("c"), "s", "accession"]
+        order = [F.when(several, -F.col(x)).otherwise(1).alias(x) for x in ("nc", "ni", "r")] + [F.when(several,
+            F.lit("")).otherwise(F.col("c").cast("string")).alias("c"), "s", "accession"]
         each = rest.select("accession", *keys).distinct().join(per.select("accession", F.struct(*order).alias("place")), "accession")
         each = each.withColumn("_first", F.min("place").over(Window.partitionBy(*keys)))
         now = scratch.write(each.groupBy("accession", "place").agg(F.every(F.col("place").eqNullSafe(F.col("_first"))).alias("ok")).filter("ok").select("accession", "place"), "taken")
@@ -94,7 +97,8 @@ def symbols(accessions: DataFrame, anchors: DataFrame, order: list[Column]) -> D
 def anchor_directions(genes: DataFrame, anchors: DataFrame) -> DataFrame:
     """Rows ``contig, accession, position, direction``: the first anchor that each contig carries, and the direction of its leftmost gene."""
     place = F.struct("position", "start", "stop", "direction")
-    first = genes.join(anchors.select("accession", "position"), "accession").groupBy("contig").agg(F.min_by(F.struct("accession", "position", "direction"), place).alias("g"))
+    first = genes.join(anchors.select("accession", "position"), "accession").groupBy("contig").agg(F.min_by(F.struct("accession", "position",
+        "direction"), place).alias("g"))
     return first.select("contig", "g.accession", "g.position", "g.direction")
 
 
@@ -103,14 +107,16 @@ def gene_pivot(genes: DataFrame, frequency: DataFrame) -> DataFrame:
     g = genes.select("contig", "start", "stop", "accession", "source").distinct().join(frequency.select("accession", "contigs"), "accession")
     best = F.min_by("accession", F.struct(-F.col("contigs"), F.col("accession")))
     return g.groupBy("contig", "start", "stop").agg(
-        best.alias("accession_representative"), F.array_join(F.array_sort(F.collect_set("accession")), "|").alias("accessions"), F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources")
+        best.alias("accession_representative"), F.array_join(F.array_sort(F.collect_set("accession")),
+            "|").alias("accessions"), F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources")
     )
 
 
 def symbol_members(genes: DataFrame, pivot: DataFrame) -> DataFrame:
     """Rows ``accession_representative, source, accession``: every annotation met on the genes that a representative accession stands for."""
     of = pivot.select("contig", "start", "stop", "accession_representative")
-    return genes.select("contig", "start", "stop", "source", "accession").join(of, ["contig", "start", "stop"]).select("accession_representative", "source", "accession").distinct()
+    return genes.select("contig", "start", "stop", "source", "accession").join(of, ["contig", "start", "stop"]).select("accession_representative",
+        "source", "accession").distinct()
 
 
 def symbol_merge(pivot: DataFrame, members: DataFrame) -> DataFrame:
@@ -139,7 +145,8 @@ def describe(df: DataFrame, described: DataFrame) -> DataFrame:
     return out.withColumn("description", F.coalesce("_full", "_text")).drop("_name", "_full", "_text")
 
 
-def cargo(genes: DataFrame, membership: DataFrame, reached: DataFrame, strict: bool = True, strict_sources: list[str] | None = None, detected: DataFrame | None = None) -> DataFrame:
+def cargo(genes: DataFrame, membership: DataFrame, reached: DataFrame, strict: bool = True, strict_sources: list[str] | None = None,
+    detected: DataFrame | None = None) -> DataFrame:
     """Annotations that a system's backbone lacks: ``backbone, contig, start, stop, accession, source, is_strict``.
 
     ``membership``: ``contig, cluster``; ``reached``: ``backbone, cluster``, the clusters of each system. An accession is a

@@ -33,8 +33,10 @@ def window_pairs(genes: DataFrame, w: int, by_rank: bool = False) -> DataFrame:
     g = g.select("contig", "start", "stop", "direction", "accession", "row")
     width = max(w, 1) if by_rank else max(w, 1000)
     reach = F.greatest(F.col("stop") - 1, F.col("start") + w)
-    i = g.select("contig", F.col("start").alias("s_i"), F.col("stop").alias("e_i"), F.col("direction").alias("d_i"), F.col("accession").alias("later"), F.col("row").alias("r_i"), F.floor(F.col("start") / width).alias("bin"))
-    j = g.select("contig", F.col("start").alias("s_j"), F.col("stop").alias("e_j"), F.col("direction").alias("d_j"), F.col("accession").alias("earlier"), F.col("row").alias("r_j"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(reach / width))).alias("bin"))
+    i = g.select("contig", F.col("start").alias("s_i"), F.col("stop").alias("e_i"), F.col("direction").alias("d_i"),
+        F.col("accession").alias("later"), F.col("row").alias("r_i"), F.floor(F.col("start") / width).alias("bin"))
+    j = g.select("contig", F.col("start").alias("s_j"), F.col("stop").alias("e_j"), F.col("direction").alias("d_j"),
+        F.col("accession").alias("earlier"), F.col("row").alias("r_j"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(reach / width))).alias("bin"))
     before = (F.col("s_j") < F.col("s_i")) | ((F.col("s_j") == F.col("s_i")) & (F.col("r_j") < F.col("r_i")))
     near = (F.col("e_j") > F.col("s_i")) | (F.col("s_i") - F.col("s_j") <= w)
     pairs = i.join(j, ["contig", "bin"]).filter(before & near)
@@ -64,9 +66,12 @@ def symmetric_counts(counts: DataFrame) -> DataFrame:
     n = lambda *codes: F.sum(F.when(F.col("orientation").isin(*codes), F.col("n")).otherwise(0))
     o = lambda code: F.when(F.col("orientation") == code, F.col("n")).otherwise(0)
     same = F.col("later") == F.col("earlier")
-    straight = counts.select(F.col("later").alias("a"), F.col("earlier").alias("b"), "orientation", "n", F.when(same, 0).otherwise(o(3)).alias("fw"), F.when(same, 0).otherwise(o(0)).alias("rv"))
-    swapped = counts.select(F.col("earlier").alias("a"), F.col("later").alias("b"), "orientation", "n", F.when(same, 0).otherwise(o(0)).alias("fw"), F.when(same, 0).otherwise(o(3)).alias("rv"))
-    return straight.unionByName(swapped).groupBy("a", "b").agg(F.sum("n").alias("total"), n(2).alias("inward"), n(1).alias("outward"), F.sum("fw").alias("forward"), F.sum("rv").alias("reverse"))
+    straight = counts.select(F.col("later").alias("a"), F.col("earlier").alias("b"), "orientation", "n", F.when(same, 0).otherwise(o(3)).alias("fw"),
+        F.when(same, 0).otherwise(o(0)).alias("rv"))
+    swapped = counts.select(F.col("earlier").alias("a"), F.col("later").alias("b"), "orientation", "n", F.when(same, 0).otherwise(o(0)).alias("fw"),
+        F.when(same, 0).otherwise(o(3)).alias("rv"))
+    return straight.unionByName(swapped).groupBy("a", "b").agg(F.sum("n").alias("total"), n(2).alias("inward"), n(1).alias("outward"),
+        F.sum("fw").alias("forward"), F.sum("rv").alias("reverse"))
 
 
 def normalise(counts: DataFrame, singles: DataFrame) -> DataFrame:
@@ -147,7 +152,8 @@ def masked(scored: DataFrame, key: str, keep=None, drop=None) -> DataFrame:
     return scored if drop is None else scored.filter(~condition(drop))
 
 
-def top_pairs(scored: DataFrame, value: str, k: int, largest: bool = True, keys: tuple[str, str] = ("a", "b"), keep=(None, None), drop=(None, None), symmetric: bool = False, tail: bool = False) -> DataFrame:
+def top_pairs(scored: DataFrame, value: str, k: int, largest: bool = True, keys: tuple[str, str] = ("a", "b"), keep=(None, None), drop=(None, None),
+    symmetric: bool = False, tail: bool = False) -> DataFrame:
     """The ``k`` largest (or smallest) rows by ``value``; ties go by the keys.
 
     ``keep`` and ``drop`` restrict each key, see `masked`. With ``symmetric`` (a, b) and (b, a) are the same and each pair is

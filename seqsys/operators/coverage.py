@@ -42,12 +42,14 @@ def pair_summary(blocks: DataFrame) -> DataFrame:
     )
     ani = (F.col("_cov") - F.col("mismatches")) / F.col("_cov")
     uniq = F.col("_uniq") / F.col("_len")
-    return g.select("ref", "query", (F.col("_cov") / F.col("_len")).alias("query_cov"), uniq.alias("query_cov_uniq"), "mismatches", "nblocks", ani.alias("ANI"), (ani * uniq).alias("full_ANI"))
+    return g.select("ref", "query", (F.col("_cov") / F.col("_len")).alias("query_cov"), uniq.alias("query_cov_uniq"), "mismatches", "nblocks",
+        ani.alias("ANI"), (ani * uniq).alias("full_ANI"))
 
 
 def position_deltas(df: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
     """Net number of intervals that open at each position where it changes: ``keys, pos, delta``."""
-    ends = df.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).alias("d")), F.struct(F.col(stop).alias("pos"), F.lit(-1).alias("d")))).alias("e"))
+    ends = df.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).alias("d")),
+        F.struct(F.col(stop).alias("pos"), F.lit(-1).alias("d")))).alias("e"))
     return ends.groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("delta")).filter(F.col("delta") != 0)
 
 

@@ -216,7 +216,8 @@ def extreme_elements(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     inner = induced(paths.filter(F.col("src") != F.col("dst")), nodes)
     out = inner.select(F.col("src").alias("node")).distinct().withColumn("_out", F.lit(True))
     into = inner.select(F.col("dst").alias("node")).distinct().withColumn("_in", F.lit(True))
-    return nodes.select("node").distinct().join(out, "node", "left").join(into, "node", "left").select("node", F.col("_in").isNull().alias("is_minimal"), F.col("_out").isNull().alias("is_maximal"))
+    return nodes.select("node").distinct().join(out, "node", "left").join(into, "node", "left").select("node",
+        F.col("_in").isNull().alias("is_minimal"), F.col("_out").isNull().alias("is_maximal"))
 
 
 def vertex_table(edges: DataFrame, attributes: DataFrame | None = None, isolated: bool = True) -> DataFrame:

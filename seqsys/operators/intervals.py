@@ -45,7 +45,8 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, bin_width: int, st
     """
     def binned(df: DataFrame, suffix: str) -> DataFrame:
         last = F.greatest(F.col(start), F.col(stop) - 1)
-        b = df.select(*[F.col(c).alias(c + suffix) for c in df.columns], F.explode(F.sequence(F.floor(F.col(start) / bin_width), F.floor(last / bin_width))).alias("_bin"))
+        b = df.select(*[F.col(c).alias(c + suffix) for c in df.columns],
+            F.explode(F.sequence(F.floor(F.col(start) / bin_width), F.floor(last / bin_width))).alias("_bin"))
         return b.withColumn("_key", F.col(key + suffix))
 
     l, r = binned(left, "_l"), binned(right, "_r")

@@ -35,9 +35,11 @@ def centre(genes: DataFrame, anchor: str) -> DataFrame:
     ext = genes.groupBy("contig").agg(F.min("start").alias("xmin"), F.max("stop").alias("xmax"))
     first = genes.filter(F.col("accession") == anchor).groupBy("contig").agg(F.min(F.struct("start", "stop", "direction")).alias("g"))
     x = ext.join(first, "contig").withColumns({"l": F.col("g.start") - F.col("xmin"), "r": F.col("xmax") - F.col("g.stop"), "back": F.col("g.direction") == "r"})
-    x = x.select("contig", "xmin", "xmax", F.when(F.col("back"), F.col("r")).otherwise(F.col("l")).alias("left_gap"), F.when(F.col("back"), F.col("l")).otherwise(F.col("r")).alias("right_gap"))
+    x = x.select("contig", "xmin", "xmax", F.when(F.col("back"), F.col("r")).otherwise(F.col("l")).alias("left_gap"),
+        F.when(F.col("back"), F.col("l")).otherwise(F.col("r")).alias("right_gap"))
     widest = F.broadcast(x.agg(F.max("left_gap").alias("max_left"), F.max("right_gap").alias("max_right")))
-    return x.join(widest).select("contig", "left_gap", "right_gap", (F.col("xmin") - (F.col("max_left") - F.col("left_gap"))).alias("view_start"), (F.col("xmax") + F.col("max_right") - F.col("right_gap")).alias("view_stop"))
+    return x.join(widest).select("contig", "left_gap", "right_gap", (F.col("xmin") - (F.col("max_left") - F.col("left_gap"))).alias("view_start"),
+        (F.col("xmax") + F.col("max_right") - F.col("right_gap")).alias("view_stop"))
 
 
 def ribbons(blocks: DataFrame, windows: DataFrame, order: list[str]) -> DataFrame:
@@ -47,7 +49,8 @@ def ribbons(blocks: DataFrame, windows: DataFrame, order: list[str]) -> DataFram
     """
     placed = number_rows(windows.select("contig", "locus", "start", "stop"), [*order, "locus"])
     after = placed.select((F.col("i") - 1).alias("i"), F.struct("contig", "locus", "start", "stop").alias("n"))
-    nxt = placed.join(after, "i").select(F.col("contig").alias("query"), F.col("locus").alias("query_locus"), F.col("start").alias("qs"), F.col("stop").alias("qe"), F.col("n.contig").alias("ref"), F.col("n.locus").alias("ref_locus"), F.col("n.start").alias("rs"), F.col("n.stop").alias("re"))
+    nxt = placed.join(after, "i").select(F.col("contig").alias("query"), F.col("locus").alias("query_locus"), F.col("start").alias("qs"),
+        F.col("stop").alias("qe"), F.col("n.contig").alias("ref"), F.col("n.locus").alias("ref_locus"), F.col("n.start").alias("rs"), F.col("n.stop").alias("re"))
     b = blocks.join(nxt, ["query", "ref"])
     q1, q2 = F.least("query_start", "query_end") - 1, F.greatest("query_start", "query_end")
     r1, r2 = F.least("ref_start", "ref_end") - 1, F.greatest("ref_start", "ref_end")

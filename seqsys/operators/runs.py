@@ -111,7 +111,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         if not last:  # keep the last group back
             keep = g == n - 1
-            rest = pa.RecordBatch.from_arrays([names.slice(int(first[-1]), 1), pa.array(shard[first[-1:]]), _pack(np.zeros(keep.sum(), np.int64), s[keep], e[keep], 1)], ["name", "shard", "runs"])
+            rest = pa.RecordBatch.from_arrays([names.slice(int(first[-1]), 1), pa.array(shard[first[-1:]]),
+                _pack(np.zeros(keep.sum(), np.int64), s[keep], e[keep], 1)], ["name", "shard", "runs"])
             g, s, e, n = g[~keep], s[~keep], e[~keep], n - 1
         if not n:
             return None, rest

@@ -134,7 +134,8 @@ class Systems:
     def kinds(self) -> DataFrame:
         """Rows ``cluster, cluster_four_types``."""
         held = self.reached.select("cluster").distinct().withColumn("_held", F.lit(True))
-        return self.typed.join(held, "cluster", "left").select("cluster", cluster_four_types(F.col("cluster_type"), F.col("_held").isNotNull()).alias("cluster_four_types"))
+        return self.typed.join(held, "cluster", "left").select("cluster",
+            cluster_four_types(F.col("cluster_type"), F.col("_held").isNotNull()).alias("cluster_four_types"))
 
     @cached_property
     def clusters(self) -> DataFrame:
@@ -150,7 +151,8 @@ class Systems:
     @cached_property
     def contigs(self) -> DataFrame:
         """One row per contig with what is known of its cluster."""
-        info = self.typed.join(self.meta, "cluster").join(self.kinds, "cluster").select("cluster", "meta_cluster", "cluster_size", "cluster_type", "cluster_four_types", F.col("rep_central").alias("representative_contig"))
+        info = self.typed.join(self.meta, "cluster").join(self.kinds, "cluster").select("cluster", "meta_cluster", "cluster_size", "cluster_type",
+            "cluster_four_types", F.col("rep_central").alias("representative_contig"))
         return self.members.join(info, "cluster").select(
             F.col("node").alias("contig"), "cluster", "length", "circular", "nchildren_in_cluster", (F.col("ani_sum") / F.col("cluster_size")).alias("avgANI"),
             "meta_cluster", "cluster_size", "cluster_type", "cluster_four_types", "representative_contig",
@@ -176,7 +178,8 @@ def system_strings(s: Systems) -> DataFrame:
 def contigs_output(s: Systems) -> DataFrame:
     """The contig table as written out."""
     t = s.contigs.join(system_strings(s), "cluster", "left")
-    return t.select("contig", "cluster", F.col("cluster_four_types").alias("cluster_type"), F.col("circular").cast("int").alias("circular"), "representative_contig", F.coalesce("systems", F.lit("")).alias("systems"))
+    return t.select("contig", "cluster", F.col("cluster_four_types").alias("cluster_type"), F.col("circular").cast("int").alias("circular"),
+        "representative_contig", F.coalesce("systems", F.lit("")).alias("systems"))
 
 
 def clusters_output(s: Systems) -> DataFrame:
@@ -233,7 +236,8 @@ def cluster_network(s: Systems, drop_fragments: bool = False) -> tuple[DataFrame
     return nodes, edges.select("src", "dst", "weight")
 
 
-def cluster_subnetwork(s: Systems, clusters: DataFrame | None = None, samples: DataFrame | None = None, genes: DataFrame | None = None, drop_fragments: bool = True, attributes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def cluster_subnetwork(s: Systems, clusters: DataFrame | None = None, samples: DataFrame | None = None, genes: DataFrame | None = None,
+    drop_fragments: bool = True, attributes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Vertices ``node, node_type, cluster_type, node_size`` and edges ``src, dst, weight, edge_type`` of a part of the cluster graph; names are strings.
 
     ``clusters`` (``cluster``) restricts the graph, which is reduced within itself. ``samples`` (``cluster, sample``) adds an edge
@@ -248,13 +252,15 @@ def cluster_subnetwork(s: Systems, clusters: DataFrame | None = None, samples: D
     kept = s.scratch.write(kept.withColumn("node", F.col("cluster").cast("string")), "kept")
     own = kept.select("cluster")
     inner = s.graph.join(own.toDF("src"), "src", "left_semi").join(own.toDF("dst"), "dst", "left_semi")
-    inner = transitive_reduction(inner).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("long").alias("weight"))
+    inner = transitive_reduction(inner).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"),
+        F.col("weight").cast("long").alias("weight"))
     edges = inner.withColumn("edge_type", F.lit("cluster-cluster"))
     vertex = lambda df, kind: df.select("node", F.lit(kind).alias("node_type"), F.lit(None).cast("string").alias("cluster_type"))
     nodes = kept.select("node", F.lit("cluster").alias("node_type"), "cluster_type")
     if samples is not None:
         of = samples.join(own, "cluster", "left_semi").select(F.col("cluster").cast("string").alias("src"), F.col("sample").cast("string").alias("dst")).distinct()
-        both = s.scratch.write(edges.withColumn("weight", F.lit(10).cast("long")).unionByName(of.withColumns({"weight": F.lit(1).cast("long"), "edge_type": F.lit("sample-cluster")})), "sampled")
+        both = s.scratch.write(edges.withColumn("weight", F.lit(10).cast("long")).unionByName(of.withColumns({"weight": F.lit(1).cast("long"),
+            "edge_type": F.lit("sample-cluster")})), "sampled")
         edges = transitive_reduction(both)
         nodes = nodes.unionByName(vertex(of.select(F.col("dst").alias("node")).distinct(), "sample"))
     if genes is not None:

@@ -84,7 +84,8 @@ def transitive_reduction(spark: SparkSession, d: str) -> DataFrame:
 def contig_table(spark: SparkSession, d: str) -> DataFrame:
     s = systems_of(spark, d)
     t = s.contigs.join(sy.system_strings(s), "cluster", "left").withColumn("systems", F.coalesce("systems", F.lit("")))
-    return t.select("contig", "cluster", "circular", "nchildren_in_cluster", F.round("avgANI", 6).alias("avgani"), "cluster_size", "cluster_type", "cluster_four_types", "representative_contig", "systems")
+    return t.select("contig", "cluster", "circular", "nchildren_in_cluster", F.round("avgANI", 6).alias("avgani"), "cluster_size", "cluster_type",
+        "cluster_four_types", "representative_contig", "systems")
 
 
 def cluster_table(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +94,8 @@ def cluster_table(spark: SparkSession, d: str) -> DataFrame:
     lengths = [F.col(c).cast("double").alias(c) for c in ("length_min", "length_median", "length_max")]
     reps = ["rep_longest", "rep_most_children", "rep_central", "rep_circular_central"]
     sources = ["sources_parents", "sources_ancestors", "sources_circ"]
-    return t.select("cluster", "members", "cluster_size", "members_circ", *lengths, "cluster_type", "cluster_four_types", *sources, *reps, "meta_cluster", F.coalesce("systems", F.lit("")).alias("systems"))
+    return t.select("cluster", "members", "cluster_size", "members_circ", *lengths, "cluster_type", "cluster_four_types", *sources, *reps,
+        "meta_cluster", F.coalesce("systems", F.lit("")).alias("systems"))
 
 
 def systems(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +163,8 @@ def basket_containment(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("a").alias("query"), F.col("b").alias("reference"), "shared")
 
 
-QUERIES = {f.__name__: f for f in (threshold_edges, reciprocal_edges, contig_universe, similarity_hist, closure_pairs, scc_clusters, wcc_clusters, cluster_graph, transitive_reduction, contig_table, cluster_table, systems, minmax_backbones, type_counts, cluster_scores, cluster_subnetwork, sampled_contigs, derep_weak, gene_content_jaccard, basket_overlaps, basket_containment)}
+QUERIES = {f.__name__: f for f in (threshold_edges, reciprocal_edges, contig_universe, similarity_hist, closure_pairs, scc_clusters, wcc_clusters,
+    cluster_graph, transitive_reduction, contig_table, cluster_table, systems, minmax_backbones, type_counts, cluster_scores, cluster_subnetwork, sampled_contigs, derep_weak, gene_content_jaccard, basket_overlaps, basket_containment)}
 
 _PAIRS = f"""
 raw AS (SELECT {contig_sql("query")} AS query, {contig_sql("reference")} AS reference, run_at,

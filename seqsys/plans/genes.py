@@ -19,7 +19,8 @@ def calls(spark: SparkSession, d: str) -> DataFrame:
     """The last delivery of each gene call: ``gene_callers_id, contig, start, stop, direction`` (f or r), non-empty, start < stop."""
     g = spark.read.parquet(f"{d}/gene_calls.parquet").select("gene_callers_id", "contig", "start", "stop", "direction", "loaded_at")
     g = g.filter(F.col("gene_callers_id").isNotNull() & F.col("start").isNotNull() & F.col("stop").isNotNull() & (F.col("start") != F.col("stop")))
-    row = F.struct("loaded_at", F.least("start", "stop").alias("start"), F.greatest("start", "stop").alias("stop"), F.when(F.col("direction").isin("r", "-"), "r").otherwise("f").alias("direction"), contig_name(F.col("contig")).alias("contig"))
+    row = F.struct("loaded_at", F.least("start", "stop").alias("start"), F.greatest("start", "stop").alias("stop"),
+        F.when(F.col("direction").isin("r", "-"), "r").otherwise("f").alias("direction"), contig_name(F.col("contig")).alias("contig"))
     last = g.select("gene_callers_id", row.alias("g")).filter(F.col("g.contig").isNotNull()).groupBy("gene_callers_id").agg(F.max("g").alias("g"))
     return last.select("gene_callers_id", "g.contig", "g.start", "g.stop", "g.direction")
 
@@ -28,7 +29,8 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
     """One row per gene call and accession with a source."""
     f = spark.read.parquet(f"{d}/gene_functions.parquet").select("gene_callers_id", "accession", "source")
     f = f.select("gene_callers_id", accession_key(F.col("accession")).alias("accession"), F.when(present_text(F.col("source")), F.col("source")).alias("source"))
-    return f.filter((F.col("gene_callers_id") > 0) & F.col("accession").isNotNull()).groupBy("gene_callers_id", "accession").agg(F.coalesce(F.max("source"), F.lit("unnamed")).alias("source"))
+    return f.filter((F.col("gene_callers_id") > 0) & F.col("accession").isNotNull()).groupBy("gene_callers_id",
+        "accession").agg(F.coalesce(F.max("source"), F.lit("unnamed")).alias("source"))
 
 
 def genes(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +60,8 @@ def overlap_join(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of overlapping gene calls of one contig."""
     g = calls(spark, d).select("gene_callers_id", "contig", "start", "stop")
     j = intervals.overlap_join(g, g, "contig", 2000).filter(F.col("gene_callers_id_l") < F.col("gene_callers_id_r"))
-    return j.select(F.col("gene_callers_id_l").alias("gene_a"), F.col("gene_callers_id_r").alias("gene_b"), (F.least("stop_l", "stop_r") - F.greatest("start_l", "start_r")).alias("bases"))
+    return j.select(F.col("gene_callers_id_l").alias("gene_a"), F.col("gene_callers_id_r").alias("gene_b"),
+        (F.least("stop_l", "stop_r") - F.greatest("start_l", "start_r")).alias("bases"))
 
 
 def rotate_coords(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +153,8 @@ def bottomk_pairs(spark: SparkSession, d: str) -> DataFrame:
 def topk_masked(spark: SparkSession, d: str) -> DataFrame:
     """Both ends of the pairs of one accession family with any but the most frequent accession."""
     scored = _symmetric(spark, d)
-    return cooc.top_pairs(scored, "total", 25, keep=(F.col("a").startswith("pd"), None), drop=(["pd99000000"], ["pd99000000"]), symmetric=True, tail=True).select("a", "b", "total", "is_tail")
+    return cooc.top_pairs(scored, "total", 25, keep=(F.col("a").startswith("pd"), None), drop=(["pd99000000"], ["pd99000000"]), symmetric=True,
+        tail=True).select("a", "b", "total", "is_tail")
 
 
 def greedy_matching(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +186,8 @@ def gene_call_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gene_call_merge_outer(spark: SparkSession, d: str) -> DataFrame:
-    return annot.merge_calls(annotations(spark, d), calls(spark, d), dummies=True).select("gene_callers_id", "accession", "source", "contig", "start", "stop", """direction""")
+    return annot.merge_calls(annotations(spark, d), calls(spark, d), dummies=True).select("gene_callers_id", "accession", "source", "contig", "start",
+        "stop", """direction""")
 
 
 def gene_pivot(spark: SparkSession, d: str) -> DataFrame:
@@ -219,7 +224,8 @@ def described_accessions(spark: SparkSession, d: str) -> DataFrame:
 def anchor_directions(spark: SparkSession, d: str) -> DataFrame:
     """Direction of the first of the most frequent accessions on each contig."""
     g = genes(spark, d)
-    top = number_rows(cooc.frequencies(g).orderBy(F.col("contigs").desc(), "accession").limit(20).select("accession", "contigs"), [F.col("contigs").desc(), "accession"], "position")
+    top = number_rows(cooc.frequencies(g).orderBy(F.col("contigs").desc(), "accession").limit(20).select("accession", "contigs"),
+        [F.col("contigs").desc(), "accession"], "position")
     return annot.anchor_directions(g, top).select("contig", "accession", "direction")
 
 

@@ -77,7 +77,8 @@ def read_complete(spark: SparkSession, path) -> DataFrame:
 
 def read_pairs(spark: SparkSession, path) -> DataFrame:
     """``reference, query, coverage, ANI, full_ANI`` of a pair table, either header, ``#`` comments skipped. Numbers outside 0..1 are an error. ANI in percent."""
-    raw = _by_name(spark, path, PAIRS, {"Reference_Sequence": "reference", "Query_Sequence": "query"}, comment="#", needed=["reference", "query", "C", "I_local", "I_global"])
+    raw = _by_name(spark, path, PAIRS, {"Reference_Sequence": "reference", "Query_Sequence": "query"}, comment="#",
+        needed=["reference", "query", "C", "I_local", "I_global"])
     raw = raw.select("reference", "query", *[checked_fraction(c) for c in ("C", "I_local", "I_global")])
     return raw.select("reference", "query", F.col("C").alias("coverage"), (F.col("I_local") * 100).alias("ANI"), F.col("I_global").alias("full_ANI"))
 
@@ -106,7 +107,8 @@ def read_delta(spark: SparkSession, path) -> DataFrame:
     block = head.select("h", F.explode("lines").alias("line")).select("h", F.split(F.trim("line"), r"\s+").alias("b")).filter(F.size("b") == 7)
     h, b = (lambda k: F.col("h")[k]), (lambda k: F.col("b")[k].cast("int"))
     names = ["ref_start", "ref_end", "query_start", "query_end", "errors", "mismatches", "nonalpha"]
-    return block.select(h(0).alias("ref"), h(1).alias("query"), h(2).cast("int").alias("ref_len"), h(3).cast("int").alias("query_len"), *[b(k).alias(n) for k, n in enumerate(names)])
+    return block.select(h(0).alias("ref"), h(1).alias("query"), h(2).cast("int").alias("ref_len"), h(3).cast("int").alias("query_len"),
+        *[b(k).alias(n) for k, n in enumerate(names)])
 
 
 def read_blocks(spark: SparkSession, path) -> DataFrame:

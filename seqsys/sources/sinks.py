@@ -63,7 +63,8 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, node: str = "no
     kinds = {"double": "double", "float": "double", "int": "long", "bigint": "long", "boolean": "boolean"}
     sides = (("node", nodes, [node]), ("edge", edges, ["src", "dst"]))
     head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
-    head += [f' <key id="{side}_{c}" for="{side}" attr.name="{c}" attr.type="{kinds.get(t, "string")}"/>' for side, df, own in sides for c, t in df.dtypes if c not in own]
+    head += [f' <key id="{side}_{c}" for="{side}" attr.name="{c}" attr.type="{kinds.get(t, "string")}"/>' for side, df, own in sides for c,
+        t in df.dtypes if c not in own]
     head.append(' <graph id="G" edgedefault="directed">')
 
     def line(side: str, df: DataFrame, own: list[str], names: list[str]) -> DataFrame:

@@ -90,9 +90,11 @@ def test_subnetwork_and_scores(spark):
     given = spark.createDataFrame([("0", 9, "x"), ("new", 1, "y")], "node string, node_size int, note string")
     nodes, edges = cluster_subnetwork(s, samples=samples, genes=genes, attributes=given)
     assert {(r.src, r.dst, r.weight, r.edge_type) for r in edges.collect()} == {
-        ("0", "1", 10, "cluster-cluster"), ("1", "2", 10, "cluster-cluster"), ("1", "s1", 1, "sample-cluster"), ("2", "s2", 1, "sample-cluster"), ("X", "1", 1, "gene-cluster")
+        ("0", "1", 10, "cluster-cluster"), ("1", "2", 10, "cluster-cluster"), ("1", "s1", 1, "sample-cluster"), ("2", "s2", 1,
+            "sample-cluster"), ("X", "1", 1, "gene-cluster")
     }
-    assert {(r.node, r.node_type, r.node_size, r.note) for r in nodes.collect()} == {("0", "cluster", 9, "x"), ("1", "cluster", 1, None), ("2", "cluster", 1, None), ("s1", "sample", 1, None), ("s2", "sample", 1, None), ("X", "gene", 1, None), ("new", None, 1, "y")}
+    assert {(r.node, r.node_type, r.node_size, r.note) for r in nodes.collect()} == {("0", "cluster", 9, "x"), ("1", "cluster", 1, None),
+        ("2", "cluster", 1, None), ("s1", "sample", 1, None), ("s2", "sample", 1, None), ("X", "gene", 1, None), ("new", None, 1, "y")}
     of = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("zz", 9.0)], "contig string, score double")
     assert {tuple(r) for r in cluster_scores(s.membership, of).collect()} == {(0, 1.0, 1.0, 1.0), (1, 2.0, 2.0, 2.0)}
     assert cluster_subnetwork(s, clusters=spark.createDataFrame([(0,), (2,)], "cluster int"))[1].select("src", "dst").collect() == [("0", "2")]

@@ -20,7 +20,8 @@ def test_similar_records_against_brute_force(spark, method, threshold):
     df = spark.createDataFrame([(r, x) for r, s in sets.items() for x in s], "record string, item string")
     for least in (1, 3):
         got = [(r.a, r.b) for r in edges.similar_records(df, method, threshold, least).collect()]
-        want = {(a, b) for a in sets for b in sets if a != b and (method == "rowsize" or a < b) and min(len(sets[a]), len(sets[b])) >= least and score(method, sets[a], sets[b]) >= threshold}
+        want = {(a, b) for a in sets for b in sets if a != b and (method == "rowsize" or a < b) and min(len(sets[a]),
+            len(sets[b])) >= least and score(method, sets[a], sets[b]) >= threshold}
         assert len(got) == len(set(got)) and set(got) == want
     r = edges.similar_records(df, method, threshold).first()
     assert (r.n_a, r.n_b, r.shared) == (len(sets[r.a]), len(sets[r.b]), len(sets[r.a] & sets[r.b]))

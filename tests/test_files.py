@@ -88,7 +88,8 @@ def test_layout_command(spark, tmp_path):
     (tmp_path / "f.txt").write_text("gene_callers_id\taccession\tsource\tfunction\n1\tX\tS\td\n2\tY\tS\td\n3\tX\tS\td\n4\tX\tT\td\n")
     (tmp_path / "m.txt").write_text("contig\thabitat\nb\tsoil\n")
     (tmp_path / "d.delta").write_text("/x /y\nNUCMER\n>b a 900 900\n20 50 20 50 3 3 0\n0\n")
-    cli.main(["layout", "-s", str(tmp_path / "s.fa"), "-a", str(tmp_path / "f.txt"), "-g", str(tmp_path / "g.txt"), "-o", str(tmp_path / "fig"), "--neighborhood", "15", "--metadata", str(tmp_path / "m.txt"), "--align", str(tmp_path / "d.delta")])
+    cli.main(["layout", "-s", str(tmp_path / "s.fa"), "-a", str(tmp_path / "f.txt"), "-g", str(tmp_path / "g.txt"), "-o", str(tmp_path / "fig"),
+        "--neighborhood", "15", "--metadata", str(tmp_path / "m.txt"), "--align", str(tmp_path / "d.delta")])
     loci = {(r.locus, int(r.start), int(r.stop), r.habitat) for r in rows(spark, tmp_path / "fig_loci")}
     assert loci == {("a", 0, 75, None), ("b_locus_0", 5, 65, "soil"), ("b_locus_1", 685, 815, "soil")}
     assert {(r.locus, r.accession) for r in rows(spark, tmp_path / "fig_genes")} == {("a", "X"), ("b_locus_0", "X"), ("b_locus_1", "X")}

@@ -49,8 +49,10 @@ def test_reduction_sources_extremes(spark):
 
 def test_systems_fixture(spark):
     edges = [("a", "b"), ("b", "a"), ("a", "c"), ("c", "d"), ("b", "d"), ("e", "d")]
-    pairs = spark.createDataFrame([(q, r, 0.95, 99.0, 0.9) for q, r in edges] + [("f", "f", 1.0, 100.0, 1.0), ("f", "a", 0.1, 99.0, 0.1)], "query string, reference string, coverage double, ANI double, full_ANI double")
-    contigs = spark.createDataFrame([("a", 5, True), ("b", 9, False), ("c", 7, False), ("d", 8, False), ("e", 4, False), ("f", 3, True)], "contig string, length int, circular boolean")
+    pairs = spark.createDataFrame([(q, r, 0.95, 99.0, 0.9) for q, r in edges] + [("f", "f", 1.0, 100.0, 1.0), ("f", "a", 0.1, 99.0, 0.1)],
+        "query string, reference string, coverage double, ANI double, full_ANI double")
+    contigs = spark.createDataFrame([("a", 5, True), ("b", 9, False), ("c", 7, False), ("d", 8, False), ("e", 4, False), ("f", 3, True)],
+        "contig string, length int, circular boolean")
     s = Systems(pairs, contigs)
     c = {r.cluster: r for r in s.clusters.collect()}
     assert {(r.node, r.cluster) for r in s.membership.collect()} == {("a", 0), ("b", 0), ("c", 1), ("d", 2), ("e", 3), ("f", 4)}

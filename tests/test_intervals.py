@@ -45,7 +45,8 @@ def test_overlap_join_against_brute_force(spark):
 
 
 def test_window_pairs_fixture(spark):
-    g = spark.createDataFrame([("c", 0, 10, "f", "A", "1"), ("c", 12, 20, "r", "B", "2"), ("c", 15, 40, "f", "C", "3")], "contig string, start int, stop int, direction string, accession string, row string")
+    g = spark.createDataFrame([("c", 0, 10, "f", "A", "1"), ("c", 12, 20, "r", "B", "2"), ("c", 15, 40, "f", "C", "3")],
+        "contig string, start int, stop int, direction string, accession string, row string")
     pairs = lambda w: {(r.later, r.earlier, r.orientation) for r in cooc.window_pairs(g, w).collect()}
     assert pairs(5) == {("C", "B", 1)}
     assert pairs(12) == {("C", "B", 1), ("B", "A", 2)}
@@ -62,7 +63,8 @@ def test_matching_and_cover(spark):
 def test_one_contig_of_very_many_calls(spark):
     """Rows of a hot contig stand in many tasks, and the results are those of one pass."""
     n = 200_000
-    df = spark.range(n).select(F.lit("hot").alias("contig"), (F.col("id") * 7919 % 1_000_003).cast("int").alias("start"), F.col("id")).withColumn("stop", F.col("start") + 3 + F.col("id").cast("int") % 5)
+    df = spark.range(n).select(F.lit("hot").alias("contig"), (F.col("id") * 7919 % 1_000_003).cast("int").alias("start"),
+        F.col("id")).withColumn("stop", F.col("start") + 3 + F.col("id").cast("int") % 5)
     df = df.unionByName(spark.createDataFrame([("hot", 400_000, -1, 500_000), ("cold", 5, -2, 9)], "contig string, start int, id long, stop int"))
     placed = intervals.sharded(df, "start")
     assert placed.groupBy("contig", "_shard").count().agg(F.max("count")).first()[0] < n / 30

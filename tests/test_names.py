@@ -14,7 +14,8 @@ def test_contig_spellings(spark):
 
 
 def test_accession_spellings_and_styles(spark):
-    rows = ["PD00000001.7", "pd00000001", "PD 00000001.12", "ＰＤ００００００01.7", "PD00000002", "PD00000001\r", "P​D00000001", "dnfam_5_00000003", "DNFAM_5_00000003", "dnfam_5_4", "NA", "N/A", " ", None, "OG31_99", "OG3199"]
+    rows = ["PD00000001.7", "pd00000001", "PD 00000001.12", "ＰＤ００００００01.7", "PD00000002", "PD00000001\r", "P​D00000001", "dnfam_5_00000003",
+        "DNFAM_5_00000003", "dnfam_5_4", "NA", "N/A", " ", None, "OG31_99", "OG3199"]
     df = spark.createDataFrame([(r,) for r in rows], "a string").select(accession_key(F.col("a")).alias("k"), accession_raw(F.col("a")).alias("raw"))
     keys = [r.k for r in df.collect()]
     assert keys == ["pd00000001"] * 4 + ["pd00000002"] + ["pd00000001"] * 2 + ["dnfam_5_00000003"] * 2 + ["dnfam_5_4", None, None, None, None, "og31_99", "og3199"]

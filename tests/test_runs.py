@@ -32,14 +32,16 @@ def test_touching_nested_nulls_and_repeats(spark):
 
 def test_across_shards(spark):
     unit = 1 << (SHARD_BITS - 1)
-    rows = [("x", 0, 3 * unit), ("x", 3 * unit, 3 * unit + 5), ("x", 5 * unit - 1, 5 * unit), ("x", 5 * unit, 5 * unit + 1), ("x", 9 * unit - 3, 11 * unit + 2), ("y", unit - 1, unit + 1)]
+    rows = [("x", 0, 3 * unit), ("x", 3 * unit, 3 * unit + 5), ("x", 5 * unit - 1, 5 * unit), ("x", 5 * unit, 5 * unit + 1),
+        ("x", 9 * unit - 3, 11 * unit + 2), ("y", unit - 1, unit + 1)]
     assert run(spark, rows) == brute(rows)
 
 
 def test_intervals_of_any_length(spark):
     unit = 1 << (SHARD_BITS - 1)
     rows = [("x", 0, 2 * 10**14), ("x", 10**14, 2 * 10**14 + 7), ("x", 3 * 10**14, 3 * 10**14 + 1), ("x", 5, 9), ("y", -(10**15), 10**15)]
-    rows += [("z", 0, 9 * unit), ("z", 4 * unit, 20 * unit + 3), ("z", 2 * unit, 5 * unit), ("z", 20 * unit + 3, 20 * unit + 5), ("z", 30 * unit, 33 * unit), ("z", 33 * unit, 37 * unit), ("z", 40 * unit - 1, 44 * unit)]
+    rows += [("z", 0, 9 * unit), ("z", 4 * unit, 20 * unit + 3), ("z", 2 * unit, 5 * unit), ("z", 20 * unit + 3, 20 * unit + 5),
+        ("z", 30 * unit, 33 * unit), ("z", 33 * unit, 37 * unit), ("z", 40 * unit - 1, 44 * unit)]
     assert run(spark, rows) == brute(rows)
 
 
