@@ -412,7 +412,8 @@ def candidates(stream: np.ndarray, starts: np.ndarray, look: Lookup, rules: Leak
     return together[ok] // len(look.texts), text[ok], best[ok]
 
 
-def leaks(docs: DataFrame, tests: DataFrame, *, doc: str, text: str, raw: str | None, item: str, passage: str, question: str, rules: LeakRules = LeakRules()) -> DataFrame:
+def leaks(docs: DataFrame, tests: DataFrame, *, doc: str, text: str, raw: str | None, item: str, passage: str, question: str,
+    rules: LeakRules = LeakRules()) -> DataFrame:
     """Rows ``doc, item``: pages that reproduce a test item's passage or question.
 
     A page is one row; its garbled text is read from ``raw`` bytes where given. Null and

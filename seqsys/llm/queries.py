@@ -99,7 +99,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     c = _read(spark, d, "clusters", "row_id", "accession_representative", "ncontigs", "ncontigs_gain", "instances", "source", "description", "trust", "updated_at")
     has_n = F.coalesce(F.col("ncontigs") >= 1, F.lit(False))
-    present = [has_n, F.col("ncontigs_gain").isNotNull(), F.col("instances").isNotNull(), present_text(F.col("source")), present_text(F.col("description")), F.col("trust").isNotNull(), F.col("updated_at").isNotNull()]
+    present = [has_n, F.col("ncontigs_gain").isNotNull(), F.col("instances").isNotNull(), present_text(F.col("source")),
+        present_text(F.col("description")), F.col("trust").isNotNull(), F.col("updated_at").isNotNull()]
     filled = sum((p.cast("int") for p in present[1:]), present[0].cast("int"))
     trust, when = F.col("trust"), F.unix_micros(F.col("updated_at").cast("timestamp"))
     zero = F.lit(0)

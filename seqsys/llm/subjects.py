@@ -213,7 +213,8 @@ def _mine(transactions: DataFrame, priors: dict[int, float], rules: SubjectRules
     conf = scratch.write(conf.filter(F.col("confidence") > 1.5 * prior[F.col("subject")]), "rules")
     shorter = conf.select(F.col("terms").alias("s_terms"), F.col("subject").alias("s_subject"), F.col("confidence").alias("s_confidence"))
     # every shorter body: the terms at the bits of each number below 2 ** size - 1
-    subsets = F.transform(F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.size("terms")) - 2).cast("int")), lambda m: F.filter("terms", lambda _, i: F.pmod(F.floor(m / F.pow(F.lit(2.0), i)), F.lit(2)) == 1))
+    subsets = F.transform(F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.size("terms")) - 2).cast("int")),
+        lambda m: F.filter("terms", lambda _, i: F.pmod(F.floor(m / F.pow(F.lit(2.0), i)), F.lit(2)) == 1))
     less = conf.filter(F.size("terms") > 1).select("terms", "subject", "confidence", F.explode(subsets).alias("less"))
     redundant = less.join(shorter, (F.col("less") == F.col("s_terms")) & (F.col("subject") == F.col("s_subject")) & (F.col("s_confidence") + rules.margin >= F.col("confidence")))
     kept = conf.join(redundant.select("terms", "subject").distinct(), ["terms", "subject"], "left_anti")
@@ -291,14 +292,16 @@ def _calibrated(held_out: DataFrame, scorer, rules: SubjectRules) -> float:
             label = np.array([place.get(x, -1) for x in b.column(0).to_pylist()])[of] if len(of) else np.zeros(0, np.int64)
             ok = label >= 0
             # part of the labels is wrong, whatever the rules say
-            loss = [float(-(length[ok] * np.log(0.05 / len(s.subjects) + 0.95 * s.shares(evidence[ok], x)[np.arange(ok.sum()), label[ok]])).sum()) if ok.any() else 0.0 for x in rules.scales]
+            loss = [float(-(length[ok] * np.log(0.05 / len(s.subjects) + 0.95 * s.shares(evidence[ok], x)[np.arange(ok.sum()),
+                label[ok]])).sum()) if ok.any() else 0.0 for x in rules.scales]
             yield pa.RecordBatch.from_arrays([pa.array(rules.scales, pa.float64()), pa.array(loss, pa.float64())], ["scale", "loss"])
 
     found = held_out.mapInArrow(run, "scale double, loss double").groupBy("scale").agg(F.sum("loss").alias("loss")).collect()
     return min(((r.loss, r.scale) for r in found), default=(0.0, 1.0))[1]
 
 
-def subjects(docs: DataFrame, labels: DataFrame, *, doc: str, text: str, raw: str | None, label_doc: str, label: str, allowed: list[str], rules: SubjectRules = SubjectRules()) -> DataFrame:
+def subjects(docs: DataFrame, labels: DataFrame, *, doc: str, text: str, raw: str | None, label_doc: str, label: str, allowed: list[str],
+    rules: SubjectRules = SubjectRules()) -> DataFrame:
     """Rows ``doc, subject, share``: the one or two subjects that hold most of a page's prose.
 
     ``labels`` are noisy rows (doc, subject); labels and ``allowed`` are compared without regard to case and blanks, and
@@ -344,7 +347,8 @@ def subjects(docs: DataFrame, labels: DataFrame, *, doc: str, text: str, raw: st
             mine = _lists(at[there].astype(np.int32), np.bincount(row[there], minlength=b.num_rows))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), mine], ["subject", "held_out", "terms"])
 
-    mine = scratch.write(labelled.select("subject", "held_out", "terms").mapInArrow(numbered, "subject int, held_out boolean, terms array<int>").filter(F.size("terms") > 0), "numbered")
+    mine = scratch.write(labelled.select("subject", "held_out", "terms").mapInArrow(numbered,
+        "subject int, held_out boolean, terms array<int>").filter(F.size("terms") > 0), "numbered")
     starts = F.sequence(F.lit(1), F.size("terms"), F.lit(k))
     runs = mine.filter(~F.col("held_out")).select("subject", "terms", F.explode(starts).alias("i"))
     runs = scratch.write(runs.select(F.concat(F.array_distinct(F.slice("terms", F.col("i"), k)), F.array(-1 - F.col("subject"))).alias("items")), "runs")

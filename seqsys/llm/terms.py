@@ -78,7 +78,8 @@ def _stack_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             levels[-1].records.append(seen)
 
     def flush() -> pa.RecordBatch:
-        b = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()))], ["gram", "occurrences", "records"])
+        b = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()))],
+            ["gram", "occurrences", "records"])
         out.clear()
         return b
 
@@ -133,14 +134,16 @@ def gram_statistics(suffixes: DataFrame, hot_share: float = 0.25) -> DataFrame:
     parts = parallelism(spark)
     scratch = Scratch(spark, "terms")
     rows = suffixes.select(
-        F.element_at("suffix", 1).alias("first"), F.array_join("suffix", "\u0001").alias("joined"), F.when(F.col("has_record"), F.col("record")).otherwise(0).alias("record"), "has_record"
+        F.element_at("suffix", 1).alias("first"), F.array_join("suffix", "\u0001").alias("joined"), F.when(F.col("has_record"),
+            F.col("record")).otherwise(0).alias("record"), "has_record"
     )
     firsts = scratch.write(rows.groupBy("first").agg(F.count("*").alias("n")), "firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
     limit = max(1, int(total * hot_share / parts))
     hot = firsts.filter(F.col("n") > limit).select(F.col("first").alias("hot"), F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("salts"))
     salted = rows.join(F.broadcast(hot), F.col("first") == F.col("hot"), "left").withColumn(
-        "salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64(F.when(F.col("has_record"), F.col("record")).otherwise(F.monotonically_increasing_id())), F.col("salts"))).otherwise(0)
+        "salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64(F.when(F.col("has_record"),
+            F.col("record")).otherwise(F.monotonically_increasing_id())), F.col("salts"))).otherwise(0)
     )
     routed = salted.withColumn("n", F.lit(1).cast("long")).repartition("first", "salt").sortWithinPartitions("salt", F.col("joined").desc(), "record")
     stacked = routed.select("joined", "record", "has_record", "n").mapInArrow(_stack_pass, "gram string, occurrences long, records long")

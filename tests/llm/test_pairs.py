@@ -43,14 +43,17 @@ def test_components_against_union_find(spark):
 
 
 def test_ani_matches(spark):
-    rows = [("A_1", "B_1", 0.9, 0.95, 0.85), ("A_1", "C_1", 90.0, 95.0, 85.0), ("A_1", "D_1", 0.95, 0.95, 90.0), ("A_1", "E_1", 0.95, 95.0, 90.0), ("A_1", "F_1", 0.89, 0.9, 0.9), ("A_1", "a_1", 1.0, 1.0, 1.0), ("NA", "B_1", 1.0, 1.0, 1.0), ("A_1", "G_1", None, 1.0, 1.0), ("A_1", "H_1", float("nan"), 1.0, 1.0), ("A_1", "I_1", 0.95, None, 0.9), ("A_1", "J_1", 1.0, 1.0, float("nan"))]
+    rows = [("A_1", "B_1", 0.9, 0.95, 0.85), ("A_1", "C_1", 90.0, 95.0, 85.0), ("A_1", "D_1", 0.95, 0.95, 90.0), ("A_1", "E_1", 0.95, 95.0, 90.0),
+        ("A_1", "F_1", 0.89, 0.9, 0.9), ("A_1", "a_1", 1.0, 1.0, 1.0), ("NA", "B_1", 1.0, 1.0, 1.0), ("A_1", "G_1", None, 1.0, 1.0), ("A_1", "H_1",
+            float("nan"), 1.0, 1.0), ("A_1", "I_1", 0.95, None, 0.9), ("A_1", "J_1", 1.0, 1.0, float("nan"))]
     df = spark.createDataFrame(rows, "reference string, query string, c double, i_local double, i_global double")
     assert {r.b for r in ani_matches(df).collect()} == {"B_1", "C_1", "D_1", "I_1"}
 
 
 def test_grams_against_brute_force(spark):
     rng = random.Random(2)
-    records = [(f"r{i}" if i % 7 else None, [rng.choice(["a", "b", "a0", "ab", "", None]) for _ in range(rng.randrange(0, 12))]) for i in range(60)] + [("r1", ["a", "b"]), ("e", []), ("n", None)]
+    records = [(f"r{i}" if i % 7 else None, [rng.choice(["a", "b", "a0", "ab", "", None]) for _ in range(rng.randrange(0,
+        12))]) for i in range(60)] + [("r1", ["a", "b"]), ("e", []), ("n", None)]
     want_n, want_r = Counter(), {}
     for r, terms in records:
         t = [x for x in terms or [] if x is not None]
@@ -155,7 +158,8 @@ def test_together_against_brute_force(spark):
 
 
 def test_survivors_ties_and_nulls(spark):
-    rows = [(1, "a", 5, None, "x"), (2, "a", 5, 3, None), (3, "a", 5, 3, None), (4, "b", 1, 1, "y"), (5, None, 9, 9, "z"), (6, "c", None, None, None), (7, "c", None, None, None), (7, "c", None, None, None)]
+    rows = [(1, "a", 5, None, "x"), (2, "a", 5, 3, None), (3, "a", 5, 3, None), (4, "b", 1, 1, "y"), (5, None, 9, 9, "z"), (6, "c", None, None, None),
+        (7, "c", None, None, None), (7, "c", None, None, None)]
     df = spark.createDataFrame(rows, "id long, g string, trust int, n int, group string")
     rules = {"record": (F.lit(True), [F.col("trust"), F.col("n")]), "n": (F.col("n").isNotNull(), [F.col("n"), F.lit(0)])}
     got = {tuple(r) for r in survivors(df, F.col("g"), F.col("id"), rules).collect()}

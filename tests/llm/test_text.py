@@ -13,7 +13,8 @@ from seqsys.session import Scratch
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
 
-TEXTS = ["", None, "hello world", "aaaaaaaaaaaaaaaa", "a" * 5001, " " * 700 + "x", "<|endoftext|> is text", "It's the naïve façade – 日本語テキスト 🚀🧪👨‍🍳", "\n\n \t tabs\r\n", "1234567890 3.14159", "Überraschung größer Ж" * 3, "ababababababab" * 20]
+TEXTS = ["", None, "hello world", "aaaaaaaaaaaaaaaa", "a" * 5001, " " * 700 + "x", "<|endoftext|> is text", "It's the naïve façade – 日本語テキスト 🚀🧪👨‍🍳",
+    "\n\n \t tabs\r\n", "1234567890 3.14159", "Überraschung größer Ж" * 3, "ababababababab" * 20]
 
 
 def test_merges_with_overlaps():
@@ -93,7 +94,8 @@ def sentence(rng, tag):
 def test_leaks(spark):
     rng = random.Random(11)
     passages = {i: [sentence(rng, f"Item{i}x") for _ in range(5)] for i in range(30)}
-    items = [(i, " ".join(s), f"Read the passage and answer. {sentence(rng, f'Q{i}x')} {sentence(rng, f'Q{i}y')}", "answer") for i, s in passages.items()] + [(99, None, None, "x"), (None, "a b c", "d", "y")]
+    items = [(i, " ".join(s), f"Read the passage and answer. {sentence(rng, f'Q{i}x')} {sentence(rng, f'Q{i}y')}", "answer") for i,
+        s in passages.items()] + [(99, None, None, "x"), (None, "a b c", "d", "y")]
     filler = lambda n, tag: " ".join(sentence(rng, tag) for _ in range(n))
     docs = [(i, filler(12, f"Doc{i}x")) for i in range(300)]
     found = set()
@@ -206,7 +208,8 @@ def test_leaks_scattered_and_altered(spark):
 
 def test_subjects(spark):
     rng = random.Random(12)
-    vocabulary = {"science": NOUNS, "law": ["verdict", "statute", "tribunal", "plaintiff", "clause", "docket", "lease", "affidavit"], "food": ["oven", "butter", "garlic", "dough", "basil", "yeast", "pickle", "broth"]}
+    vocabulary = {"science": NOUNS, "law": ["verdict", "statute", "tribunal", "plaintiff", "clause", "docket", "lease", "affidavit"],
+        "food": ["oven", "butter", "garlic", "dough", "basil", "yeast", "pickle", "broth"]}
     menu = "Home | Science | Law | Food\nWe use cookies to improve your visit in this kitchen oven\n"
 
     def prose(s, n):
@@ -220,7 +223,8 @@ def test_subjects(spark):
         if i % 2 == 0:
             labels.append((i, f" {s.upper()} " if i % 5 else s))
     labels += [(0, "none"), (2, None), (None, "law"), (4, "unheard of")] + labels[:10]
-    docs += [(1000, menu + prose("law", 8) + prose("food", 7)), (1001, menu), (1002, None), (1003, ""), (1004, menu + prose("law", 400)), (1005, menu + prose("science", 20) + prose("law", 1))]
+    docs += [(1000, menu + prose("law", 8) + prose("food", 7)), (1001, menu), (1002, None), (1003, ""), (1004, menu + prose("law", 400)),
+        (1005, menu + prose("science", 20) + prose("law", 1))]
     truth |= {1000: {"law", "food"}, 1001: set(), 1002: set(), 1003: set(), 1004: {"law"}, 1005: {"science"}}
     d = spark.createDataFrame([(*x, None, "x") for x in docs], "id long, text string, raw binary, subject string")
     lab = spark.createDataFrame(labels, "id long, subject string")
@@ -235,7 +239,8 @@ def test_subjects(spark):
 
 def test_subjects_of_near_copies(spark):
     rng = random.Random(31)
-    vocabulary = {"science": NOUNS, "law": ["verdict", "statute", "tribunal", "plaintiff", "clause", "docket", "lease", "affidavit"], "food": ["oven", "butter", "garlic", "dough", "basil", "yeast", "pickle", "broth"]}
+    vocabulary = {"science": NOUNS, "law": ["verdict", "statute", "tribunal", "plaintiff", "clause", "docket", "lease", "affidavit"],
+        "food": ["oven", "butter", "garlic", "dough", "basil", "yeast", "pickle", "broth"]}
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
     menu = "Home | Science | Law | Food\nWe use cookies to improve your visit\n"
     line = lambda s: f"{word()} {rng.choice(vocabulary[s])} {word()} {rng.choice(vocabulary[s])} {rng.choice(vocabulary[s])}\n"
@@ -260,7 +265,8 @@ def test_subjects_of_near_copies(spark):
 def test_subjects_with_a_long_footer_and_capitals(spark, repeats):
     """A footer full of legal terms is boilerplate whatever its length; subjects come back as they are given."""
     rng = random.Random(32)
-    vocabulary = {"Science": NOUNS, "Law": ["verdict", "statute", "tribunal", "plaintiff", "clause", "docket", "lease", "affidavit"], "Food  and drink": ["oven", "butter", "garlic", "dough", "basil", "yeast", "pickle", "broth"]}
+    vocabulary = {"Science": NOUNS, "Law": ["verdict", "statute", "tribunal", "plaintiff", "clause", "docket", "lease", "affidavit"],
+        "Food  and drink": ["oven", "butter", "garlic", "dough", "basil", "yeast", "pickle", "broth"]}
     footer = "\n" + "Any verdict of a tribunal on a clause of this lease binds the plaintiff by statute, says " * repeats
     docs, labels = [], []
     for i in range(600):
@@ -276,7 +282,8 @@ def test_subjects_with_a_long_footer_and_capitals(spark, repeats):
 
 
 def test_pages_cut_in_small_groups(spark, monkeypatch):
-    docs = [(i, "|".join(f"piece{'x' * (i % 5)} of{'y' * k}" for k in range(i % 7)) or " ", None) for i in range(200)] + [(999, "very long " * 20_000, None), (1000, None, None), (None, "x", None)]
+    docs = [(i, "|".join(f"piece{'x' * (i % 5)} of{'y' * k}" for k in range(i % 7)) or " ", None) for i in range(200)] + [(999, "very long " * 20_000,
+        None), (1000, None, None), (None, "x", None)]
     d = spark.createDataFrame(docs, "id long, text string, raw binary").coalesce(2)
     rows = lambda: {r.page: (r.of, r.pieces, r.sizes, r.terms, r.bodies) for r in cut_pages(d, "id", "text", "raw").collect()}
     at_once = rows()
