@@ -9,11 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqsys.session import Scratch
+from seqsys.session import Scratch, parallelism
 
 #: Hops that one job of a loop over single hops takes.
 HOPS = 3
 
+#: Hops up to which all paths of a graph are extended by single edges.
+NEAR = 24
+
+#: Members of a group of nodes that one list of `_every_path` holds.
+CHUNK = 64
+
 
 def _plain(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()
@@ -26,18 +32,19 @@ def _turned(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, sources: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
     """Rows ``src, dst`` for every path of one or more edges; with ``sources`` (``node``) only paths from those.
 
-    Semi-naive: each round extends the new paths only. Without ``sources`` they are extended by all known
-    paths, which doubles the length reached; with ``sources`` by single edges, as other paths
-    are not made. The full result is quadratic in the depth of the graph, so give ``sources`` where not all are needed.
+    Semi-naive: each round extends the new paths only, with ``sources`` by single edges, as other paths are not made. Without
+    ``sources`` see `_every_path`. The full result is quadratic in the depth of the graph and in the sizes of its
+    components, so give ``sources`` where not all are needed.
     """
     scratch = Scratch(edges.sparkSession, "closure")
     step = scratch.write(_plain(edges).filter(F.col("src") != F.col("dst")), "edges")
-    paths = step if sources is None else step.join(sources.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
-    new = paths = scratch.write(paths, "paths")
+    if sources is None:
+        return _every_path(scratch, step, max_rounds)
+    hop = step.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
+    new = paths = scratch.write(step.join(sources.select(F.col("node").alias("src")).distinct(), "src", "left_semi"), "paths")
     for _ in range(max_rounds):
-        hop = (step if sources is not None else paths).select(F.col("src").alias("dst"), F.col("dst").alias("to"))
         more, at = None, new
-        for _ in range(1 if sources is None else HOPS):
+        for _ in range(HOPS):
             at = at.join(hop, "dst").select("src", F.col("to").alias("dst")).distinct()
             more = at if more is None else more.unionByName(at)
         new = scratch.write(more.distinct().join(paths, ["src", "dst"], "left_anti"), "new")
@@ -47,6 +54,55 @@ def closure(edges: DataFrame, sources: DataFrame | None = None, max_rounds: int
     raise RuntimeError("closure did not settle")
 
 
+def _every_path(scratch: Scratch, step: DataFrame, max_rounds: int) -> DataFrame:
+    """Rows ``src, dst`` of all paths over ``step``, plain edges of different nodes.
+
+    Nodes with edges both ways share all their paths, so paths are made between such groups. Of the result
+    nothing is shuffled: lists of at most about `CHUNK` members are, and a task pairs two of them.
+    """
+    mutual = step.join(_turned(step), ["src", "dst"], "left_semi")
+    nodes = step.select(F.col("src").alias("node")).unionByName(step.select(F.col("dst").alias("node"))).distinct()
+    groups = scratch.write(weak_components(mutual, nodes).withColumnRenamed("component", "group"), "groups")
+    sizes = scratch.write(groups.groupBy("group").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "sizes")
+    members = scratch.write(groups.join(sizes, "group").select("node", "id", "n"), "members")
+    of = members.select("node", "id")
+    inner = step.join(of.toDF("src", "a"), "src").join(of.toDF("dst", "b"), "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    paths = _group_paths(scratch, scratch.write(inner.distinct(), "steps"), max_rounds)
+    # a group leads to itself if it has several members or stands on a cycle of groups
+    own = sizes.filter("n > 1").select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    links = paths.filter("src <> dst").unionByName(paths.filter("src = dst").unionByName(own).distinct())
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).alias("part")
+    lists = scratch.write(members.select("id", part, "node").groupBy("id", "part").agg(F.collect_list("node").alias("nodes")), "lists")
+    pairs = links.join(lists.toDF("src", "i", "from"), "src").join(lists.toDF("dst", "j", "to"), "dst")
+    pairs = pairs.repartition(parallelism(step.sparkSession), "src", "i", "dst", "j")
+    return pairs.select(F.explode("from").alias("src"), "to").select("src", F.explode("to").alias("dst"))
+
+
+def _group_paths(scratch: Scratch, step: DataFrame, max_rounds: int) -> DataFrame:
+    """Rows ``src, dst`` of all paths over ``step``.
+
+    Only the longest paths so far are extended: by single edges up to `NEAR` hops, which makes a pair once per edge
+    into its end, then by all paths, which doubles the length reached. A longer shortest path has a node at the
+    reached length, and what is left of it is known, so lengths stay exact.
+    """
+    new = paths = scratch.write(step.withColumn("hops", F.lit(1)), "paths")
+    reached = 1
+    for _ in range(max_rounds):
+        near = reached < NEAR
+        hop = (step.withColumn("hops", F.lit(1)) if near else paths).toDF("dst", "to", "ahead")
+        more, at = None, new.filter(F.col("hops") == reached)
+        for _ in range(HOPS if near else 1):
+            at = at.join(hop, "dst").groupBy("src", F.col("to").alias("dst")).agg(F.min(F.col("hops") + F.col("ahead")).alias("hops"))
+            more = at if more is None else more.unionByName(at)
+        more = more.groupBy("src", "dst").agg(F.min("hops").alias("hops"))
+        new = scratch.write(more.join(paths, ["src", "dst"], "left_anti"), "new")
+        if new.isEmpty():
+            return paths.select("src", "dst")
+        paths = paths.unionByName(new)
+        reached = reached + HOPS if near else 2 * reached
+    raise RuntimeError("closure did not settle")
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the smallest node it knows, itself included; edges ``u, v`` of either order."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -1,4 +1,5 @@
 import random
+import threading
 
 from pyspark.sql import functions as F
 
@@ -38,6 +39,29 @@ def test_components_and_closure_against_search(spark):
     assert {tuple(r) for r in graph.weak_components(df, lonely).collect()} == set(weak.items())
 
 
+def test_closure_of_deep_and_cyclic_graphs(spark):
+    """Lengths beyond single edges, a component of several lists, cycles with and without mutual edges."""
+    chain = [(i, i + 1) for i in range(70)] + [(20, 60)]
+    cycle = [(100 + i, 100 + (i + 1) % 45) for i in range(45)] + [(30, 100), (110, 200)]
+    star = [e for i in range(1, 200) for e in ((200, 200 + i), (200 + i, 200))] + [(399, 500), (500, 501), (501, 502), (502, 500)]
+    edges = chain + cycle + star
+    df = spark.createDataFrame([*edges, edges[0], (5, 5)], "src int, dst int")
+    got = [tuple(r) for r in graph.closure(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == reach(edges)
+
+
+def test_closure_of_a_large_component(spark):
+    """A component of 2,001 nodes has 4 million paths; joining paths to paths would make 8 thousand million rows of them."""
+    edges = spark.range(1, 2001).select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")),
+        F.struct(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst")))).alias("e")).select("e.src", "e.dst")
+    limit = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    limit.start()
+    try:
+        assert graph.closure(edges).count() == 2001 * 2001
+    finally:
+        limit.cancel()
+
+
 def test_reduction_sources_extremes(spark):
     g = spark.createDataFrame([(0, 0, 4), (0, 1, 1), (0, 2, 1), (1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 3, 1), (3, 2, 1), (4, 4, 1)], "src int, dst int, weight int")
     assert {(r.src, r.dst) for r in graph.transitive_reduction(g).collect()} == {(0, 1), (1, 2), (3, 2)}
