@@ -78,7 +78,8 @@ def normalise(counts: DataFrame, singles: DataFrame) -> DataFrame:
     """Add hyperz and jacc (by marginals and groups), cond (by both and by contigs) and pmi to ``a, b, total``.
 
     ``singles``: ``accession, instances, contigs`` and maybe ``groups`` from `frequencies`; without groups each contig is one.
-    Marginals are row sums of the symmetric counts, which are written once.
+    Marginals are row sums of the symmetric counts, which are written once. A pair counted as often as both of its ends
+    together has an infinite jacc, as orientations and orders are counted apart.
     """
     counts = Scratch(counts.sparkSession, "norms").write(counts.select("a", "b", "total"), "counts")
     marg = counts.groupBy("a").agg(F.sum("total").alias("m"))
@@ -91,7 +92,7 @@ def normalise(counts: DataFrame, singles: DataFrame) -> DataFrame:
     out: dict[str, Column] = {}
     for kind, p, q in (("marg", F.col("m_a"), F.col("m_b")), ("groups", F.col("g_a"), F.col("g_b"))):
         out[f"hyperz_{kind}"] = n / (p * q)
-        out[f"jacc_{kind}"] = n / (p + q - n)
+        out[f"jacc_{kind}"] = F.when(p + q == n, F.lit(float("inf"))).otherwise(n / (p + q - n))
         out[f"cond_{kind}"] = n / p
     out["cond_contigs"] = n / F.col("c_a")
     out["pmi_instances"] = F.log(n * F.col("all_pairs") / (F.col("i_a") * F.col("i_b")))

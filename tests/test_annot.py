@@ -39,6 +39,15 @@ def test_norms(spark):
     assert [round(x, 6) for x in got] == [round(x, 6) for x in (2 / 12, 2 / 5, 2 / 4, 2 / 6, 2 / 3, 1.0, 2 / 4)]
 
 
+def test_norms_of_pairs_counted_as_often_as_both_ends(spark):
+    """Two orientations on one contig: the pair counts 2, each accession 1; 1 + 1 - 2 is no divisor."""
+    g = spark.createDataFrame([("c", 0, 10, "f", "A", "0"), ("c", 20, 30, "f", "B", "1"), ("c", 40, 50, "r", "A", "2")],
+        "contig string, start int, stop int, direction string, accession string, row string")
+    counts = cooc.symmetric_counts(cooc.pair_counts(cooc.window_pairs(g, 1000)))
+    got = {(r.a, r.b): (r.total, r.jacc_groups, r.jacc_marg) for r in cooc.normalise(counts, cooc.frequencies(g)).collect()}
+    assert got == {("A", "A"): (2, float("inf"), 2 / 6), ("A", "B"): (2, float("inf"), 2 / 4), ("B", "A"): (2, float("inf"), 2 / 4)}
+
+
 def test_descriptions(spark):
     f = spark.createDataFrame([("X", "one"), ("X", "one"), ("X", "two"), ("Y", "b"), ("Y", "a"), ("Z", None), (None, "q")], "accession string, description string")
     d = annot.descriptions(f)
