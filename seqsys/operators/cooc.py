@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqsys.operators.intervals import with_run_index
-from seqsys.session import Scratch
+from seqsys.session import Scratch, shuffles_freed
 
 #: Orientation codes 2 * direction(later) + direction(earlier), f = 0, r = 1.
 ORIENTATIONS = {0: "forward", 1: "outward", 2: "inward", 3: "reverse"}
@@ -88,6 +88,11 @@ def normalise(counts: DataFrame, singles: DataFrame) -> DataFrame:
     s = singles.select("accession", F.col("instances").alias("i"), F.col("contigs").alias("c"), F.col("groups" if "groups" in singles.columns else "contigs").alias("g"))
     s = s.join(marg.withColumnRenamed("a", "accession"), "accession")
     x = counts.join(s.toDF("a", "i_a", "c_a", "g_a", "m_a"), "a").join(s.toDF("b", "i_b", "c_b", "g_b", "m_b"), "b").join(F.broadcast(total))
+    return _norms(x)
+
+
+def _norms(x: DataFrame) -> DataFrame:
+    """The columns of `normalise` from a pair's ``total``, its ends' ``i, c, g, m`` and ``all_pairs``."""
     n = F.col("total").cast("double")
     out: dict[str, Column] = {}
     for kind, p, q in (("marg", F.col("m_a"), F.col("m_b")), ("groups", F.col("g_a"), F.col("g_b"))):
@@ -99,6 +104,54 @@ def normalise(counts: DataFrame, singles: DataFrame) -> DataFrame:
     return x.select("a", "b", "total", *[v.alias(k) for k, v in out.items()])
 
 
+def coded(genes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``genes`` with numbers for contigs, accessions and, among genes of one start, rows; and ``code, accession, instances, contigs``.
+
+    Numbers make the tables of pairs a third of the size. ``row`` keeps its order where `window_pairs` looks at it.
+    """
+    with shuffles_freed(genes.sparkSession):
+        g = scratch.write(genes.select("contig", "start", "stop", "direction", "accession", "row"), "genes")
+        path = scratch.last
+        per = g.groupBy("accession").agg(F.count("*").alias("instances"), F.count_distinct("contig").alias("contigs"))
+        singles = scratch.write(per.withColumn("code", F.monotonically_increasing_id()), "singles")
+        contigs = scratch.write(g.select("contig").distinct().withColumn("_c", F.monotonically_increasing_id()), "contigs")
+        numbered = g.join(contigs, "contig").join(singles.select("accession", F.col("code").alias("_a")), "accession")
+        place = F.row_number().over(Window.partitionBy("_c", "start").orderBy("row"))
+        out = scratch.write(numbered.select(F.col("_c").alias("contig"), "start", "stop", "direction", F.col("_a").alias("accession"), place.alias("row")), "coded")
+    scratch.drop(path)
+    return out, singles
+
+
+def window_norms(genes: DataFrame, w: int) -> DataFrame:
+    """`normalise` of the symmetric counts of contigs whose genes stand within ``w``, contigs as groups.
+
+    The same rows as by `symmetric_counts`, but each pair of accessions is one row until the end, where it is turned into both orders.
+    """
+    spark = genes.sparkSession
+    scratch = Scratch(spark, "norms")
+    g, singles = coded(genes, scratch)
+    path = scratch.last
+    met = window_pairs(g, w).select("contig", "later", "earlier", "orientation").distinct()
+    # a pair of one accession counts for both orders
+    n = F.when(F.col("later") == F.col("earlier"), 2).otherwise(1)
+    half = met.groupBy(F.least("later", "earlier").alias("a"), F.greatest("later", "earlier").alias("b")).agg(F.sum(n).alias("total"))
+    with shuffles_freed(spark):
+        half = scratch.write(half, "half")
+    scratch.drop(path)
+    ends = half.select("a", "total").unionByName(half.filter("a <> b").select(F.col("b").alias("a"), "total"))
+    marg = ends.groupBy(F.col("a").alias("code")).agg(F.sum("total").alias("m"))
+    with shuffles_freed(spark):
+        s = scratch.write(singles.join(marg, "code").select("code", "accession", "instances", "contigs", "m"), "ends")
+    # one row: the sum of all counts
+    total = half.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("total")).otherwise(2 * F.col("total"))).alias("all_pairs"))
+    x = half.join(s.toDF("a", *[f"{v}_p" for v in "kicm"]), "a").join(s.toDF("b", *[f"{v}_q" for v in "kicm"]), "b").join(F.broadcast(total))
+    orders = F.when(F.col("a") == F.col("b"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    x = x.withColumn("turned", F.explode(orders))
+    end = lambda v, p, q: F.when(F.col("turned"), F.col(f"{v}_{q}")).otherwise(F.col(f"{v}_{p}"))
+    of = lambda k, p, q: [end("k", p, q).alias(k), *[end(v, p, q).alias(f"{u}_{k}") for u, v in zip("icgm", "iccm")]]
+    return _norms(x.select("total", "all_pairs", *of("a", "p", "q"), *of("b", "q", "p")))
+
+
 def grouped_frequencies(genes: DataFrame, groups: list[str]) -> DataFrame:
     """Per accession: ``instances, contigs`` and the distinct values of every grouping column, with their shares of the totals."""
     names = ["instances", "contigs", *groups]

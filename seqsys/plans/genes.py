@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqsys.functions.names import accession_key, contig_name
-from seqsys.functions.values import present_text
+from seqsys.functions.values import present_text, rounded
 from seqsys.operators import annot, cooc, coverage, intervals, layout
 from seqsys.operators.order import number_rows
 from seqsys.plans.containment import _TABLES, contig_attributes, systems_of
@@ -134,8 +134,8 @@ def cooc_symmetric(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cooc_norms(spark: SparkSession, d: str) -> DataFrame:
-    n = cooc.normalise(_symmetric(spark, d), cooc.frequencies(genes(spark, d)))
-    return n.select("a", "b", "total", *[F.round(c, 6).alias(c) for c in n.columns[3:]])
+    n = cooc.window_norms(genes(spark, d), WINDOW)
+    return n.select("a", "b", "total", *[rounded(c, 6).alias(c) for c in n.columns[3:]])
 
 
 def exact_overlap(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +96,18 @@ class Scratch:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of each job inside when it ends, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session; thresholds for hot keys follow it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

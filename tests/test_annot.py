@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from seqsys.functions.values import rounded
 from seqsys.operators import annot, cooc, graph, layout
 from seqsys.operators.order import sample_rows
 from seqsys.operators.systems import Systems, cluster_scores, cluster_subnetwork
@@ -46,6 +49,23 @@ def test_norms_of_pairs_counted_as_often_as_both_ends(spark):
     counts = cooc.symmetric_counts(cooc.pair_counts(cooc.window_pairs(g, 1000)))
     got = {(r.a, r.b): (r.total, r.jacc_groups, r.jacc_marg) for r in cooc.normalise(counts, cooc.frequencies(g)).collect()}
     assert got == {("A", "A"): (2, float("inf"), 2 / 6), ("A", "B"): (2, float("inf"), 2 / 4), ("B", "A"): (2, float("inf"), 2 / 4)}
+    assert {(r.a, r.b): (r.total, r.jacc_groups, r.jacc_marg) for r in cooc.window_norms(g, 1000).collect()} == got
+
+
+def test_norms_of_windows(spark):
+    """Pairs by numbers give the same rows as pairs by names; genes of one start are ordered by their rows."""
+    rng = random.Random(4)
+    rows = [(f"c{rng.randrange(4)}", s := rng.randrange(0, 9000, 500), s + rng.randrange(100, 3000), rng.choice("fr"), f"A{rng.randrange(9)}") for _ in range(120)]
+    g = spark.createDataFrame([(*r, f"{i}:{r[4]}") for i, r in enumerate(rows)], "contig string, start int, stop int, direction string, accession string, row string")
+    slow = cooc.normalise(cooc.symmetric_counts(cooc.pair_counts(cooc.window_pairs(g, 1000))), cooc.frequencies(g))
+    fast = cooc.window_norms(g, 1000)
+    assert fast.columns == slow.columns and sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
+
+
+def test_rounded(spark):
+    x = [1 / 128, -1 / 128, 2.5e-7, -7.25, 0.0, float("inf"), None]
+    got = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(rounded("x", 6).alias("y")).collect()]
+    assert got == [0.007813, -0.007813, 0.0, -7.25, 0.0, float("inf"), None]
 
 
 def test_descriptions(spark):
